@@ -203,17 +203,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, block: int
     cut = lambda parts, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(parts)).cast("int")
     everyone = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.withColumn("block", cut(blocks, 1)).withColumn("chunk", everyone(chunks))
-    right = asked.withColumn("chunk", cut(chunks, 2)).withColumn("block", everyone(blocks))
+    right = asked.withColumn("q_chunk", cut(chunks, 2)).withColumn("q_block", everyone(blocks)).select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), "q_block", "q_chunk")
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "block": pd.Series(dtype="int32")})
-        take = lambda f: (f["id"].to_numpy(), np.stack(f["v"].to_list()))
-        return search_cell(take(a), take(b), shared.value, k).assign(block=np.int32(a["block"].iloc[0]))
+        take = lambda f, i, v: (f[i].to_numpy(), np.stack(f[v].to_list()))
+        return search_cell(take(a, "id", "v"), take(b, "q_id", "q_v"), shared.value, k).assign(block=np.int32(a["block"].iloc[0]))
 
     cells = blocks * chunks
-    cells_of = lambda f: f.repartition(max(partitions(spark), min(cells, 10_000)), "block", "chunk")
-    found = cells_of(left).groupBy("block", "chunk").cogroup(cells_of(right).groupBy("block", "chunk")).applyInPandas(cell, "query_id long, vec_id long, score double, block int")
+    dealt = lambda f, *by: f.repartition(max(partitions(spark), min(cells, 10_000)), *by).groupBy(*by)
+    found = dealt(left, "block", "chunk").cogroup(dealt(right, "q_block", "q_chunk")).applyInPandas(cell, "query_id long, vec_id long, score double, block int")
     # k rows a block for each query: merged MERGED blocks at a time, so that no list is longer than that.
     while True:
         blocks = -(-blocks // MERGED)
