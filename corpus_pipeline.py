@@ -1,29 +1,56 @@
-"""The corpus pipeline: quality, near copies, leaks, mix, token files."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, mix, token files.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of docs. The stage's
+decisions take effect: what it rejects is gone for the stages behind it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakewell.llm import mixing, tokens
-from stakewell.llm.common import written
+from stakewell.llm import decontaminate, minhash, mixing, quality, tokens
+from stakewell.llm.common import table, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labels of sf_dir, never from held-out ones."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of least doc_id."""
+    return minhash.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks: never, once or twice."""
     return mixing.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digest of each document (repeats are documents of their own), read back from the token files."""
     return tokens.token_output(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("token_files", token_files)]
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+    ("token_files", token_files),
+]
 
-#: The quality classifier's training and the token files aren't expressible in SQL; tests compare with brute force.
+#: None: a trained classifier and a byte-pair encoding can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
