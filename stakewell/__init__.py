@@ -1,0 +1 @@
+"""Wager analytics and corpus preparation as plain DataFrame functions."""
