@@ -18,6 +18,7 @@ Repeated rows get equal texts. Very long pages are read whole. An empty table gi
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -35,6 +36,8 @@ from .common import written
 BROADCAST_BYTES = 16 << 20
 #: Share of the text that a container must hold to be entered.
 MOST = 0.6
+#: Elements nested deeper belong to the one at this depth.
+DEPTH = 120
 LINKS = 0.6
 
 # Fixed values of HTML: elements by how they are laid out.
@@ -87,6 +90,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.nodes = [Node("#root", "#root", False)]
         self.parent = [-1]
+        self.depth = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
         self._collapse()
@@ -163,9 +167,14 @@ class Page:
             flush()
             if tag in VOID:
                 continue
+            above = stack[-1][1]
+            if self.depth[above] >= DEPTH:
+                stack.append((tag, above))
+                continue
             label, out = label_of(tag, m[3])
             self.nodes.append(Node(tag, label, out))
-            self.parent.append(stack[-1][1])
+            self.parent.append(above)
+            self.depth.append(self.depth[above] + 1)
             stack.append((tag, len(self.nodes) - 1))
         flush()
 
@@ -226,7 +235,7 @@ class Page:
             out[n][3] += k
         for n, texts in enumerate(own):
             if texts:
-                out[n][1] = int.from_bytes(__import__("hashlib").blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=7).digest(), "big")
+                out[n][1] = int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=7).digest(), "big")
         return out
 
 
