@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Typographic marks and what they are typed as.
 SINGLE_QUOTES = "‘’‚‛′‵"
@@ -16,7 +17,7 @@ SPACES = "\u00a0\u202f"
 BLANKS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(column: pd.Series) -> pd.Series:
     return column.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

@@ -36,7 +36,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 ROI = "round(CASE WHEN {s} > 0 THEN {n}::DOUBLE / {s} * 100 ELSE 0 END, 6) AS roi"
-COUNTS = "count_if(result = 'win')::BIGINT AS wins, count_if(result = 'loss')::BIGINT AS losses"
+COUNTS = "COALESCE(count_if(result = 'win'), 0)::BIGINT AS wins, COALESCE(count_if(result = 'loss'), 0)::BIGINT AS losses"
 OVERALL = (
     "SELECT count(*)::BIGINT AS total_bets, COALESCE(sum(stake), 0)::BIGINT AS total_wagered, COALESCE(sum(net), 0)::BIGINT AS net_profit, " + COUNTS + ", count_if(result = 'push')::BIGINT AS pushes, count_if(result = 'pending')::BIGINT AS pendings, "
     "round(CASE WHEN count_if(result IN ('win', 'loss')) > 0 THEN count_if(result = 'win')::DOUBLE / count_if(result IN ('win', 'loss')) * 100 ELSE 0 END, 6) AS win_rate, "
@@ -126,7 +126,7 @@ def agg_player_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregate.stats_by(tickets(spark, sf_dir).join(mine, "id"), F.col("market")), "roi")
 
 
-@query("SELECT count(*)::BIGINT AS total_bets, count_if(result = 'win') || '-' || count_if(result = 'loss') || '-' || count_if(result = 'push') AS record FROM kpi WHERE n_legs <= 1 AND id IN (SELECT id FROM legs WHERE entity = 'red widget')", True)
+@query("SELECT count(*)::BIGINT AS total_bets, COALESCE(count_if(result = 'win'), 0) || '-' || COALESCE(count_if(result = 'loss'), 0) || '-' || COALESCE(count_if(result = 'push'), 0) AS record FROM kpi WHERE n_legs <= 1 AND id IN (SELECT id FROM legs WHERE entity = 'red widget')", True)
 def agg_player_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = legs(spark, sf_dir).filter(F.col("entity") == "red widget").select("id").distinct()
     stats = aggregate.overall_stats(tickets(spark, sf_dir).filter("n_legs <= 1").join(mine, "id", "left_semi"))
