@@ -34,10 +34,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows allow it, else df as it is (Spark then joins by shuffle)."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
