@@ -42,6 +42,11 @@ def ascii_key(t: Column) -> Column:
     return F.lower(spaced(t))
 
 
+def queue_id(name: Column, ticket: Column, leg: Column | None = None) -> Column:
+    """Names an item of the queue of unresolved names: key of the name, ticket and leg if there is one."""
+    return F.concat_ws("::", lookup_key(name), ticket.cast("string"), *([] if leg is None else [leg.cast("string")]))
+
+
 def search_key(text: Column) -> Column:
     """For searching: lower case, without . - _ '."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"[.\-_']", ""), r"\s+", " "))

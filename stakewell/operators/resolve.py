@@ -52,6 +52,21 @@ def resolve_teams(names: DataFrame, entities: DataFrame, raw: str = "name") -> D
     return names.join(known, F.col(raw) == F.col("__raw"), "left").drop("__raw").withColumn("status", F.coalesce("status", F.lit("unresolved")))
 
 
+def resolve_teams_in_sport(names: DataFrame, entities: DataFrame, raw: str = "name", sport: str = "sport") -> DataFrame:
+    """As resolve_teams, but only teams of the row's sport count: one of several candidates may be left, a team of another sport is none."""
+    rows = resolve_teams(names, entities, raw)
+    dim = entities.agg(F.map_from_entries(F.collect_list(F.struct("canonical", "sport"))).alias("__sports"))  # one row: the seed
+    rows = rows.crossJoin(F.broadcast(dim))
+    mine = F.filter(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: F.element_at("__sports", c) == F.col(sport))
+    several = F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 1
+    anyone = F.coalesce(F.col(sport), F.lit("")) == ""
+    own = F.coalesce(F.try_element_at("__sports", F.col("canonical")) == F.col(sport), F.lit(False))
+    status = F.when(anyone, F.col("status")).when(several & (F.size(mine) > 1), "ambiguous").when((several & (F.size(mine) == 1)) | own, "resolved").otherwise("unresolved")
+    rows = rows.withColumn("__status", status)
+    canonical = F.when(anyone | (F.col("__status") == "ambiguous"), F.col("canonical")).when(several & (F.size(mine) == 1), mine[0]).when(F.col("__status") == "resolved", F.col("canonical")).otherwise(F.trim(raw))
+    return rows.withColumn("canonical", canonical).withColumn("status", F.col("__status")).drop("__status", "__sports")
+
+
 def aggregation_key(canonical: Column, status: Column) -> Column:
     return F.when(status == "resolved", canonical).otherwise(UNRESOLVED)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, formats, money
+from . import legs as leg_ops
 
 MOST_LEGS = 10
 
@@ -17,22 +18,18 @@ def over_under_flags(ou: Column, target: Column) -> tuple[Column, Column]:
     return flag(over, under), flag(under, over)
 
 
-def expanded_legs(legs: Column) -> Column:
-    """Groups give their children (a childless group vanishes); placeholders without entities go; at most MOST_LEGS stay."""
-    legs = F.coalesce(legs, F.array())
-    return F.slice(legs, 1, MOST_LEGS)
-
-
 def final_rows(bets: DataFrame) -> DataFrame:
     """Rows of the spreadsheet: a parlay has a header with the money and rows for its legs without; other tickets one row a leg.
 
-    bets: nested tickets. row 0 is a parlay's header; other rows are numbered from 1 in the order of legs.
+    bets: nested tickets; groups of legs are opened. row 0 is a parlay's header, or a ticket that has no legs; other rows
+    are numbered from 1 in the order of legs. A ticket all of whose legs are placeholders has no rows.
     """
-    shown = F.when(F.col("legs").isNull(), F.array()).otherwise(F.slice("legs", 1, MOST_LEGS))
-    n = F.when(F.col("legs").isNull(), F.lit(0)).otherwise(F.size("legs"))
+    some = ~leg_ops.none_of(F.col("legs"))
+    bets = bets.withColumn("opened", F.when(some, leg_ops.expanded_legs(bets)))
+    shown, n = F.slice("opened", 1, MOST_LEGS), F.when(some, F.size("opened")).otherwise(F.lit(0))
     empty = F.struct(F.lit(0).alias("row"), F.lit(None).cast("string").alias("leg_name"), F.lit(None).cast("string").alias("market"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("ou"), F.lit(None).cast("int").alias("leg_odds"), F.lit(None).cast("string").alias("leg_result"))
     listed = F.transform(shown, lambda leg, i: F.struct((i + 1).cast("int").alias("row"), F.get(leg["entities"], F.lit(0)).alias("leg_name"), leg["market"].alias("market"), leg["target"].alias("target"), leg["ou"].alias("ou"), leg["odds"].alias("leg_odds"), leg["result"].alias("leg_result")))
-    rows = bets.withColumn("n", n).withColumn("r", F.explode(F.when(n == 1, listed).otherwise(F.concat(F.array(empty), listed))))
+    rows = bets.withColumn("n", n).withColumn("r", F.explode(F.when(~some, F.array(empty)).when(n > 1, F.concat(F.array(empty), listed)).otherwise(listed)))
     header, child = (F.col("n") > 1) & (F.col("r.row") == 0), (F.col("n") > 1) & (F.col("r.row") > 0)
     label = F.concat(classify.parlay_type(F.col("bet_type"), "Parlay"), F.lit(" ("), F.least(F.col("n"), F.lit(MOST_LEGS)).cast("string"), F.lit(")"))
     over, under = over_under_flags(F.col("r.ou"), F.col("r.target"))

@@ -45,6 +45,55 @@ def edit_errors() -> Column:
     )
 
 
+# What the fields of a parsed ticket may hold.
+BET_TYPES = ("single", "parlay", "sgp", "sgp_plus", "live", "other")
+CATEGORIES = ("Props", "Main Markets", "Futures", "Parlays")
+ENTITY_TYPES = ("player", "team", "unknown")
+LEG_RESULTS = ("WIN", "LOSS", "PUSH", "PENDING", "UNKNOWN")
+REQUIRED = ("id", "book", "bet_id", "placed_at", "bet_type", "sport", "description", "stake", "payout", "result")
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
+
+
+def _by_leg(*checks: tuple) -> Column:
+    """Messages 'leg <place> <what>' of all legs; checks: (leg to condition, what)."""
+    say = lambda leg, i: F.array_compact(F.array(*[F.when(F.coalesce(c(leg), F.lit(False)), F.concat(F.lit("leg "), i.cast("string"), F.lit(f" {what}"))) for c, what in checks]))
+    return F.flatten(F.transform(F.coalesce("legs", F.array()), say))
+
+
+def contract(bets: DataFrame) -> DataFrame:
+    """bets with errors and warnings: whether a parser's nested tickets keep to the schema's rules."""
+    groups = "children" in bets.schema["legs"].dataType.elementType.fieldNames()
+    number = F.when(F.col("legs").isNull(), F.lit(0)).otherwise(F.size("legs"))
+    errors = _list(
+        *[(_blank(F.col(c)), f"no {c}") for c in REQUIRED],
+        (F.col("stake") <= 0, "stake"),
+        (F.col("payout") < 0, "payout"),
+        (~_blank(F.col("result")) & ~F.col("result").isin("win", "loss", "push", "pending"), "result"),
+        (~_blank(F.col("bet_type")) & ~F.col("bet_type").isin(*BET_TYPES), "bet_type"),
+        (~_blank(F.col("market_category")) & ~F.coalesce(F.col("market_category").isin(*CATEGORIES), F.lit(False)), "market_category"),
+        (number == 0, "legs"),
+    )
+    checks = [(lambda leg: _blank(leg["market"]), "market"), (lambda leg: ~leg["entity_type"].isin(*ENTITY_TYPES), "entity_type")]
+    if groups:
+        checks.append((lambda leg: leg["is_group_leg"] & (F.size(leg["children"]) == 0), "children"))
+    hints = _list(
+        (_blank(F.col("market_category")), "no market_category"),
+        ((F.col("bet_type") == "single") & (number > 1), "single"),
+        ((F.col("bet_type") == "parlay") & (number == 1), "parlay"),
+    )
+    lower = lambda leg: (leg["result"] != F.upper(leg["result"])) & F.upper(leg["result"]).isin(*LEG_RESULTS)
+    by_leg = _by_leg((lambda leg: leg["entity_type"].isNull(), "no entity_type"), (lower, "result"))
+    return bets.withColumns({"errors": F.concat(errors, _by_leg(*checks)), "warnings": F.concat(hints, by_leg)})
+
+
+def contract_summary(checked: DataFrame) -> DataFrame:
+    """Tickets, valid and invalid ones, and how many messages they have."""
+    return checked.agg(F.count("*").alias("total"), F.count_if(F.size("errors") == 0).alias("valid"), F.count_if(F.size("errors") > 0).alias("invalid"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"))
+
+
 def batch_summary(bets: DataFrame) -> DataFrame:
     """Totals of blockers and warnings, and of the tickets that have some."""
     rows = bets.select(F.size(import_blockers()).alias("b"), F.size(import_warnings()).alias("w"))

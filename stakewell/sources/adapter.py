@@ -58,6 +58,20 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tickets(spark, sf_dir).join(arrays, "id", "left")
 
 
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As nested, but the legs of an SGP+ ticket stand two by two in groups."""
+    plus = F.col("bet_type") == "sgp_plus"
+    rows = legs(spark, sf_dir).join(tickets(spark, sf_dir).select("id", plus.alias("plus")), "id")
+    leaf = F.struct("leg_no", F.array("entity").alias("entities"), "entity_type", "market", "target", "ou", F.col("leg_odds").alias("odds"), F.col("leg_result").alias("result"))
+    parent = F.when(F.col("plus"), F.floor(F.col("leg_no") / 2)).otherwise(F.col("leg_no")).cast("int")
+    parts = rows.groupBy("id", "plus", parent.alias("parent")).agg(F.sort_array(F.collect_list(leaf)).alias("leaves"))
+    own = {c: F.when(~F.col("plus"), F.col("leaves")[0][c]) for c in ("entity_type", "market", "target", "ou", "odds", "result")}
+    own["market"] = F.coalesce(own["market"], F.concat(F.size("leaves").cast("string"), F.lit(" Pick SGP")))
+    entities = F.when(F.col("plus"), F.array().cast("array<string>")).otherwise(F.col("leaves")[0]["entities"])
+    leg = F.struct(F.col("parent").alias("leg_no"), entities.alias("entities"), *[v.alias(k) for k, v in own.items()], F.col("plus").alias("is_group_leg"), F.when(F.col("plus"), F.col("leaves")).alias("children"))
+    return tickets(spark, sf_dir).join(parts.groupBy("id").agg(F.sort_array(F.collect_list(leg)).alias("legs")), "id", "left")
+
+
 def _sql_pick(options: list[str], by: str) -> str:
     return "[" + ", ".join(f"'{o}'" for o in options) + f"][{by} % {len(options)} + 1]"
 

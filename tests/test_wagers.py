@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from stakewell.functions import classify, filters, formats, money, text
-from stakewell.operators import aggregate, resolve, store, timeseries, validate
+from stakewell.operators import aggregate, legs, resolve, rows, store, timeseries, validate
 from stakewell.plans import wagers
 from stakewell.sources import csv_tickets, pages, seed, state
 from stakewell.streaming import imports
@@ -209,6 +209,48 @@ def test_stream_import_is_idempotent(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
 
 
+LEG_FIELDS = "entities array<string>, market string, target string, ou string, odds int, result string"
+
+
+def test_rows_of_groups_and_placeholders(spark):
+    leg = lambda who, market="Points", group=None, children=None: ([who] if who else [], market, "5", "Over", 110, "WIN", group, children)
+    leaf = lambda who: ([who], "Points", "5", "Over", 110, "WIN")
+    cases = {1: None, 2: [], 3: [leg("a")], 4: [leg(None, "Same Game Parlay"), leg("a")], 5: [leg(None, "2 Pick SGP", True, [leaf("a"), leaf("b")]), leg("c")], 6: [leg(None, "1 Pick SGP", True, [])], 7: [leg(f"p{i}") for i in range(12)]}
+    bets = spark.createDataFrame([(i, "sgp_plus", "win", 10, 100, 20, "ticket", "Pts", v) for i, v in cases.items()], f"id long, bet_type string, result string, stake long, odds int, payout long, name string, type string, legs array<struct<{LEG_FIELDS}, is_group_leg boolean, children array<struct<{LEG_FIELDS}>>>>")
+    got = {}
+    for r in rows.final_rows(bets).orderBy("id", "row_no").collect():
+        got.setdefault(r.id, []).append(r.row_name)
+    assert got == {1: ["ticket"], 2: ["ticket"], 3: ["a"], 4: ["a"], 5: ["SGP+ (3)", "a", "b", "c"], 7: ["SGP+ (10)", *[f"p{i}" for i in range(10)]]}
+    seen = [(r.id, r.parent, r.child, r.leg.entities) for r in legs.visible_legs(bets.filter("id IN (5, 6)")).orderBy("id", "parent", "child").collect()]
+    assert seen == [(5, 0, 0, ["a"]), (5, 0, 1, ["b"]), (5, 1, None, ["c"]), (6, 0, None, [])]
+
+
+def test_repeated_legs_merge(spark):
+    a = lambda target, result, odds, who="A": ([who], "Pts", target, None, odds, result)
+    cases = {
+        1: [a("5+", "PENDING", 0), a("5+", "WIN", 120)],  # equal
+        2: [a(None, "WIN", 100), a("5+", "LOSS", None)],  # one of them has a target
+        3: [a("5+", "WIN", 1), a("6+", "LOSS", 2)],  # two targets: two legs
+        4: [a("5+", "WIN", 1), a("6+", "LOSS", 2), a("", "PENDING", 3)],  # joins the first, which goes to the end
+        5: [a("5+", "WIN", 1), a("5+", "LOSS", 2, "B"), a("5+", "PUSH", 3, "a")],
+        6: [],
+    }
+    frame = spark.createDataFrame([(i, v) for i, v in cases.items()], f"id int, legs array<struct<{LEG_FIELDS}>>")
+    merged = lambda later: {r.id: [(x.entities[0], x.target, x.result, x.odds) for x in r.x] for r in frame.select("id", legs.merged_legs(F.col("legs"), later).alias("x")).collect()}
+    got = merged(False)
+    assert got == {1: [("A", "5+", "WIN", 120)], 2: [("A", "5+", "WIN", 100)], 3: [("A", "5+", "WIN", 1), ("A", "6+", "LOSS", 2)], 4: [("A", "6+", "LOSS", 2), ("A", "5+", "WIN", 3)], 5: [("a", "5+", "WIN", 3), ("B", "5+", "LOSS", 2)], 6: []}
+    assert merged(True)[1] == [("A", "5+", "WIN", 120)] and merged(True)[2] == [("A", "5+", "LOSS", 100)]
+
+
+def test_contract(spark):
+    leg = (["a"], "Points", "5", None, 110, "win", "robot")
+    rows_ = [(None, "b", "1", "single", "NBA", "d", 0, -1, "odd", "Props", [leg, (["a"], None, None, None, None, None, None)]), (1, "b", "1", "parlay", "NBA", "d", 5, 0, "win", None, None)]
+    bets = spark.createDataFrame(rows_, f"id long, book string, bet_id string, bet_type string, sport string, description string, stake long, payout long, result string, market_category string, legs array<struct<{LEG_FIELDS}, entity_type string>>").withColumn("placed_at", F.current_timestamp())
+    got = validate.contract(bets).collect()
+    assert got[0].errors == ["no id", "stake", "payout", "result", "leg 0 entity_type", "leg 1 market"] and got[0].warnings == ["single", "leg 0 result", "leg 1 no entity_type"]
+    assert got[1].errors == ["legs"] and got[1].warnings == ["no market_category"]
+
+
 def test_entry_without_the_extra_folder(spark):
     import __spark_entry__
 
