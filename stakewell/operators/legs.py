@@ -62,7 +62,7 @@ def merged_legs(legs: Column, later_wins: bool = False) -> Column:
     side. A few legs a ticket: a fold over the array, no shuffle.
     """
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    target = lambda x: low(x["target"])
+    target = lambda x: F.trim(F.coalesce(x["target"], F.lit("")))
     name = lambda x: F.struct(low(F.get(x["entities"], F.lit(0))), low(x["market"]), F.coalesce(x["ou"], F.lit("")))
     alike = lambda x, y: name(x) == name(y)
     given = lambda c: F.nullif(c, F.lit(""))

@@ -33,14 +33,16 @@ def final_rows(bets: DataFrame) -> DataFrame:
     header, child = (F.col("n") > 1) & (F.col("r.row") == 0), (F.col("n") > 1) & (F.col("r.row") > 0)
     label = F.concat(classify.parlay_type(F.col("bet_type"), "Parlay"), F.lit(" ("), F.least(F.col("n"), F.lit(MOST_LEGS)).cast("string"), F.lit(")"))
     over, under = over_under_flags(F.col("r.ou"), F.col("r.target"))
-    leg_result = F.coalesce(F.initcap(F.when(F.col("r.leg_result").isin("WIN", "LOSS", "PUSH", "PENDING"), F.lower("r.leg_result"))), F.lit("Pending"))
+    # A row of a leg goes by the leg's own result, the only leg's net too; other rows by the ticket's.
+    said = F.lower(F.when(F.col("r.row") > 0, F.col("r.leg_result")).otherwise(F.col("result")))
+    said = F.when(said.isin("win", "loss", "push", "pending"), said).otherwise("pending")
     paid = ~child
     return rows.select(
         "id", F.col("r.row").alias("row_no"), F.when(header, label).otherwise(F.coalesce("r.leg_name", "name", F.lit(""))).alias("row_name"),
         F.when(header, "Parlays").otherwise(classify.leg_category(F.coalesce("r.market", "type"))).alias("category"),
         F.when(header, "").otherwise(over).alias("over_flag"), F.when(header, "").otherwise(under).alias("under_flag"), F.when(header, F.lit("")).otherwise(F.coalesce("r.target", F.lit(""))).alias("line"),
         F.when(child, F.col("r.leg_odds")).otherwise(F.nullif("odds", F.lit(0))).alias("row_odds"), F.when(paid, F.col("stake")).alias("row_stake"),
-        F.when(child, leg_result).otherwise(F.initcap("result")).alias("row_result"), F.when(paid & (F.col("result") != "pending"), F.col("payout") - F.col("stake")).alias("row_net"), header.alias("is_header"), child.alias("is_child"),
+        F.initcap(said).alias("row_result"), F.when(paid, F.round(money.row_net(said), 4)).alias("row_net"), header.alias("is_header"), child.alias("is_child"),
     )
 
 

@@ -322,19 +322,19 @@ def n_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- rows
 
 
-ROWS_SQL = """
+ROWS_SQL = f"""
 WITH shown AS (SELECT * FROM legs WHERE leg_no < 10),
 r AS (
   SELECT b.*, 0 AS row_no, NULL AS entity, NULL AS market, NULL AS target, NULL AS ou, NULL AS leg_odds, NULL AS leg_result FROM bets b WHERE n_legs <> 1
   UNION ALL SELECT b.*, leg_no + 1, s.entity, s.market, s.target, s.ou, s.leg_odds, s.leg_result FROM bets b JOIN shown s USING (id)),
-f AS (SELECT *, n_legs > 1 AND row_no = 0 AS is_header, n_legs > 1 AND row_no > 0 AS is_child, lower(COALESCE(market, type, '')) AS m FROM r)
+f AS (SELECT *, n_legs > 1 AND row_no = 0 AS is_header, n_legs > 1 AND row_no > 0 AS is_child, lower(COALESCE(market, type, '')) AS m, CASE WHEN row_no > 0 THEN lower(leg_result) ELSE result END AS said FROM r)
 SELECT id, row_no::INTEGER AS row_no,
   CASE WHEN is_header THEN CASE bet_type WHEN 'sgp_plus' THEN 'SGP+' WHEN 'sgp' THEN 'SGP' ELSE 'Parlay' END || ' (' || least(n_legs, 10) || ')' ELSE COALESCE(entity, name, '') END AS row_name,
   CASE WHEN is_header THEN 'Parlays' WHEN m = 'nba mvp' THEN 'Futures' WHEN regexp_matches(m, 'moneyline|ml|spread|total|over|under') AND NOT contains(m, 'player') THEN 'Main Markets' ELSE 'Props' END AS category,
   CASE WHEN is_header THEN '' WHEN ou = 'Over' THEN '1' WHEN ou = 'Under' THEN '0' ELSE '' END AS over_flag, CASE WHEN is_header THEN '' WHEN ou = 'Over' THEN '0' WHEN ou = 'Under' THEN '1' ELSE '' END AS under_flag,
   CASE WHEN is_header THEN '' ELSE COALESCE(target, '') END AS line, CASE WHEN is_child THEN leg_odds ELSE odds END::INTEGER AS row_odds, CASE WHEN NOT is_child THEN stake END AS row_stake,
-  CASE COALESCE(CASE WHEN is_child THEN lower(leg_result) END, result) WHEN 'win' THEN 'Win' WHEN 'loss' THEN 'Loss' WHEN 'push' THEN 'Push' ELSE 'Pending' END AS row_result,
-  CASE WHEN NOT is_child AND result <> 'pending' THEN payout - stake END AS row_net, is_header, is_child
+  CASE said WHEN 'win' THEN 'Win' WHEN 'loss' THEN 'Loss' WHEN 'push' THEN 'Push' ELSE 'Pending' END AS row_result,
+  CASE WHEN NOT is_child THEN round(CASE said WHEN 'win' THEN CASE WHEN payout > 0 THEN (payout - stake)::DOUBLE ELSE {WIN_SQL} END WHEN 'loss' THEN (-stake)::DOUBLE WHEN 'push' THEN 0::DOUBLE END, 4) END AS row_net, is_header, is_child
 FROM f"""
 
 
