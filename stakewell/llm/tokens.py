@@ -36,8 +36,8 @@ from .common import new_folder, partitions, slices
 
 SEQUENCE = 1024
 BATCH = 256
-#: Entries up to which a worker remembers how chunks and pieces are encoded.
-REMEMBERED = 1_500_000
+#: Entries up to which a worker remembers how chunks and pieces are encoded: about 60 MB. Then it begins anew.
+REMEMBERED = 300_000
 #: Characters that Python's split() takes for white space but the tokenizer doesn't, and what may need a look at more than one chunk.
 _ODD = re.compile("[\x1c-\x1fΣ]|<\\|")
 
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SE
         try:
             for b in batches:
                 ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-                for first, last in slices([t or "" for t in texts], 2_000_000):
+                for first, last in slices([t or "" for t in texts]):
                     if out is None:
                         out = fs.open_output_stream(f"{at}/{name}.tokens.arrow"), fs.open_output_stream(f"{at}/{name}.docs.arrow")
                         index = pa.ipc.new_file(out[0], tokens_schema), pa.ipc.new_file(out[1], docs_schema)
