@@ -40,6 +40,17 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
+#: Rows and bytes of texts that go to Python at once; long documents fill a batch with a few rows.
+ARROW_ROWS = 2_000
+ARROW_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches small, so that batches of long texts don't fill an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

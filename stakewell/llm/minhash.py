@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, joined, mix, slices, small, span_hashes, word_spans, written
+from .common import WORD_BYTE, joined, mix, slices, small, span_hashes, text_batches, word_spans, written
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -192,6 +192,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(_signed(band[total > 0].reshape(-1))))
                 yield pa.record_batch([b.column("id").slice(first, last - first), b.column("th").slice(first, last - first), pa.array(_signed(whole)), pa.array(_signed(second)), pa.array(total), lists], names=["id", "th", "whole", "check", "n", "bands"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "id long, th long, whole long, check long, n long, bands array<long>")
 
 
@@ -211,6 +212,7 @@ def element_lists(texts: DataFrame) -> DataFrame:
                 rows = pa.record_batch([b.column("key").slice(first, last - first), lists], names=["key", "elements"])
                 yield rows.filter(pa.array(_signed(whole) == want[first:last]))
 
+    text_batches(texts.sparkSession)
     return texts.select("key", "whole", "text").mapInArrow(run, "key long, elements array<long>")
 
 

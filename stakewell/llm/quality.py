@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, fold, joined, slices, span_hashes, word_spans
+from .common import WORD_BYTE, fold, joined, slices, span_hashes, text_batches, word_spans
 
 PASSAGE = 48
 SAMPLE = 1_500
@@ -151,6 +151,7 @@ def training_ids(labels: DataFrame, column: str, sample: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention | Constant:
+    text_batches(docs.sparkSession)
     ids = training_ids(labels, "quality", sample).select(F.col("doc_id").alias("__id"), "label")
 
     def describe(batches):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions, slices
+from .common import new_folder, partitions, slices, text_batches
 
 SEQUENCE = 1024
 BATCH = 256
@@ -146,6 +146,7 @@ def _lists(values: np.ndarray, kind: pa.DataType, size: int) -> pa.Array:
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SEQUENCE, batch: int = BATCH, by_chunk: bool = True, folder: str | None = None) -> list[tuple]:
     """Writes the files and returns (part, name, n_tokens, n_docs) of each, in order; one row a file comes to the driver."""
     spark = docs.sparkSession
+    text_batches(spark)
     folder = folder or new_folder(spark, "tokens")
 
     def write(batches):
