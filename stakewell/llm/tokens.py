@@ -39,7 +39,11 @@ BATCH = 256
 #: Entries up to which a worker remembers how chunks and pieces are encoded: about 60 MB. Then it begins anew.
 REMEMBERED = 300_000
 #: Characters that Python's split() takes for white space but the tokenizer doesn't, and what may need a look at more than one chunk.
-_ODD = re.compile("[\x1c-\x1fΣ]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", "Σ")
+#: A mark behind a letter or digit at the end of a chunk: the tokenizer encodes it apart, so it is remembered apart.
+_MARK = re.compile(r"[.,!?;:](?<=[^\W_].)(?!\S)")
+#: New words that are encoded as one text.
+_JOINED = 2_000
 
 
 def vocabulary(name: str) -> str:
@@ -48,6 +52,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are first asked for; `new` lists those not learned yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        n = self[chunk] = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts with a `tokenizers` file whose ids don't depend on anything beyond white space.
 
@@ -61,29 +77,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = by_chunk
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = np.zeros(1 << 20, self.dtype)
         self.used = 0
         self.at = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int32)
 
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has. Runs of letters are one word each, so they are encoded as texts of
+        many words and told apart by the ids that end a word; where that doesn't come out even, one by one."""
+        if all(map(str.isalpha, chunks)):
+            texts = [" ".join(chunks[i : i + _JOINED]) for i in range(0, len(chunks), _JOINED)]
+            ids = self._whole(texts)[0]
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(chunks) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        return self._whole(chunks)
+
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks; runs of letters with a mark behind are known by their two parts."""
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids = e.ids
-            n = len(self.known)
-            if n == len(self.at):
-                self.at, self.length = np.resize(self.at, 2 * n), np.resize(self.length, 2 * n)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
+        """Ids of new chunks; their numbers are the next ones, in order."""
+        letters = np.fromiter(map(str.isalpha, chunks), bool, len(chunks))
+        first, n = len(self.known) - len(chunks), len(self.known)
+        if n > len(self.at):
+            self.at, self.length = np.resize(self.at, 2 * n), np.resize(self.length, 2 * n)
+        for mine in (np.flatnonzero(letters), np.flatnonzero(~letters)):
+            if not len(mine):
+                continue
+            ids, length = self._encoded([chunks[i] for i in mine])
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
             self.ids[self.used : self.used + len(ids)] = ids
-            self.at[n], self.length[n] = self.used, len(ids)
+            self.at[first + mine] = self.used + np.cumsum(length) - length
+            self.length[first + mine] = length
             self.used += len(ids)
-            self.known[chunk] = n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
@@ -91,26 +124,20 @@ class Encoder:
             return self._whole(texts)
         if len(self.known) > REMEMBERED:
             self.forget()
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t) and not t.isascii() or "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")]
+        odd = [i for i, t in enumerate(texts) if any(c in t for c in _ODD)]
         strange = set(odd)
         pieces: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if i not in strange:
                 t = t.lower() if t.isascii() else unicodedata.normalize("NFC", t).lower()
-                before = len(pieces)
-                for w in t.split():
-                    # A run of letters and the marks behind it are encoded apart, so they are remembered apart.
-                    if w.isalpha() or not (w[-1] in ".,!?;:" and w[:-1].isalpha()):
-                        pieces.append(w)
-                    else:
-                        pieces += (w[:-1], w[-1])
-                counts[i] = len(pieces) - before
-        known = self.known
-        new = [w for w in dict.fromkeys(pieces) if w not in known]
-        if new:
-            self._learn(new)
-        index = np.fromiter((known[w] for w in pieces), np.int64, len(pieces))
+                words = _MARK.sub(r" \g<0>", t).split()
+                pieces += words
+                counts[i] = len(words)
+        index = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         length = self.length[index].astype(np.int64)
         ends = np.cumsum(length)
         flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[index] - (ends - length), length)]
