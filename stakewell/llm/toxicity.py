@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, one of toxic and one of ordinary text, give a word its probability letter by
-letter, each letter after the word's beginning so far (up to DEPTH letters). A class's counts
+letter, each letter after the word's whole beginning so far, the word's end too. A class's counts
 are discounted, and what the discount leaves goes to the backoff, which both classes
 share: the discounted counts of both together. So a beginning that toxic words have
 in common is known however rare each of them is, and an expression that neither
@@ -13,10 +13,12 @@ described by length-normalised ratios: their mean, and means of what stands out
 above the text's median, which cancels what language or topic add to every word.
 A logistic fit turns them into a probability.
 
-Counted are all words of all labelled documents of the counting folds. Beginnings that fewer
-than MIN_DOCS and fewer than one in SHARE of the counted documents hold stay with
-the backoff; by that the model has at most SHARE times as many entries as a
-document has beginnings on average, whatever the corpus's size. The fit takes at most SAMPLE documents of
+Counted are all words of all labelled documents of the counting folds, and every beginning of theirs is in the
+model, however rare and whatever the corpus's size. The model is never gathered in one place: counted
+words and the distinct words of the documents to score meet by their first STEM letters, where all longer beginnings
+are counted; only counts of the beginnings up to that (at most a row for each pair of letters, however many words there are) go to all. Documents are dealt
+into lots of about LOT bytes; ratios of words go to the lots that hold them, and who describes a
+lot's documents reads that lot's ratios alone. The fit takes at most SAMPLE documents of
 each label from the fold that wasn't counted.
 
 Null and empty texts score the share of toxic labels. Contradicting or null labels
@@ -26,21 +28,19 @@ share. Repeated rows get equal scores; a null doc_id is scored. Extra columns ar
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import regex
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mix, slices, small, span_hashes, text_batches, written
+from .common import fold, mix, new_folder, partitions, slices, small, span_hashes, text_batches, written
 
-DEPTH = 9
-MIN_DOCS = 3
-SHARE = 5_000
+STEM = 2
 DISCOUNT = 0.75
 #: Weight, in documents, of the shared backoff in each class.
 BACKOFF = 20.0
@@ -49,8 +49,8 @@ UNSEEN = 0.02
 SAMPLE = 4_000
 #: Labels up to which ids and labels (two numbers each, under 100 MB in all) are broadcast, so that no text is shuffled.
 LABEL_ROWS = 1_000_000
-#: Words a worker remembers.
-REMEMBERED = 2_000_000
+#: Bytes of a lot of documents; a longer text is a lot of its own.
+LOT = 32 << 20
 LETTERS = r"[^\p{L}\p{N}\p{M}]+"
 _SPLIT = regex.compile(LETTERS)
 
@@ -73,10 +73,10 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
 
 
-def steps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The letters of words, in order: the word, the hash of the beginning before the letter and of that with it.
+def steps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of words, in order: the word, the hash of the beginning before the letter, of that with it, and the letter's place.
 
-    The end counts as a letter if the word is shorter than DEPTH. The empty beginning is 0.
+    The end counts as a letter. The empty beginning is 0.
     """
     raw = [w.encode("utf-8", "replace") for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -87,86 +87,160 @@ def steps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letters = np.bincount(who, minlength=len(words))
     place = np.arange(len(heads)) - np.repeat(np.cumsum(letters) - letters, letters)
     ends = np.append(heads[1:], len(data)) if len(heads) else heads
-    keep = place < DEPTH
-    who, place, ends = who[keep], place[keep], ends[keep]
     with_it = span_hashes(data, at[who], ends) | np.uint64(1)
     before = np.where(place == 0, np.uint64(0), np.concatenate([np.zeros(1, np.uint64), with_it[:-1]])[: len(who)])
     last = np.flatnonzero(np.diff(who, append=-1))
-    short = last[letters[who[last]] < DEPTH]
     with np.errstate(over="ignore"):
-        close = mix(with_it[short] + np.uint64(5)) | np.uint64(1)
-    who, before, with_it = np.concatenate([who, who[short]]), np.concatenate([before, with_it[short]]), np.concatenate([with_it, close])
+        close = mix(with_it[last] + np.uint64(5)) | np.uint64(1)
+    who, before, with_it, place = np.concatenate([who, who[last]]), np.concatenate([before, with_it[last]]), np.concatenate([with_it, close]), np.concatenate([place, place[last] + 1])
     order = np.argsort(who, kind="stable")
-    return who[order], before[order], with_it[order]
-
+    return who[order], before[order], with_it[order], place[order]
 
-def beginnings(words: DataFrame) -> DataFrame:
-    """g (beginning), ctx (without its last letter), toxic, ordinary."""
-
-    def run(batches):
-        for b in batches:
-            t, o = (b.column(c).to_numpy() for c in ("toxic", "ordinary"))
-            who, before, with_it = steps(b.column("word").to_pylist())
-            u, first, inv = np.unique(with_it, return_index=True, return_inverse=True)
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(before[first].view(np.int64)), *[pa.array(np.bincount(inv, x[who], minlength=len(u)).astype(np.int64)) for x in (t, o)]], names=["g", "ctx", "toxic", "ordinary"])
 
-    rows = words.mapInArrow(run, "g long, ctx long, toxic long, ordinary long")
-    return rows.groupBy("g").agg(F.min("ctx").alias("ctx"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def stem_of(word: Column) -> Column:
+    return F.substring(word, 1, STEM)
 
 
 class KneserNey:
     """For each known beginning the log ratio of its last letter, and that of any letter unknown after it."""
 
-    def __init__(self, table: pa.Table) -> None:
-        g, ctx = (table.column(c).to_numpy().view(np.uint64) for c in ("g", "ctx"))
-        counts = np.stack([table.column(c).to_numpy().astype(np.float64) for c in ("toxic", "ordinary")])
-        order = np.argsort(g)
-        g, ctx, counts = g[order], ctx[order], counts[:, order]
-        root = ctx == 0
-        self.keys = np.concatenate([np.zeros(1, np.uint64), g])
-        up = np.searchsorted(self.keys, ctx)
-        own = np.concatenate([counts[:, root].sum(1, keepdims=True), counts], axis=1)
+    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, first: int, last: int) -> None:
+        """Of the letters at places first <= place < last; words: all that share the beginnings before these."""
+        parts = []
+        for k in range(0, max(len(words), 1), 20_000):
+            who, before, with_it, place = steps(words[k : k + 20_000])
+            some = (place >= first) & (place < last)
+            who, before, with_it = who[some], before[some], with_it[some]
+            g, at, inv = np.unique(with_it, return_index=True, return_inverse=True)
+            parts.append((g, before[at], *[np.bincount(inv, x[k : k + 20_000][who], len(g)) for x in (toxic, ordinary)]))
+        g, ctx, t, o = (np.concatenate(p) for p in zip(*parts, strict=True))
+        self.g, at, inv = np.unique(g, return_index=True, return_inverse=True)
+        counts = np.stack([np.bincount(inv, x, len(self.g)) for x in (t, o)])
+        self.ctx, up = np.unique(ctx[at], return_inverse=True)
+        total = lambda x: np.bincount(up, x, len(self.ctx))
         kept = np.maximum(counts - DISCOUNT, 0)
-        mass = np.stack([np.bincount(up, k, len(self.keys)) for k in kept])
-        both, shared = own.sum(0), np.bincount(up, np.maximum(counts.sum(0) - DISCOUNT, 0), len(self.keys))
-        rest = (1 - shared / np.maximum(both, 1e-9)) * UNSEEN
-        ps = np.maximum(counts.sum(0) - DISCOUNT, 0) / both[up] + rest[up]
+        own, mass = (np.stack([total(x) for x in y]) for y in (counts, kept))
+        both, every = own.sum(0), np.maximum(counts.sum(0) - DISCOUNT, 0)
+        rest = (1 - total(every) / np.maximum(both, 1e-9)) * UNSEEN
+        ps = every / both[up] + rest[up]
         left = own - mass + BACKOFF
         p = (kept + left[:, up] * ps) / (own[:, up] + BACKOFF)
         unseen = left / (own + BACKOFF)
-        self.step = np.concatenate([[0.0], np.log(p[0] / p[1])]).astype(np.float32)
-        self.miss = np.log(unseen[0] / unseen[1]).astype(np.float32)
+        self.step = np.log(p[0] / p[1])
+        self.miss = np.log(unseen[0] / unseen[1])
+
+    def values(self, before: np.ndarray, with_it: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(before))
+        if len(self.g):
+            up = np.minimum(np.searchsorted(self.ctx, before), len(self.ctx) - 1)
+            out = np.where(self.ctx[up] == before, self.miss[up], 0)
+            at = np.minimum(np.searchsorted(self.g, with_it), len(self.g) - 1)
+            out = np.where(self.g[at] == with_it, self.step[at], out)
+        return out
+
+
+def word_ratios(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """word, ratio: log of toxic over ordinary probability of each of words (distinct)."""
+    # Bounded by the pairs of letters.
+    heads = counts.groupBy(stem_of(F.col("word")).alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("word").toPandas()
+    numbers = lambda f: (f["word"].tolist(), f["toxic"].to_numpy(float), f["ordinary"].to_numpy(float))
+    short = words.sparkSession.sparkContext.broadcast(KneserNey(*numbers(heads), 0, STEM))
+
+    def ratios(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        model, out = KneserNey(*numbers(known), STEM, 1 << 62), []
+        for k in range(0, len(asked), 20_000):
+            part = asked["word"].iloc[k : k + 20_000]
+            who, before, with_it, place = steps(part.tolist())
+            value = np.where(place < STEM, short.value.values(before, with_it), model.values(before, with_it))
+            out.append(pd.DataFrame({"word": part, "ratio": np.bincount(who, value, len(part)).astype(np.float32)}))
+        return pd.concat(out) if out else pd.DataFrame({"word": pd.Series(dtype=str), "ratio": pd.Series(dtype=np.float32)})
+
+    left, right = (f.withColumn("stem", stem_of(F.col("word"))) for f in (words.select("word"), counts))
+    return left.groupBy("stem").cogroup(right.groupBy("stem")).applyInPandas(ratios, "word string, ratio float")
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lot of every row: a copy in which a lot is some neighbouring documents of about LOT bytes."""
+
+    def deal(batches):
+        part, lot, held = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            if held and held + b.nbytes > LOT:
+                lot, held = lot + 1, 0
+            held += b.nbytes
+            yield pa.record_batch([*b.columns, pa.array([f"{part}-{lot}"] * len(b), pa.string())], names=["doc_id", "text", "lot"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, lot string"
+    path = new_folder(docs.sparkSession, "toxic-docs")
+    rows.mapInArrow(deal, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def by_lot(b: pa.RecordBatch):
+    """lot, place of the first row and texts of each run of rows of one lot, of about a million letters at most."""
+    lots, texts = b.column("lot").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+    edges = [i for i in range(len(lots)) if not i or lots[i] != lots[i - 1]] + [len(lots)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        for first, last in slices(texts[a:z]):
+            yield lots[a], a + first, texts[a + first : a + last]
+
+
+def lists_of(texts: list[str]) -> list[list[str]]:
+    return [[w for w in _SPLIT.split(t.lower()) if w] for t in texts]
+
+
+def lot_words(docs: DataFrame) -> DataFrame:
+    """lot, word: the distinct words of each lot."""
+
+    def collect(batches):
+        now, held = None, set()
+
+        def listed():
+            words = list(held)
+            for k in range(0, len(words), 100_000):
+                part = words[k : k + 100_000]
+                yield pa.record_batch([pa.array([now] * len(part), pa.string()), pa.array(part, pa.string())], names=["lot", "word"])
 
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log of toxic over ordinary probability of each word."""
-        who, before, with_it = steps(words)
-        if not len(who):
-            return np.zeros(len(words))
-        at = np.minimum(np.searchsorted(self.keys, with_it), len(self.keys) - 1)
-        known = self.keys[at] == with_it
-        up = np.minimum(np.searchsorted(self.keys, before), len(self.keys) - 1)
-        value = np.where(known, self.step[at], np.where(self.keys[up] == before, self.miss[up], 0))
-        return np.bincount(who, value, minlength=len(words))
+        for b in batches:
+            for lot, _, texts in by_lot(b):
+                if lot != now:
+                    yield from listed()
+                    now, held = lot, set()
+                for words in lists_of(texts):
+                    held.update(words)
+        yield from listed()
+
+    return docs.select("lot", "text").mapInArrow(collect, "lot string, word string")
+
+
+def ratios_by_lot(docs: DataFrame, counts: DataFrame) -> str:
+    """Folder of the files that hold, for each lot, the log ratios of its words."""
+    spark = docs.sparkSession
+    words = written(lot_words(docs).groupBy("word").agg(F.collect_set("lot").alias("lots")), "toxic-words")
+    ratios = written(word_ratios(words, counts), "toxic-ratios")
+    rows = words.join(ratios, "word").select(F.explode("lots").alias("lot"), "word", "ratio")
+    path = new_folder(spark, "toxic-lots")
+    rows.repartition(partitions(spark), "lot").sortWithinPartitions("lot").write.option("compression", "zstd").partitionBy("lot").parquet(path)
+    return path
 
 
 class Scorer:
-    """Remembers the ratio of each word it met; a document is then a sum."""
+    """Holds the ratio of each word of one lot; a document is then a sum."""
 
-    def __init__(self, model: KneserNey) -> None:
-        self.model = model
+    def __init__(self, folder: str, lot: str) -> None:
+        fs, at = pafs.FileSystem.from_uri(folder)
         self.known: dict[str, float] = {}
+        for f in fs.get_file_info(pafs.FileSelector(f"{at}/lot={lot}", allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                with fs.open_input_file(f.path) as source:
+                    for b in pq.ParquetFile(source).iter_batches(100_000):
+                        self.known.update(zip(b.column("word").to_pylist(), b.column("ratio").to_pylist(), strict=True))
 
     def values(self, texts: list[str]) -> np.ndarray:
         """What describes each text; all 0 without words."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        lists = [[w for w in _SPLIT.split(t.lower()) if w] for t in texts]
-        new = list({w for ws in lists for w in ws if w not in self.known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.known.update(zip(part, self.model.ratios(part).tolist(), strict=True))
         out = np.zeros((len(texts), 7))
-        for i, ws in enumerate(lists):
+        for i, ws in enumerate(lists_of(texts)):
             if ws:
                 r = np.fromiter((self.known[w] for w in ws), np.float64, len(ws))
                 z = r - np.median(r)
@@ -175,24 +249,29 @@ class Scorer:
 
 
 N_VALUES = 16
-_SCORERS: dict[str, Scorer] = {}
 
 
-class Toxicity:
-    """The two models, in a broadcast variable, and the logistic fit."""
+def described(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, worded, x: whether a row of docs has words, and what describes it."""
+
+    def run(batches):
+        now, scorer = None, None
+        for b in batches:
+            for lot, first, texts in by_lot(b):
+                if lot != now:
+                    now, scorer = lot, None
+                    scorer = Scorer(folder, lot)
+                x = scorer.values(texts)
+                worded = pa.array([bool(_SPLIT.sub("", t)) for t in texts])
+                yield pa.record_batch([b.column("doc_id").slice(first, len(texts)), worded, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_VALUES, pa.int32()), pa.array(x.ravel()))], names=["doc_id", "worded", "x"])
+
+    return docs.select("doc_id", "text", "lot").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, worded boolean, x array<double>")
 
-    def __init__(self, models: Broadcast, share: float) -> None:
-        self.models, self.share, self.weights = models, share, None
-        self.name = uuid.uuid4().hex
 
-    def scorer(self) -> Scorer:
-        if self.name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[self.name] = Scorer(self.models.value)
-        return _SCORERS[self.name]
+class Logistic:
+    """Logistic regression by Newton's steps, with a small ridge."""
 
-    def fit(self, x: np.ndarray, label: np.ndarray, steps: int = 30) -> "Toxicity":
-        """Logistic regression by Newton's steps, with a small ridge."""
+    def __init__(self, x: np.ndarray, label: np.ndarray, steps: int = 30) -> None:
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
         w = np.zeros(z.shape[1])
@@ -201,56 +280,38 @@ class Toxicity:
             h = (z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(len(w))
             w -= np.linalg.solve(h, z.T @ (p - label) + 0.5 * w)
         self.weights = w
-        return self
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(texts), self.share)
-        x = self.scorer().values(texts)
-        z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
-        return np.where([bool(_SPLIT.sub("", t)) for t in texts], 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30))), self.share)
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        # One row's products are summed alike wherever the row stands.
+        z = self.weights[0] + np.einsum("ij,j->i", (x - self.mean) / self.scale, self.weights[1:])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
-    text_batches(docs.sparkSession)
-    known = written(labelled(labels), "toxic-labels")
-    counted = beginnings(word_counts(docs, known))
-    n = known.filter(fold(F.col("doc_id")) != 1).count()
-    table = counted.filter(F.col("toxic") + F.col("ordinary") >= max(MIN_DOCS, n / SHARE)).toArrow()
-    rows = known.filter(fold(F.col("doc_id")) == 1)
-    picked = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+def train(rows: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Logistic | None:
+    """The fit on described rows; None with labels of one kind only."""
+    learned = known.filter(fold(F.col("doc_id")) == 1)
+    picked = [learned.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     # At most 2 * sample ids: bounded, so they are broadcast.
     ids = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("__id"), "label"))
-    model = Toxicity(docs.sparkSession.sparkContext.broadcast(KneserNey(table)), 0.0)
-    del table
-
-    def describe(batches):
-        scorer = model.scorer()
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for first, last in slices(texts):
-                x = scorer.values(texts[first:last])
-                yield pa.record_batch([b.column("label").slice(first, last - first).cast(pa.int32()), *[pa.array(x[:, j]) for j in range(x.shape[1])]], names=["label", *[f"x{j}" for j in range(x.shape[1])]])
-
-    columns = [f"x{j}" for j in range(N_VALUES)]
-    got = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select("label", "text").mapInArrow(describe, "label int, " + ", ".join(f"{c} double" for c in columns)).toPandas()
-    got = got.sort_values(["label", *columns])
-    label = got["label"].to_numpy(float)
-    shares = known.agg(F.avg("label")).first()[0]
-    model.share = float(shares or 0.0)
-    if len(set(label)) == 2:
-        model.fit(got[columns].to_numpy(float), label)
-    return model
+    got = rows.join(ids, F.col("doc_id") == F.col("__id")).select("label", *[F.col("x")[j].alias(f"x{j}") for j in range(N_VALUES)]).toPandas()
+    got = got.sort_values(list(got.columns)).to_numpy(float)
+    return Logistic(got[:, 1:], got[:, 0]) if len(set(got[:, 0])) == 2 else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    model = train(docs, labels)
+    text_batches(docs.sparkSession)
+    known = written(labelled(labels), "toxic-labels")
+    share = float(known.agg(F.avg("label")).first()[0] or 0.0)
+    copy = dealt(docs)
+    counts = written(word_counts(copy, known), "toxic-counts")
+    rows = written(described(copy, ratios_by_lot(copy, counts)), "toxic-described")
+    model = train(rows, known)
 
     @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        texts = [t or "" for t in column]
-        return pd.Series(np.concatenate([np.zeros(0), *[model.scores(texts[a:b]) for a, b in slices(texts)]]).astype(float))
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.stack(x.to_list())) if len(x) else [], dtype=float)
 
-    rows = docs.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), score("text").alias("score"))
+    rows = rows.withColumn("score", F.when(F.col("worded"), score("x")).otherwise(F.lit(share)) if model else F.lit(share))
+    rows = rows.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "score")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

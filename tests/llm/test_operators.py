@@ -267,6 +267,30 @@ def test_quality_ignores_held_out_labels(spark):
     assert sorted(map(str, quality.quality(docs, labels).collect())) == sorted(map(str, quality.quality(docs, turned).collect()))
 
 
+def random_words(r, n, size=12):
+    return ["".join(w) for w in r.choice(list("abcdefghijklmnopqrstuvwxyz"), (n, size))]
+
+
+@pytest.mark.parametrize("kind", ["rare", "ending"])
+def test_toxicity_knows_rare_words_and_endings(spark, kind):
+    """Words that two counted documents hold, and words that differ only behind the ninth letter."""
+    r = np.random.default_rng(11)
+    common, ids = random_words(r, 40), np.arange(1500)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in ids])
+    toxic = r.random(len(ids)) < 0.5
+    own = [[] for _ in ids]
+    for k in (False, True):
+        counted, rest = ids[(toxic == k) & (fold > 1)], ids[(toxic == k) & (fold < 2)]
+        for n, word in enumerate(random_words(r, len(rest) * 4)):
+            for i in (*r.choice(counted, 2, replace=False), rest[n % len(rest)]):
+                own[i].append(word if kind == "rare" else "unbelievable" + ("nasty" if k else "charming"))
+    texts = [" ".join([*r.choice(common, 40), *w]) for w in own]
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(ids, texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(int(i), int(t)) for i, t in zip(ids, toxic)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.toxicity(docs, labels).filter("held_out").collect()}
+    assert np.mean([got[i] == toxic[i] for i in got]) >= 0.9
+
+
 # ---- 8
 
 
