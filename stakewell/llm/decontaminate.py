@@ -8,8 +8,9 @@ long as an item has a weighted shingle similarity of SIMILARITY or more to it.
    shingle weight, hence one of any shingles of the item that weigh more than that
    together. Each item chooses such shingles, the ones with the longest words, and the
    longest word of each as anchor. Words of documents are looked up among the
-   anchors; where the whole shingle agrees, the item-sized window around it is taken.
-   No window that could pass is lost, and no other is ever made.
+   anchors; where the whole shingle agrees, every item-sized window that contains it is a
+   candidate, wherever in the item the shingle stands. Taken are those with as many shingles
+   of the item as SIMILARITY asks at least (8/9 of a window of the item's size). No window that could pass is lost.
 2. Fingerprints. Equal windows are one. Each gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index Hamming join. Fingerprints are cut into BLOCKS blocks; two within RADIUS
    bits differ by at most RADIUS // BLOCKS bits in some block (pigeonhole), so the items are
@@ -60,7 +61,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """word, gram, offset, n_gram, back, n_words: where a chosen shingle of an item begins before its anchor word, and where the item does.
+    """word, gram, offset, n_gram, n_words, weight, theirs: where a chosen shingle of an item begins before its anchor word, and the hashes of the item's shingles.
 
     Distinct over items: the same passage in many items gives its rows once.
     """
@@ -73,21 +74,36 @@ def anchors_of(items: DataFrame) -> DataFrame:
     key = F.sha2(F.array_join("words", " "), 256)
     lists = rows.groupBy(key.alias("key")).agg(F.first("words").alias("words"), F.first("weight").alias("weight"), F.sort_array(F.collect_list(F.struct((-F.length("word")).alias("rank"), "word", "at", "gram", "offset", "n_gram"))).alias("all"))
     enough = F.floor((1 - SIMILARITY) * F.col("weight") + 1e-9).cast("int") + 1
-    chosen = lists.select(F.size("words").alias("n_words"), F.explode(F.slice("all", 1, enough)).alias("g"))
-    return chosen.select("g.word", "g.gram", "g.offset", "g.n_gram", (F.col("g.at") + F.col("g.offset")).alias("back"), "n_words").distinct()
+    theirs = F.sort_array(F.transform(F.array_distinct(F.col("all.gram")), lambda s: F.xxhash64(s)))
+    chosen = lists.select(F.size("words").alias("n_words"), "weight", theirs.alias("theirs"), F.explode(F.slice("all", 1, enough)).alias("g"))
+    return chosen.select("g.word", "g.gram", "g.offset", "g.n_gram", "n_words", "weight", "theirs").distinct()
 
 
 def windows_of(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """doc_id, start (in words), words: all item-sized windows that hold a chosen shingle of an item of their size."""
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     hits = rows.select("doc_id", "words", F.posexplode("words").alias("p", "word")).join(small(anchors), "word")
-    n = F.size("words")
     same = _run(F.col("words"), F.greatest(F.col("p") - F.col("offset") + 1, F.lit(1)), F.col("n_gram")) == F.col("gram")
-    # At the ends of a text the window is as much of the item's size as there is.
-    start = F.greatest(F.col("p") - F.col("back"), F.lit(0))
-    length = F.least(F.col("p") - F.col("back") + F.col("n_words"), n) - start
     hits = hits.filter((F.col("p") >= F.col("offset")) & same)
-    return hits.select("doc_id", start.alias("start"), F.slice("words", start + 1, length).alias("window")).distinct()
+    # Words that some window around the shingle holds, and which of their shingles are the item's.
+    n, at = F.size("words"), F.col("p") - F.col("offset")
+    first = at - (F.col("n_words") - F.col("n_gram"))
+    low = F.greatest(first, F.lit(0))
+    near = F.slice("words", low + 1, F.least(at + F.col("n_words"), n) - low)
+    hits = hits.select("doc_id", "words", "n_words", "weight", "theirs", n.alias("n"), at.alias("last"), first.alias("first"), low.alias("low"), shingles_of(near).alias("near"))
+    hits = hits.withColumn("own", F.transform("near", lambda s: F.array_contains(F.col("theirs"), F.xxhash64(s)).cast("int")))
+    # At the ends of a text the window is as much of the item's size as there is.
+    begin = lambda s: F.greatest(s, F.lit(0))
+    length = lambda s: F.least(s + F.col("n_words"), F.col("n")) - begin(s)
+
+    def enough(s: Column) -> Column:
+        size = F.greatest(length(s) - (SHINGLE - 1), F.lit(1))
+        held = F.aggregate(F.slice("own", begin(s) - F.col("low") + 1, size), F.lit(0), lambda acc, x: acc + x)
+        return held >= (F.col("weight") + size) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+
+    starts = F.filter(F.sequence(F.col("first"), F.col("last")), enough)
+    hits = hits.select("doc_id", "words", "n_words", "n", F.explode(starts).alias("s"))
+    return hits.select("doc_id", begin(F.col("s")).alias("start"), F.slice("words", begin(F.col("s")) + 1, length(F.col("s"))).alias("window")).distinct()
 
 
 def simhash(shingles: Column) -> Column:

@@ -160,6 +160,18 @@ def test_leaks_edits_and_odd_rows(spark):
     assert decontaminate.matches(frame.limit(0), bench).count() == 0 and decontaminate.matches(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_with_moved_halves(spark):
+    """A passage whose halves changed places is found, in all windows that brute force finds."""
+    item = [f"word{i}{'x' * (i * 7 % 11)}" for i in range(60)]
+    texts = [item[30:] + item[:30], ["before"] * 9 + item[30:] + item[:30] + ["behind"] * 9, item[40:] + item[20:40] + item[:20], item[20:] + ["between"] + item[:20]]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.start) for r in decontaminate.matches(frame, bench).collect() if r.n_words == 60}
+    grams = shingle_counts(" ".join(item))[1]
+    want = {(i, k) for i, w in enumerate(texts) for k in range(len(w) - 59) if similarity(shingle_counts(" ".join(w[k : k + 60]))[1], grams) >= 0.8}
+    assert got == want and {0, 1} <= {i for i, _ in want}
+
+
 # ---- 5
 
 
