@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or a new local one where it is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stakewell-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -34,6 +39,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_of(df: DataFrame) -> str | None:
+    """The folder of a table that `written` made."""
+    files = df.inputFiles()
+    return files[0].rpartition("/")[0] if files else None
+
+
+def discard(folder: str | None) -> None:
+    """Deletes a written table that nothing reads any more."""
+    if folder:
+        fs, at = pafs.FileSystem.from_uri(folder)
+        fs.delete_dir(at)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker waits for later tasks beside the JVM and other workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever their users called their columns."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows allow it, else df as it is (Spark then joins by shuffle)."""
     n = df.count() if rows is None else rows

@@ -15,14 +15,14 @@ From bands to classes without all pairs of a band's group:
 2. In each band group every text is compared, by its exact similarity, with the
    group's leader: the text that most texts share bands with. Links are
    contracted to classes.
-3. Groups that still hold several classes are compared in full, in tiles of TILE
-   texts, by matrix products over their shingles; only links come out. Texts whose
-   unshared shingles exceed what a similar pair leaves over are left out before.
+3. Groups that still hold several classes are compared in tiles of at most TILE texts and TILE_ELEMENTS
+   shingles, by matrix products; only links come out, and a group's largest class isn't compared with itself. Texts whose
+   unshared shingles exceed what a similar pair leaves over are left out before, and so are groups that hold the same texts as another.
 
 Null and empty texts have no shingles: each is a class of its own. Rows that
 share a doc_id but not the text are different documents; repeated rows are
 copies. A null doc_id takes part (its class is named by the least id, nulls
-last). Extra columns are ignored. An empty table gives an empty result.
+last). Very long texts are sketched whole, alone in their slice. Of ties (equal ids and texts) all rows are kept by `near_duplicates`, one by `deduplicated`. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, joined, mix, slices, small, span_hashes, text_batches, word_spans, written
+from .common import WORD_BYTE, discard, folder_of, fresh, give_back, joined, mix, slices, small, span_hashes, text_batches, word_spans, written
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -41,7 +41,11 @@ BANDS = 40
 COORDINATES = ROWS * BANDS
 #: Darts a document keeps: COORDINATES * (ln COORDINATES + 5), so that an empty coordinate is a matter of e**-5.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 5))
+#: Texts and elements of a tile.
 TILE = 256
+TILE_ELEMENTS = 1 << 18
+#: Characters of texts that are worked on at once.
+SLICE = 200_000
 #: Ranks are cut into [0, 2**FIRST), [2**FIRST, 2**(FIRST+1)), ...
 FIRST = -6
 _GOLD = 0x9E3779B97F4A7C15
@@ -174,7 +178,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            for first, last in slices(texts, 500_000):
+            for first, last in slices(texts, SLICE):
                 part = texts[first:last]
                 got, who, whole = shingles(part)
                 s, w, n = weighed(got, who)
@@ -191,6 +195,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 size = np.where(total > 0, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(_signed(band[total > 0].reshape(-1))))
                 yield pa.record_batch([b.column("id").slice(first, last - first), b.column("th").slice(first, last - first), pa.array(_signed(whole)), pa.array(_signed(second)), pa.array(total), lists], names=["id", "th", "whole", "check", "n", "bands"])
+                del got, who, whole, s, w, n, sig, rows, band, second
+            give_back()
 
     text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, "id long, th long, whole long, check long, n long, bands array<long>")
@@ -203,7 +209,7 @@ def element_lists(texts: DataFrame) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             want = b.column("whole").to_numpy()
-            for first, last in slices(texts, 500_000):
+            for first, last in slices(texts, SLICE):
                 got, who, whole = shingles(texts[first:last])
                 e, w = elements(got, who)
                 order = np.lexsort((e, w))
@@ -211,16 +217,18 @@ def element_lists(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(_signed(e[order])))
                 rows = pa.record_batch([b.column("key").slice(first, last - first), lists], names=["key", "elements"])
                 yield rows.filter(pa.array(_signed(whole) == want[first:last]))
+                del got, who, whole, e, w, order
+            give_back()
 
     text_batches(texts.sparkSession)
     return texts.select("key", "whole", "text").mapInArrow(run, "key long, elements array<long>")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """v, root: the least vertex of each component of links (a, b), by large-star and small-star steps."""
+def components(links: DataFrame) -> DataFrame:
+    """v, root: the least vertex of each component of links (a, b) for every other vertex of it, by large-star and small-star steps until nothing changes."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
     before = None
-    for _ in range(rounds):
+    while True:
         # Large star: neighbours above a vertex link to its least neighbour.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -228,66 +236,100 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         # Small star: a vertex and its smaller neighbours link to the least of them.
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = large.join(m, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small_.filter("u <> v").distinct(), "cc")
+        old, edges = folder_of(edges), written(small_.filter("u <> v").distinct(), "cc")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
         before = now
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+
+
+def _compare(left: list, right: list | None) -> np.ndarray:
+    """Shared elements of each text of left with each of right (of left itself, if None), by matrix products."""
+    lists = left + (right or [])
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    column = np.unique(np.concatenate(lists), return_inverse=True)[1]
+    keep = np.bincount(column)[column] > 1  # an element of one text adds nothing
+    column, row = np.unique(column[keep], return_inverse=True)[1], row[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    n = len(left)
+    shared = np.zeros((n, len(right) if right else n), np.float32)
+    for k in range(0, int(column.max(initial=-1)) + 1, 4096):
+        block = np.zeros((len(lists), 4096), np.float32)
+        a, z = np.searchsorted(column, (k, k + 4096))
+        block[row[a:z], column[a:z] - k] = 1
+        shared += block[:n] @ (block[n:] if right else block).T
+    return shared
 
 
 def _tiles(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links (a, b) between texts of different classes in the same group; members: grp, key, cls, size."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("key"), tiles).cast("int")
-    # A tile meets itself and every other one: the cell (i, j), i <= j, gets the rows of both.
-    cells = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
-    rows = members.withColumn("cell", F.explode(cells)).select("grp", "cell.i", "cell.j", "key", "cls").join(lists, "key")
+    """Links (a, b) between texts of different classes in the same group; members: grp, key, cls, n.
+
+    The largest class of a group need not be compared with itself: the others are cut into tiles that meet one another, and
+    meet each slice of the largest class.
+    """
+    counts = members.groupBy("grp", "cls").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+    main = counts.groupBy("grp").agg(F.max(F.struct("c", "cls", "e")).alias("m"), F.sum("c").alias("c"), F.sum("e").alias("e"))
+    parts = lambda c, e: F.greatest(F.ceil(c / TILE), F.ceil(e / TILE_ELEMENTS)).cast("int")
+    main = main.select("grp", F.col("m.cls").alias("main"), parts(F.col("m.c"), F.col("m.e")).alias("slices"), parts(F.col("c") - F.col("m.c"), F.col("e") - F.col("m.e")).alias("tiles"))
+    rows = members.join(main, "grp")
+    in_main = F.col("cls") == F.col("main")
+    mine = F.pmod(F.xxhash64("key"), F.when(in_main, F.col("slices")).otherwise(F.col("tiles"))).cast("int")
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_main = F.transform(upto(F.col("slices")), lambda k: cell(0, mine, k, F.lit(0)))
+    with_others = F.transform(upto(F.col("tiles")), lambda t: cell(1, F.least(t, mine), F.greatest(t, mine), mine > t))
+    cells = F.when(in_main, F.transform(upto(F.col("tiles")), lambda t: cell(0, t, mine, F.lit(1)))).otherwise(F.concat(with_main, with_others))
+    rows = rows.withColumn("cell", F.explode(cells)).select("grp", "cell.*", "key", "cls").join(lists, "key")
 
     def compare(pdf):
         import pandas as pd
 
-        out = []
-        keys, cls = pdf["key"].to_numpy(), pdf["cls"].to_numpy()
-        n = pdf["elements"].map(len).to_numpy()
-        column = np.unique(np.concatenate(list(pdf["elements"])), return_inverse=True)[1]
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        counts = np.bincount(column)
-        keep = counts[column] > 1  # an element of one text adds nothing
-        column, row = np.unique(column[keep], return_inverse=True)[1] if keep.any() else np.zeros(0, np.int64), row[keep]
-        shared = np.zeros((len(n), len(n)), np.float32)
-        for k in range(0, int(column.max(initial=-1)) + 1, 4096):
-            block = np.zeros((len(n), 4096), np.float32)
-            at = (column >= k) & (column < k + 4096)
-            block[row[at], column[at] - k] = 1
-            shared += block @ block.T
-        total = n[:, None] + n[None, :] - shared
-        i, j = np.nonzero(np.triu((shared >= SIMILARITY * total - 1e-6) & (cls[:, None] != cls[None, :]), 1))
-        out = pd.DataFrame({"a": keys[i], "b": keys[j]})
-        # Links beyond a forest of the tile's classes say nothing new.
-        return out.iloc[np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]), axis=1, return_index=True)[1]] if len(out) else out
-
-    return rows.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
+        first, second = (pdf[pdf["side"] == k] for k in (0, 1))
+        same = bool(pdf["kind"].iloc[0] == 1 and pdf["i"].iloc[0] == pdf["j"].iloc[0])
+        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        if not len(first) or not (same or len(second)):
+            return none
+        second = first if same else second
+        shared = _compare(first["elements"].to_list(), None if same else second["elements"].to_list())
+        total = first["elements"].map(len).to_numpy()[:, None] + second["elements"].map(len).to_numpy()[None, :] - shared
+        (ka, ca), (kb, cb) = ((f["key"].to_numpy(), f["cls"].to_numpy()) for f in (first, second))
+        i, j = np.nonzero((shared >= SIMILARITY * total - 1e-6) & (ca[:, None] != cb[None, :]))
+        give_back()
+        if not len(i):
+            return none
+        # Links beyond one for two classes say nothing new.
+        one = np.unique(np.stack([np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])]), axis=1, return_index=True)[1]
+        return pd.DataFrame({"a": ka[i][one], "b": kb[j][one]})
+
+    return rows.groupBy("grp", "kind", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _distinct_groups(rows: DataFrame) -> DataFrame:
+    """The rows of one group of each set of members: copies collide in many bands alike."""
+    sets = rows.groupBy("grp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.min("key").alias("k"))
+    return rows.join(sets.groupBy("c", "x", "y", "k").agg(F.min("grp").alias("grp")).select("grp"), "grp", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """id, th (hash of the text), n, root of every row of docs: root names its class (null: no shingles)."""
+    """id, th (hash of the text), least (of the class: whether its id is null, id, th), size (of the class) of every row of docs; null without shingles."""
     sketched = written(sketch(docs), "dart-sketch")
     # Equal words are one text: its key is a hash of both its hashes.
     key = F.xxhash64("whole", "check")
-    texts = sketched.filter("n > 0").groupBy(key.alias("key")).agg(F.min("id").alias("id"), F.first("whole").alias("whole"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("least")
+    texts = sketched.filter("n > 0").groupBy(key.alias("key")).agg(least, F.count("*").alias("copies"), F.first("whole").alias("whole"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = written(texts, "dart-texts")
-    bands = texts.select("key", "n", F.explode("bands").alias("grp"))
+    bands = texts.select("key", F.explode("bands").alias("grp"))
     sizes = bands.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
     groups = written(bands.join(sizes, "grp"), "dart-groups")
     # How many texts share bands with a text: the leader of a group is the one with the most.
-    met = written(groups.groupBy("key").agg(F.sum("size").alias("met")), "dart-met")
-    wanted = written(texts.select("key", F.col("id").alias("__id"), "whole").join(met.select("key"), "key"), "dart-wanted")
-    of_text = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("text")).join(small(wanted), F.col("__doc").eqNullSafe(F.col("__id")))
+    met = groups.groupBy("key").agg(F.sum("size").alias("met"))
+    met = written(texts.select("key", "n", F.col("least.id").alias("wid"), "whole").join(met, "key"), "dart-met")
+    wanted = met.select("key", "wid", "whole")
+    of_text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("text")).join(small(wanted), F.col("doc").eqNullSafe(F.col("wid")))
     lists = written(element_lists(of_text).groupBy("key").agg(F.first("elements").alias("elements")), "dart-elements")
-    members = groups.select("grp", "key", "n").join(met, "key")
+    members = groups.select("grp", "key").join(met.select("key", "n", "met"), "key")
     leaders = members.groupBy("grp").agg(F.max(F.struct("met", "key", "n")).alias("l")).select("grp", F.col("l.key").alias("lead"), F.col("l.n").alias("lead_n"))
     stars = members.join(leaders, "grp").filter(f"key <> lead AND least(n, lead_n) >= {SIMILARITY} * greatest(n, lead_n) - 1e-9")
     stars = stars.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
@@ -299,30 +341,40 @@ def classes(docs: DataFrame) -> DataFrame:
     # Groups that still hold several classes, without the texts that can be in no pair: those
     # whose unshared elements exceed what a similar pair leaves over.
     cls = F.coalesce("root", "key").alias("cls")
-    placed = written(groups.select("grp", "key").join(roots, F.col("key") == F.col("v"), "left").select("grp", "key", cls), "dart-placed")
 
     def several(rows: DataFrame) -> DataFrame:
-        mixed = rows.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-        return rows.join(mixed.select("grp", "size"), "grp")
+        mixed = rows.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
+        return rows.join(mixed.select("grp"), "grp", "left_semi")
 
-    open_ = written(several(placed), "dart-open")
+    placed = groups.select("grp", "key").join(roots, F.col("key") == F.col("v"), "left").select("grp", "key", cls)
+    open_ = written(_distinct_groups(several(placed)), "dart-open")
+    discard(folder_of(groups))
     theirs = lists.join(open_.select("key").distinct(), "key")
     alone = theirs.select("key", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    fit = theirs.select("key", F.size("elements").alias("n")).join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("key")
-    rest = several(open_.select("grp", "key", "cls").join(fit, "key"))
+    fit = theirs.select("key", F.size("elements").alias("n")).join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("key", "n")
+    rest = written(_distinct_groups(several(open_.join(fit, "key"))), "dart-rest")
     more = written(_tiles(rest, lists).distinct(), "dart-more")
+    discard(folder_of(lists))
     if more.limit(1).count():
-        roots = components(links.union(more))
-    named = texts.select("key").join(roots, F.col("key") == F.col("v"), "left").select("key", F.coalesce("root", "key").alias("root"))
-    return sketched.select("id", "th", "n", F.when(F.col("n") > 0, key).alias("key")).join(named, "key", "left").select("id", "th", "n", "root")
+        old, roots = roots, components(links.union(more))
+        discard(folder_of(old))
+    # Classes of several texts: their figures go to the texts, not to the rows, so that copies don't meet by class.
+    both = roots.union(roots.select("root", "root").distinct())
+    linked = written(texts.select("key", "least", "copies").join(both, F.col("key") == F.col("v")).drop("v"), "dart-linked")
+    figures = written(linked.groupBy("root").agg(F.min("least").alias("least"), F.sum("copies").alias("size")), "dart-figures")
+    of_class = linked.select("key", "root").join(small(figures), "root").select("key", F.col("least").alias("l"), F.col("size").alias("s"))
+    named = texts.select("key", "least", "copies").join(of_class, "key", "left").select("key", F.coalesce("l", "least").alias("least"), F.coalesce("s", "copies").alias("size"))
+    named = written(named, "dart-named")
+    discard(folder_of(texts))
+    rows = sketched.filter("n > 0").select("id", "th", key.alias("key")).join(named, "key").select("id", "th", "least", "size")
+    empty = sketched.filter("n = 0").select("id", "th", F.lit(None).cast(named.schema["least"].dataType).alias("least"), F.lit(None).cast("long").alias("size"))
+    return rows.unionByName(empty)
 
 
 def _classed(docs: DataFrame) -> DataFrame:
-    rows = written(classes(docs), "dart-rows")
-    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("least"), F.count("*").alias("size"))
-    out = rows.join(least, "root", "left")
+    out = classes(docs)
     class_id = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
-    first = F.col("least").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("th") == F.col("least.th")))
+    first = F.col("least").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & F.col("th").eqNullSafe(F.col("least.th")))
     return out.select(F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce("size", F.lit(1)).alias("class_size"), first.alias("kept"), "th")
 
 
@@ -334,10 +386,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one of least doc_id; repeated rows of it count as one."""
     marks = written(_classed(docs), "dart-marks")
-    gone = marks.filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th")).distinct()
-    this = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_th"))
+    gone_id, gone_th, th = fresh("gone_id", docs), fresh("gone_th", docs), fresh("th", docs)
+    gone = marks.filter("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct()
+    this = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_th))
     out = docs.join(small(gone), this, "left_anti")
     kept = marks.filter("kept AND class_size > 1")
     if kept.count() == kept.select("doc_id", "th").distinct().count():
         return out
-    return out.withColumn("__th", F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc_id", "__th"]).drop("__th")
+    return out.withColumn(th, F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc_id", th]).drop(th)

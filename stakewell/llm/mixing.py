@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import fresh, small, written
 
 #: Fixed values of the contract.
 WEIGHTS = (3, 1, 2)
@@ -103,12 +103,13 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     sized = written(sizes(docs), "mix-sizes")
     by_source = written(sized.groupBy("src", "last").agg(F.sum("size").alias("source_size")), "mix-sources")
     n = by_source.count()
-    cut = thresholds(sized, targets(by_source, weights)).select(F.col("src").alias("__src"), F.col("base").alias("__base"), F.col("below").alias("__below"))
+    key, base, below, copy = (fresh(c, docs) for c in ("src", "base", "below", "copy"))
+    cut = thresholds(sized, targets(by_source, weights)).select(F.col("src").alias(key), F.col("base").alias(base), F.col("below").alias(below))
     source = F.col("source").cast("string")
     src = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
-    rows = docs.join(small(cut, n), src == F.col("__src"))
-    copies = (F.col("__base") + (hash_of(F.col("doc_id")) < F.col("__below")).cast("long")).cast("int")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).filter(F.col("__copy") > 0).select(*docs.columns)
+    rows = docs.join(small(cut, n), src == F.col(key))
+    copies = (F.col(base) + (hash_of(F.col("doc_id")) < F.col(below)).cast("long")).cast("int")
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(0), copies))).filter(F.col(copy) > 0).select(*docs.columns)
 
 
 ORACLE = r"""

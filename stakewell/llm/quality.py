@@ -1,17 +1,16 @@
 """Quality classifier: gated-attention multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is described by
-FEATURES (shares of letter case, marks, repeated and distinct words, lengths), all
-of them counted over the whole text. A passage is encoded, gated attention gives
+A document is a bag of passages of PASSAGE words. Each passage is described by its words, hashed to
+LEXICAL buckets, and by MARKS (shares of letter case, marks, repeated and distinct words, lengths), all
+of them counted over the whole text. A passage is encoded (the buckets' embeddings are learned with the rest), gated attention gives
 it a weight in its document, and the weighted sum of encodings is scored. Only
 documents have labels; the attention learns which passages carry them.
 
-Training takes at most SAMPLE labelled documents of each label, the ones of least
-id hash, whose passage features come to the driver (numbers, no texts; long
-documents lend at most PASSAGES evenly spaced passages to training, all of them to scores).
+Training takes labelled documents in the order of their ids' hashes, with all their passages: at most SAMPLE
+of each label and at most SAMPLE_PASSAGES passages of each label, so that what comes to the driver is bounded (numbers, no texts).
 Scoring covers every passage of every document.
 
-Null and empty texts are one passage without words. Labels that contradict each
+Null and empty texts are one passage without words. Very long texts are read whole. Ties in the order of training rows go by id. Labels that contradict each
 other on one doc_id, and null labels, are not learned from. With no labels of
 one kind every score is the share of label 1 (0.5 without any). Repeated rows get
 equal scores; a null doc_id is scored. Extra columns are ignored; `accepted` keeps them.
@@ -22,16 +21,22 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, fold, joined, slices, span_hashes, text_batches, word_spans
+from .common import fold, give_back, joined, slices, span_hashes, text_batches, written
 
 PASSAGE = 48
 SAMPLE = 1_500
-PASSAGES = 32
+#: Passages of documents of one label that training takes; the last document that begins within is taken whole.
+SAMPLE_PASSAGES = 30_000
+LEXICAL = 64
+#: Characters of texts that are worked on at once.
+SLICE = 400_000
 HIDDEN = 12
+ID = "label_id"
 EPOCHS = 200
+DECAY = 1e-3
 #: A document is accepted from this score on.
 ACCEPT = 0.3
 
@@ -41,7 +46,10 @@ _KIND[: ord(" ") + 1] = _SPACE
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = _UPPER, _LOWER, _LOWER, _DIGIT
 for _marks, _kind in ((".,;:'\"-?()", _STOP), ("!", _SHOUT), ("#$%&*@^~+=<>\\/", _SIGN), ("|", _PIPE)):
     _KIND[[ord(c) for c in _marks]] = _kind
-FEATURES = ("upper", "digit", "stop", "shout", "sign", "pipe", "other", "mean_word", "distinct", "again", "all_upper", "log_words", "empty")
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+MARKS = ("upper", "digit", "stop", "shout", "sign", "pipe", "other", "mean_word", "distinct", "again", "all_upper", "log_words", "empty")
+FEATURES = len(MARKS) + LEXICAL
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +65,9 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bags = np.maximum(1, -(-n // PASSAGE))
     base = np.cumsum(bags) - bags
     who = np.repeat(np.arange(len(texts)), bags)
-    out = np.zeros((len(who), len(FEATURES)), np.float32)
+    out = np.zeros((len(who), FEATURES), np.float32)
     if not len(starts):
-        out[:, -1] = 1
+        out[:, len(MARKS) - 1] = 1
         return out, who
     mine = base[of] + (np.arange(len(of)) - first[of]) // PASSAGE
     words = np.bincount(mine, minlength=len(who))
@@ -82,6 +90,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[:, 10] = np.bincount(mine, loud, minlength=len(who)) / some
     out[:, 11] = np.log1p(words) / 4
     out[:, 12] = words == 0
+    # Words without their capitals, hashed.
+    folded = _FOLD[data]
+    bucket = (span_hashes(folded, starts, ends) >> np.uint64(40)) % np.uint64(LEXICAL)
+    held = np.bincount(mine * LEXICAL + bucket.astype(np.int64), minlength=len(who) * LEXICAL).reshape(-1, LEXICAL)
+    out[:, len(MARKS) :] = np.sqrt(held / some[:, None])
     return out, who
 
 
@@ -128,7 +141,7 @@ class Attention:
             dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
             grad = {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
             for k in p:
-                g = grad[k] + 1e-5 * p[k]
+                g = grad[k] + DECAY * p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
                 p[k] -= 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
@@ -152,37 +165,40 @@ def training_ids(labels: DataFrame, column: str, sample: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention | Constant:
     text_batches(docs.sparkSession)
-    ids = training_ids(labels, "quality", sample).select(F.col("doc_id").alias("__id"), "label")
+    ids = training_ids(labels, "quality", sample).select(F.col("doc_id").cast("long").alias(ID), "label")
 
     def describe(batches):
         for b in batches:
-            texts, label = [t or "" for t in b.column("text").to_pylist()], b.column("label").to_numpy()
-            for first, last in slices(texts):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for first, last in slices(texts, SLICE):
                 x, who = passages(texts[first:last])
-                n = np.bincount(who, minlength=last - first)
-                ends = np.cumsum(n)
-                for i in range(last - first):
-                    rows = x[ends[i] - n[i] : ends[i]]
-                    rows = rows[np.unique(np.linspace(0, len(rows) - 1, min(len(rows), PASSAGES)).astype(int))]
-                    yield pa.record_batch([pa.array([int(label[first + i])], pa.int32()), pa.array([rows.reshape(-1)], pa.list_(pa.float32()))], names=["label", "x"])
+                ends = np.cumsum(np.bincount(who, minlength=last - first)) * FEATURES
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(x.reshape(-1)))
+                yield pa.record_batch([b.column(ID).slice(first, last - first), b.column("label").slice(first, last - first), lists], names=["id", "label", "x"])
+            give_back()
 
     # At most 2 * sample ids: bounded, so they are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("label", "text").mapInArrow(describe, "label int, x array<float>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col(ID)).select(ID, "label", "text").mapInArrow(describe, "id long, label int, x array<float>")
+    rows = written(rows, "quality-bags")
+    mine = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("x"))
+    before = F.sum(F.size("x") / FEATURES).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < SAMPLE_PASSAGES).select("label", "x").toArrow()
     label = rows.column("label").to_numpy()
     if len(set(label)) < 2:
         return Constant(float(label.mean()) if len(label) else 0.5)
+    x = [np.asarray(f, np.float32).reshape(-1, FEATURES) for f in rows.column("x").to_numpy()]
     # The order in which rows arrive must not matter.
-    bags = sorted(zip(label, rows.column("x").to_pylist(), strict=True))
-    x = [np.array(f, np.float32).reshape(-1, len(FEATURES)) for _, f in bags]
-    who = np.repeat(np.arange(len(x)), [len(f) for f in x])
-    return Attention(len(FEATURES)).fit(np.concatenate(x).astype(np.float64), who, np.array([k for k, _ in bags], np.float64))
+    order = sorted(range(len(x)), key=lambda i: (label[i], x[i].tobytes()))
+    who = np.repeat(np.arange(len(x)), [len(x[i]) for i in order])
+    return Attention(FEATURES).fit(np.concatenate([x[i] for i in order]).astype(np.float64), who, label[order].astype(np.float64))
 
 
 def score(text: Column, model: Attention | Constant) -> Column:
     @F.pandas_udf("double")
     def scored(column: pd.Series) -> pd.Series:
         texts = [t or "" for t in column]
-        parts = [model.scores(*passages(texts[a:b])) for a, b in slices(texts)]
+        parts = [model.scores(*passages(texts[a:b])) for a, b in slices(texts, SLICE)]
+        give_back()
         return pd.Series(np.concatenate([np.zeros(0), *parts]).astype(float))
 
     return scored(text)
@@ -196,4 +212,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts; all columns stay."""
-    return docs.withColumn("__score", score(F.col("text"), train(docs, labels))).filter(F.col("__score") >= ACCEPT).drop("__score")
+    return docs.filter(score(F.col("text"), train(docs, labels)) >= ACCEPT)
