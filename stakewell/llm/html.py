@@ -3,17 +3,21 @@
 Pages are parsed to trees of their block elements; neighbours that look alike (items of a
 list, paragraphs) are one node. Pages of a host are aligned by simple tree matching
 (the largest order-keeping match of equal labels) and merged into the host's wrapper. A wrapper
-node knows how many pages have it, whether its text is the same on all (template) or
-varies (a slot), and how much of it is links. The content root is the smallest container
-that holds most of the text of varying slots which no menu, advert, form, notice,
-sidebar, footer or comment section claims; its slots in page order are the page's text.
+node knows some of the distinct pages that have it, whether its text is the same on all of them (template) or
+varies (a slot), which of its items (single paragraphs, entries of a list) most pages have alike, and how much of it is links.
 
-Wrappers are merged in each task, then in two levels by host: what a task or group holds is
-trees of distinct layouts, never pages. A page whose layout lacks the root is judged by itself.
+What is constant on at least KINDS distinct pages of a host is template, whatever it is called, unless it
+outweighs all that varies (then the pages are copies of one article, which tell nothing). Of varying slots, the content root is the smallest
+container that holds most of the text; slots outside it are left out, but for headings, paragraphs and second text containers beside it. Only where slots vary
+in menus, adverts, notices and comments too, their element, their class words and share of links tell them from the article.
+
+Wrappers are merged in each task, then FAN by FAN in a tree: what a task or group holds is
+trees of distinct layouts, never pages, of at most NODES nodes (beyond, the rarest go). A page whose layout lacks the root is judged by
+itself, and so are parts of a page that its wrapper doesn't know.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are
-joined by one space. Null or empty html gives ''. A null url is a host of its own.
-Repeated rows get equal texts. Very long pages are read whole. An empty table gives an empty result. Extra columns are ignored.
+joined by one space. Null or empty html gives ''. A null url is a host of its own. A tag that never ends ends the page, as in browsers.
+Repeated rows get equal texts and count as one page. Very long pages are read whole. Where two children tie as root, the first is taken. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, text_batches, written
 
 #: Bytes of wrappers up to which they may be broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -39,6 +44,18 @@ MOST = 0.6
 #: Elements nested deeper belong to the one at this depth.
 DEPTH = 120
 LINKS = 0.6
+#: Distinct pages that must agree before a constant node is template.
+KINDS = 3
+#: Share of a node's pages that must have an item alike before it is template, and items that are counted for each node.
+CONSTANT = 0.8
+ITEMS = 256
+#: Share of the root's text from which a second container beside it is kept.
+SECOND = 0.2
+#: Nodes of a wrapper, and wrappers that are merged at once.
+NODES = 4_000
+FAN = 32
+#: Layouts and hosts that a task remembers before it begins anew.
+REMEMBERED = 5_000
 
 # Fixed values of HTML: elements by how they are laid out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,7 +73,9 @@ OUT_WORDS = set(
     "share sharing social comment comments commentlist respond disqus reply replies copyright legal disclaimer masthead toolbar skip".split()
 )
 OWN_WORDS = set("article entry post content story main title body".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag: quotes count only behind "=". Nothing is tried twice, so a page is read in linear time.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_OTHER = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"))
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -108,15 +127,24 @@ class Page:
                     self.blocks.append((stack[-1][1], said, min(links, len(said))))
             text, links = [], 0
 
+        held: Counter = Counter()
+
+        def push(tag: str, node: int) -> None:
+            stack.append((tag, node))
+            held[tag] += 1
+
         def close(k: int) -> None:
             nonlocal depth_a
             gone = stack[k:]
+            held.subtract(t for t, _ in gone)
             if any(t not in INLINE for t, _ in gone):
                 flush()
             depth_a -= sum(t == "a" for t, _ in gone)
             del stack[k:]
 
         def found(tags: set[str], scope: set[str]) -> int:
+            if not any(held[t] for t in tags):
+                return 0
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in tags:
                     return k
@@ -125,19 +153,34 @@ class Page:
             return 0
 
         size = len(source)
+
+        def say(piece: str) -> None:
+            nonlocal links
+            text.append(piece)
+            if depth_a > 0:
+                links += len(piece.strip())
+
         while at < size:
-            m = _TOKEN.search(source, at)
-            end = m.start() if m else size
-            if end > at:
-                piece = source[at:end]
-                text.append(piece)
-                if depth_a > 0:
-                    links += len(piece.strip())
-            if not m:
+            begin = source.find("<", at)
+            if begin < 0:
+                say(source[at:])
                 break
-            at = m.end()
-            if not m[2]:
+            if begin > at:
+                say(source[at:begin])
+            m = _TAG.match(source, begin)
+            if not m:
+                for opens, closes in _OTHER:
+                    if source.startswith(opens, begin):
+                        stop = source.find(closes, begin + len(opens))
+                        at = stop + len(closes) if stop >= 0 else size
+                        break
+                else:
+                    if source[begin + 1 : begin + 3].lstrip("/")[:1].isalpha():
+                        break
+                    say("<")
+                    at = begin + 1
                 continue
+            at = m.end()
             tag = m[2].lower()
             if m[1]:
                 k = found({tag}, set() if tag in ("body", "html") else SCOPE - {tag} if tag not in INLINE else SCOPE | {"div", "article", "section", "li"})
@@ -161,7 +204,7 @@ class Page:
                 continue
             if tag in INLINE:
                 if tag not in VOID and not m[3].endswith("/"):
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
                     depth_a += tag == "a"
                 continue
             flush()
@@ -169,13 +212,13 @@ class Page:
                 continue
             above = stack[-1][1]
             if self.depth[above] >= DEPTH:
-                stack.append((tag, above))
+                push(tag, above)
                 continue
             label, out = label_of(tag, m[3])
             self.nodes.append(Node(tag, label, out))
             self.parent.append(above)
             self.depth.append(self.depth[above] + 1)
-            stack.append((tag, len(self.nodes) - 1))
+            push(tag, len(self.nodes) - 1)
         flush()
 
     def _collapse(self) -> None:
@@ -225,25 +268,54 @@ class Page:
         self.tree = [(self.nodes[i].label, self.nodes[i].tag, self.nodes[i].out, order[target[self.parent[i]]] if i else -1) for i in kept]
         self.blocks = [(order[target[n]], t, k) for n, t, k in self.blocks]
 
-    def figures(self) -> list[list]:
-        """By node: [pages, text hash or None if it varies, characters, link characters]."""
-        own: list[list[str]] = [[] for _ in self.tree]
-        out = [[1, 0, 0, 0] for _ in self.tree]
+    def figures(self, page: int) -> list[list]:
+        """By node: [pages, text hash or None if it varies, characters, link characters, some distinct pages, items]; page: the page's hash.
+
+        items: by hash of a block's text, [pages that have it, its characters].
+        """
+        own: list[dict[int, int]] = [{} for _ in self.tree]
+        out = [[1, 0, 0, 0, [page], {}] for _ in self.tree]
         for n, t, k in self.blocks:
-            own[n].append(t)
+            own[n][_hash(t)] = len(t)
             out[n][2] += len(t)
             out[n][3] += k
-        for n, texts in enumerate(own):
-            if texts:
-                out[n][1] = int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=7).digest(), "big")
+        for n, items in enumerate(own):
+            if items:
+                out[n][1] = _hash(" ".join(map(str, items)))
+                if len(items) > 1:
+                    out[n][5] = {h: [1, size] for h, size in items.items()}
         return out
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "big")
+
+
+def _cut(items: dict) -> dict:
+    """The ITEMS most frequent items: what the next one has is taken off each, so that counts are never too high."""
+    if len(items) <= ITEMS:
+        return items
+    most = sorted(items, key=lambda h: (-items[h][0], h))
+    off = items[most[ITEMS]][0]
+    return {h: [items[h][0] - off, items[h][1]] for h in most[:ITEMS] if items[h][0] > off}
+
+
+def _add_figures(x: list, y: list) -> None:
+    x[1] = x[1] if x[1] == y[1] else None
+    for k in (0, 2, 3):
+        x[k] += y[k]
+    x[4] = sorted({*x[4], *y[4]})[:KINDS]
+    if y[5]:
+        for h, (n, size) in y[5].items():
+            mine = x[5].setdefault(h, [0, size])
+            mine[0] += n
+        if len(x[5]) > 4 * ITEMS:
+            x[5] = _cut(x[5])
+
+
 def _add(into: list[list], more: list[list]) -> None:
     for a, b in zip(into, more, strict=True):
-        a[1] = a[1] if a[1] == b[1] else None
-        for k in (0, 2, 3):
-            a[k] += b[k]
+        _add_figures(a, b)
 
 
 class Wrapper:
@@ -251,19 +323,30 @@ class Wrapper:
 
     def __init__(self, tree: list, figures: list[list]) -> None:
         self.label, self.tag, self.out = (list(x) for x in zip(*[t[:3] for t in tree], strict=True))
-        self.figures = [list(f) for f in figures]
+        self.figures = [[*f[:5], dict(f[5])] for f in figures]
         self.children: list[list[int]] = [[] for _ in tree]
         for i, t in enumerate(tree):
             if t[3] >= 0:
                 self.children[t[3]].append(i)
 
-    def dump(self) -> str:
-        return json.dumps([self.label, self.tag, self.out, self.figures, self.children], separators=(",", ":"))
+    def dump(self, last: bool = False) -> str:
+        """As text; the last one holds of the items only the constant ones."""
+        figures = [[*f[:5], [[h, *v] for h, v in (self.constant(f) if last else _cut(f[5])).items()]] for f in self.figures]
+        return json.dumps([self.label, self.tag, self.out, figures, self.children], separators=(",", ":"))
+
+    @staticmethod
+    def constant(f: list) -> dict:
+        """Items that most pages have alike, if they are the lesser part of the node's text."""
+        if len(f[4]) < KINDS:
+            return {}
+        found = {h: v for h, v in f[5].items() if v[0] >= CONSTANT * f[0]}
+        return found if sum(n * size for n, size in found.values()) <= 0.5 * f[2] else {}
 
     @staticmethod
     def load(text: str) -> "Wrapper":
         w = Wrapper.__new__(Wrapper)
-        w.label, w.tag, w.out, w.figures, w.children = json.loads(text)
+        w.label, w.tag, w.out, figures, w.children = json.loads(text)
+        w.figures = [[*f[:5], {h: [n, size] for h, n, size in f[5]}] for f in figures]
         return w
 
     def align(self, other: "Wrapper") -> dict[int, int]:
@@ -304,16 +387,13 @@ class Wrapper:
         """Takes other in: matched nodes add their figures, the rest become new nodes after their matched neighbours."""
         found = self.align(other)
         for b, a in found.items():
-            x, y = self.figures[a], other.figures[b]
-            x[1] = x[1] if x[1] == y[1] else None
-            for k in (0, 2, 3):
-                x[k] += y[k]
+            _add_figures(self.figures[a], other.figures[b])
 
         def graft(b: int) -> int:
             self.label.append(other.label[b])
             self.tag.append(other.tag[b])
             self.out.append(other.out[b])
-            self.figures.append(list(other.figures[b]))
+            self.figures.append([*other.figures[b][:5], dict(other.figures[b][5])])
             self.children.append([])
             me = len(self.label) - 1
             self.children[me] = [graft(c) for c in other.children[b]]
@@ -328,33 +408,52 @@ class Wrapper:
                     self.children[a].insert(place, graft(c))
                     place += 1
 
+    def pruned(self) -> "Wrapper":
+        """Self, or without the rarest nodes if there are more than NODES."""
+        if len(self.label) <= NODES:
+            return self
+        least = sorted((f[0] for f in self.figures), reverse=True)[NODES - 1]
+        kept, todo = [], [(0, -1)]
+        while todo:
+            i, above = todo.pop()
+            kept.append((i, above))
+            todo += [(c, len(kept) - 1) for c in reversed(self.children[i]) if self.figures[c][0] > least or self.figures[c][0] == least and len(kept) < NODES]
+        return Wrapper([(self.label[i], self.tag[i], self.out[i], above) for i, above in kept], [self.figures[i] for i, _ in kept])
+
     def content(self) -> tuple[int, set[int]]:
         """The content root (-1: none) and the nodes whose text is content."""
         n = len(self.label)
-        live, mass, inside = [False] * n, [0] * n, [False] * n
+        named, constant, mass = [False] * n, [False] * n, [0] * n
         order, todo = [], [(0, True, False)]
         while todo:
             i, ok, article = todo.pop()
-            pages, same, chars, links = self.figures[i]
+            _, same, chars, links, kinds, _ = self.figures[i]
             article = article or self.tag[i] in SECTIONS
             ok = ok and not self.out[i] and not (self.tag[i] == "header" and not article) and not (self.tag[i] not in LEAVES and i and chars and links > LINKS * chars)
-            # The same text on several pages is template, unless it is of the kind that articles are made of.
-            template = pages > 1 and same not in (None, 0) and (self.tag[i] not in LEAVES or "." in self.label[i])
-            live[i], inside[i] = ok and not template, article
-            mass[i] = chars - links if live[i] else 0
+            named[i] = ok
+            constant[i] = len(kinds) >= KINDS and same not in (None, 0)
             order.append(i)
             todo += [(c, ok, article) for c in self.children[i]]
+        own = [f[2] - f[3] for f in self.figures]
+        # Copies of one article, in pages that differ around it, are no template.
+        if sum(own[i] for i in order if constant[i] and named[i]) > sum(own[i] for i in order if not constant[i] and named[i]):
+            constant = [c and (self.tag[i] not in LEAVES or "." in self.label[i]) for i, c in enumerate(constant)]
+        live = [ok and not c for ok, c in zip(named, constant, strict=True)]
         for i in reversed(order):
-            mass[i] += sum(mass[c] for c in self.children[i])
+            mass[i] = (own[i] if live[i] else 0) + sum(mass[c] for c in self.children[i])
         if not mass[0]:
             return -1, set()
-        root = 0
+        root, beside = 0, []
         while self.tag[root] not in SECTIONS:
             into = [c for c in self.children[root] if mass[c] >= MOST * mass[root] and self.tag[c] not in LEAVES]
             if not into:
                 break
+            # Headings and paragraphs beside the container belong to it, and so do containers of further paragraphs.
+            beside += [c for c in self.children[root] if c != into[0] and (self.tag[c] in LEAVES or mass[c] >= SECOND * mass[root] and self._leaves(c))]
             root = into[0]
-        chosen, todo = set(), [root]
+        if self.tag[root] in SECTIONS:
+            beside = []
+        chosen, todo = set(), [root, *beside]
         while todo:
             i = todo.pop()
             if live[i]:
@@ -362,6 +461,16 @@ class Wrapper:
             todo += self.children[i]
         return root, chosen
 
+    def _leaves(self, i: int) -> bool:
+        """Whether a paragraph stands below a node."""
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if self.tag[k] == "p":
+                return True
+            todo += self.children[k]
+        return False
+
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -374,6 +483,7 @@ def _merged(parts: Iterator[Wrapper]) -> Wrapper | None:
             whole = w
         else:
             whole.merge(w)
+            whole = whole.pruned()
     return whole
 
 
@@ -381,29 +491,43 @@ def induce(pages: DataFrame) -> DataFrame:
     """host, wrapper: one tree for each host."""
 
     def partial(batches):
+        pages_seen: set[int] = set()
         for b in batches:
             seen: dict[tuple[str, str], tuple[list, list]] = {}
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                name = _hash(source or "")
+                if (host, name) in pages_seen:
+                    continue
+                pages_seen.add((host, name))
                 page = Page(source or "")
                 key = (host, page.shape)
                 if key in seen:
-                    _add(seen[key][1], page.figures())
+                    _add(seen[key][1], page.figures(name))
                 else:
-                    seen[key] = page.tree, page.figures()
+                    seen[key] = page.tree, page.figures(name)
             by_host: dict[str, list[Wrapper]] = {}
-            for (host, _), (tree, figures) in sorted(seen.items()):
+            for (host, _), (tree, figures) in sorted(seen.items(), key=lambda x: x[0]):
                 by_host.setdefault(host, []).append(Wrapper(tree, figures))
             if by_host:
-                yield pa.record_batch([pa.array(list(by_host)), pa.array([TaskContext.get().partitionId() % 64] * len(by_host), pa.int32()), pa.array([_merged(iter(w)).dump() for w in by_host.values()])], names=["host", "lot", "wrapper"])
+                yield pa.record_batch([pa.array(list(by_host)), pa.array([TaskContext.get().partitionId()] * len(by_host), pa.int32()), pa.array([_merged(iter(w)).dump() for w in by_host.values()])], names=["host", "lot", "wrapper"])
+            give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = _merged(Wrapper.load(t) for t in sorted(pdf["wrapper"]))
         return pd.DataFrame({"host": pdf["host"].iloc[:1], "lot": pdf["lot"].iloc[:1], "wrapper": [whole.dump()]})
 
+    def finish(wrapper: pd.Series) -> pd.Series:
+        return wrapper.map(lambda t: Wrapper.load(t).dump(last=True))
+
     schema = "host string, lot int, wrapper string"
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, schema)
-    lots = rows.groupBy("host", "lot").applyInPandas(merge, schema)
-    return lots.groupBy("host").applyInPandas(merge, schema).select("host", "wrapper")
+    text_batches(pages.sparkSession)
+    rows = written(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, schema), "html-parts")
+    lots = (rows.agg(F.max("lot")).first()[0] or 0) + 1
+    while True:
+        lots = -(-lots // FAN)
+        rows = rows.withColumn("lot", F.floor(F.col("lot") / FAN).cast("int")).groupBy("host", "lot").applyInPandas(merge, schema)
+        if lots == 1:
+            return rows.select("host", F.pandas_udf(finish, "string")("wrapper").alias("wrapper"))
 
 
 class Extractor:
@@ -411,7 +535,7 @@ class Extractor:
 
     def __init__(self) -> None:
         self.hosts: dict[str, tuple[Wrapper, int, set[int]]] = {}
-        self.layouts: dict[tuple[str, str], set[int]] = {}
+        self.layouts: dict[tuple[str, str], dict[int, dict]] = {}
 
     def text(self, host: str, wrapper: str | None, source: str) -> str:
         page = Page(source)
@@ -419,8 +543,10 @@ class Extractor:
             return ""
         key = (host, page.shape)
         if key not in self.layouts:
-            own = Wrapper(page.tree, page.figures())
+            own = Wrapper(page.tree, page.figures(0))
             if host not in self.hosts and wrapper:
+                if len(self.hosts) >= REMEMBERED:
+                    self.hosts.clear()
                 w = Wrapper.load(wrapper)
                 self.hosts[host] = (w, *w.content())
             chosen = None
@@ -428,15 +554,25 @@ class Extractor:
                 w, root, content = self.hosts[host]
                 found = w.align(own)
                 if root in found.values():
-                    chosen = {b for b, a in found.items() if a in content}
+                    chosen = {b: w.constant(w.figures[a]) for b, a in found.items() if a in content}
+                    # Parts that the wrapper doesn't know, below a part that is content.
+                    by_itself = own.content()[1]
+                    todo = [b for b, a in found.items() if a == root]
+                    while todo:
+                        b = todo.pop()
+                        if b not in found and b in by_itself:
+                            chosen[b] = {}
+                        todo += own.children[b]
             if not chosen:
-                return self._join(page, own.content()[1])
+                return self._join(page, dict.fromkeys(own.content()[1], {}))
+            if len(self.layouts) >= REMEMBERED:
+                self.layouts.clear()
             self.layouts[key] = chosen
         return self._join(page, self.layouts[key])
 
     @staticmethod
-    def _join(page: Page, chosen: set[int]) -> str:
-        return " ".join(t for n, t, _ in page.blocks if n in chosen)
+    def _join(page: Page, chosen: dict[int, dict]) -> str:
+        return " ".join(t for n, t, _ in page.blocks if n in chosen and not (chosen[n] and _hash(t) in chosen[n]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -449,6 +585,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             texts = [extractor.text(h, w, s or "") for h, w, s in zip(*(b.column(c).to_pylist() for c in ("host", "wrapper", "html")), strict=True)]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            give_back()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")

@@ -309,7 +309,8 @@ def _tiles(members: DataFrame, lists: DataFrame) -> DataFrame:
 def _distinct_groups(rows: DataFrame) -> DataFrame:
     """The rows of one group of each set of members: copies collide in many bands alike."""
     sets = rows.groupBy("grp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.min("key").alias("k"))
-    return rows.join(sets.groupBy("c", "x", "y", "k").agg(F.min("grp").alias("grp")).select("grp"), "grp", "left_semi")
+    one = written(sets.groupBy("c", "x", "y", "k").agg(F.min("grp").alias("grp")).select("grp"), "dart-sets")
+    return rows.join(small(one), "grp", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -322,7 +323,8 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = written(texts, "dart-texts")
     bands = texts.select("key", F.explode("bands").alias("grp"))
     sizes = bands.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
-    groups = written(bands.join(sizes, "grp"), "dart-groups")
+    # What is joined by group is stored before: so a group that holds a third of all texts can be split between tasks.
+    groups = written(bands.join(written(sizes, "dart-sizes"), "grp"), "dart-groups")
     # How many texts share bands with a text: the leader of a group is the one with the most.
     met = groups.groupBy("key").agg(F.sum("size").alias("met"))
     met = written(texts.select("key", "n", F.col("least.id").alias("wid"), "whole").join(met, "key"), "dart-met")
@@ -331,7 +333,7 @@ def classes(docs: DataFrame) -> DataFrame:
     lists = written(element_lists(of_text).groupBy("key").agg(F.first("elements").alias("elements")), "dart-elements")
     members = groups.select("grp", "key").join(met.select("key", "n", "met"), "key")
     leaders = members.groupBy("grp").agg(F.max(F.struct("met", "key", "n")).alias("l")).select("grp", F.col("l.key").alias("lead"), F.col("l.n").alias("lead_n"))
-    stars = members.join(leaders, "grp").filter(f"key <> lead AND least(n, lead_n) >= {SIMILARITY} * greatest(n, lead_n) - 1e-9")
+    stars = members.join(written(leaders, "dart-leaders"), "grp").filter(f"key <> lead AND least(n, lead_n) >= {SIMILARITY} * greatest(n, lead_n) - 1e-9")
     stars = stars.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
     left, right = (lists.select(F.col("key").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
     both = stars.join(left, "a").join(right, "b")
@@ -344,7 +346,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def several(rows: DataFrame) -> DataFrame:
         mixed = rows.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-        return rows.join(mixed.select("grp"), "grp", "left_semi")
+        return rows.join(small(written(mixed.select("grp"), "dart-mixed")), "grp", "left_semi")
 
     placed = groups.select("grp", "key").join(roots, F.col("key") == F.col("v"), "left").select("grp", "key", cls)
     open_ = written(_distinct_groups(several(placed)), "dart-open")

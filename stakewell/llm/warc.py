@@ -5,12 +5,13 @@ ranges of page_id; every file has a list of its records' offsets. A replica is a
 set of files. The audit hashes every record's stored bytes, in order of
 offset; FANOUT hashes of consecutive offset ranges give their range's hash, and so on up
 to each file's root. Roots of two replicas are compared; below a root that differs only
-the ranges that differ are opened, down to the records. A record that is cut off
-or missing has another hash than the whole one, so it is found alike.
+the ranges that differ are opened, down to the records. Both trees are built to the same depth, whatever the replicas
+hold: a record that is cut off has another hash than the whole one; one that a replica's list lacks, or
+has beyond the other, has no counterpart; a lost file reads as empty, so that all its records differ.
 
-Files are written under a name of the task's attempt; only names that a successful attempt returns
-are read. Null html or url: as empty. Null page_id: kept, as such. Repeated rows are records of their own.
-Extra columns are ignored. An empty table gives no files and an empty result.
+Files are cut at about FILE_BYTES, between records. They are written under a name of the task's attempt; only names that a successful attempt returns
+are read. Null html or url: as empty. Null page_id: kept, as such. Repeated rows are records of their own; rows that tie in
+page_id are ordered by their hash. A very long page is one record, read whole. Extra columns are ignored. An empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions, small, written
+from .common import new_folder, partitions, small, text_batches, written
 
 FANOUT = 16
 #: Bytes read at once.
 CHUNK = 1 << 22
+#: Bytes at which a file is closed and the next one begun.
+FILE_BYTES = 1 << 30
 SCHEMA = "file string, ord long, offset long, length long, page_id long, url string, n_bytes long"
 
 
@@ -52,19 +55,25 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, http.partition(b"\r\n\r\n")[2]
 
 
-def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files; the table of records (SCHEMA), stored in the shared folder."""
     folder = folder or new_folder(pages.sparkSession, "warc")
+    text_batches(pages.sparkSession)
 
     def run(batches):
         fs, at = pafs.FileSystem.from_uri(folder)
         fs.create_dir(at, recursive=True)
-        name, out, offset, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz", None, 0, 0
+        name, out, offset, n = "", None, 0, 0
         try:
             for b in batches:
-                out = out or fs.open_output_stream(f"{at}/{name}", compression=None)
                 rows = []
                 for page_id, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    if out and offset >= file_bytes:
+                        out.close()
+                        out = None
+                    if not out:
+                        name, offset, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz", 0, 0
+                        out = fs.open_output_stream(f"{at}/{name}", compression=None)
                     body = (html or "").encode("utf-8", "replace")
                     stored = record(page_id, url or "", body)
                     out.write(stored)
@@ -87,7 +96,7 @@ def _arrow() -> pa.Schema:
 
 
 class Stored:
-    """Reads the records of files in the order of their offsets, one buffered stream at a time."""
+    """Reads the records of files in the order of their offsets, one buffered stream at a time; nothing from a lost file."""
 
     def __init__(self) -> None:
         self.path, self.stream, self.at = None, None, 0
@@ -96,7 +105,10 @@ class Stored:
         if path != self.path or offset < self.at:
             self.close()
             fs, at = pafs.FileSystem.from_uri(path)
-            self.path, self.stream, self.at = path, fs.open_input_stream(at, compression=None, buffer_size=CHUNK), 0
+            there = fs.get_file_info(at).type == pafs.FileType.File
+            self.path, self.stream, self.at = path, fs.open_input_stream(at, compression=None, buffer_size=CHUNK) if there else None, 0
+        if not self.stream:
+            return b""
         while self.at < offset and (skipped := len(self.stream.read(min(CHUNK, offset - self.at)))):
             self.at += skipped
         got = self.stream.read(length)
@@ -148,22 +160,32 @@ def leaves(records: DataFrame, payload: bool) -> DataFrame:
     return in_order(records.select("file", "path", "ord", "offset", "length")).mapInArrow(run, schema)
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
+def depth_of(*leaves_: DataFrame) -> int:
+    """Levels above the leaves that the largest file of all replicas needs."""
+    most = max((leaf.agg(F.max("ord")).first()[0] or 0) for leaf in leaves_)
+    depth = 0
+    while most > 0:
+        most, depth = most // FANOUT, depth + 1
+    return depth
+
+
+def tree(leaf: DataFrame, depth: int) -> list[DataFrame]:
     """Levels of the trees, leaves first: file, node, hash. Node i of a level covers nodes FANOUT * i ... of the one below."""
     level = leaf.select("file", F.col("ord").alias("node"), "hash")
-    levels, most = [level], level.agg(F.max("node")).first()[0] or 0
-    while most > 0:
+    levels = [level]
+    for _ in range(depth):
         parts = F.sort_array(F.collect_list(F.struct("node", "hash")))
         level = level.groupBy("file", F.floor(F.col("node") / FANOUT).alias("node")).agg(parts.alias("below"))
-        level = written(level.select("file", "node", F.sha2(F.concat_ws(",", "below.hash"), 256).alias("hash")), "warc-level")
+        # A node's hash covers which of its children there are.
+        level = written(level.select("file", "node", F.sha2(F.concat_ws(",", F.transform("below", lambda x: F.concat_ws(":", x["node"], x["hash"]))), 256).alias("hash")), "warc-level")
         levels.append(level)
-        most //= FANOUT
     return levels
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """file, ord of the records that differ between two replicas' leaves, found from the roots downwards."""
-    left, right = tree(a), tree(b)
+    """file, ord, ours, theirs of the records that differ between two replicas' leaves (null: there is none), found from the roots downwards."""
+    depth = depth_of(a, b)
+    left, right = tree(a, depth), tree(b, depth)
     suspects = None
     for one, two in zip(reversed(left), reversed(right), strict=True):
         if suspects is not None:
@@ -171,8 +193,8 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
             marks = small(suspects.select(F.col("file").alias("pf"), F.col("node").alias("pn")))
             one, two = (x.join(marks, (F.col("file") == F.col("pf")) & (parent == F.col("pn")), "left_semi") for x in (one, two))
         other = two.select("file", "node", F.col("hash").alias("other"))
-        suspects = written(one.join(other, ["file", "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node"), "warc-suspects")
-    return suspects.select("file", F.col("node").alias("ord"))
+        suspects = written(one.join(other, ["file", "node"], "full").filter(~F.col("hash").eqNullSafe(F.col("other"))), "warc-suspects")
+    return suspects.select("file", F.col("node").alias("ord"), F.col("hash").alias("ours"), F.col("other").alias("theirs"))
 
 
 def flip(stored: bytes) -> bytes:
@@ -213,13 +235,20 @@ def copy_files(records: DataFrame, faulty: Column) -> DataFrame:
 
 
 def audit(records: DataFrame, copies: DataFrame) -> DataFrame:
-    """page_id, url, n_bytes, sha256, status of every record: 'intact', or 'differs' where the replicas don't agree."""
+    """page_id, url, n_bytes, sha256, status of every record.
+
+    'intact'; 'differs' where the replicas don't agree or a record isn't what its header says; 'missing' where the second
+    replica's list lacks it; 'added' for a record that only the second has (it has no page_id, url, n_bytes or sha256).
+    """
     first = written(leaves(records.withColumn("path", F.col("file")), True), "warc-leaves")
     second = written(leaves(copies, False), "warc-leaves")
-    bad = differing(first.select("file", "ord", "hash"), second).withColumn("bad", F.lit(True))
-    rows = records.select("file", "ord", "page_id", "url", "n_bytes").join(first.drop("hash"), ["file", "ord"]).join(small(bad), ["file", "ord"], "left")
-    status = F.when(F.col("bad") | ~F.col("digest_ok"), "differs").otherwise("intact")
-    return rows.select("page_id", "url", "n_bytes", "sha256", F.coalesce(status, F.lit("intact")).alias("status"))
+    bad = differing(first.select("file", "ord", "hash"), second)
+    known = records.select("file", "ord", "page_id", "url", "n_bytes").join(first.drop("hash"), ["file", "ord"])
+    rows = known.join(small(bad.filter("ours IS NOT NULL")), ["file", "ord"], "left")
+    status = F.when(F.col("ours").isNotNull() & F.col("theirs").isNull(), "missing").when(F.col("ours").isNotNull() | ~F.col("digest_ok"), "differs").otherwise("intact")
+    out = ("page_id", "url", "n_bytes", "sha256")
+    added = bad.filter("ours IS NULL").select(*[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in out], F.lit("added").alias("status"))
+    return rows.select(*out, status.alias("status")).unionByName(added)
 
 
 ORACLE = """

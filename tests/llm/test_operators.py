@@ -100,6 +100,50 @@ def test_html_tables_and_odd_rows(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def extracted(spark, pages):
+    frame = spark.createDataFrame([(i, "http://h.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.extract(frame).collect()}
+
+
+def test_html_constant_parts_are_template(spark):
+    """Names that mean nothing: what is the same on all pages goes, also single items of a list and the last paragraph."""
+    say = lambda i, k: " ".join(f"word{i}x{k}x{j}" for j in range(12))
+    page = "<body><div class=qzx><ul><li>Home page<li>All about us</ul></div><div class=vvv><p>{a}</p><p>{b}</p><p>Subscribe now to our paper</p></div><div class=kkw>Made with care in town</div></body>"
+    got = extracted(spark, [page.format(a=say(i, 1), b=say(i, 2)) for i in range(30)])
+    assert got == {i: f"{say(i, 1)} {say(i, 2)}" for i in range(30)}
+    # One page alone, or copies of one page, tell nothing about what is constant.
+    alone = extracted(spark, [page.format(a=say(0, 1), b=say(0, 2))] * 5)
+    assert all(say(0, 1) in t and say(0, 2) in t for t in alone.values())
+
+
+def test_html_copies_of_an_article_stay(spark):
+    page = "<body><div class=ad>{i} buy</div><article><h1>One title</h1><p>One text of many words that all of the pages share, copied over and over.</p></article></body>"
+    assert set(extracted(spark, [page.format(i=i) for i in range(12)]).values()) == {"One title One text of many words that all of the pages share, copied over and over."}
+
+
+def test_html_alignment():
+    tree = lambda source: html.Wrapper(p.tree, p.figures(html._hash(source))) if (p := html.Page(source)) else None
+    one, two = tree("<div class=a><p>x</p></div><div class=b><p>y</p></div>"), tree("<div class=a><p>x</p></div><section><p>new</p></section><div class=b><p>z</p></div>")
+    found = one.align(two)
+    assert {two.label[b]: one.label[a] for b, a in found.items()} == {"#root": "#root", "div.a": "div.a", "div.b": "div.b", "p": "p"} and len(found) == 5
+    one.merge(two)
+    assert [one.label[c] for c in one.children[0]] == ["div.a", "section", "div.b"]
+    same = {one.label[i]: one.figures[one.children[i][0]][1] for i in one.children[0]}
+    assert same["div.a"] is not None and same["div.b"] is None
+
+
+def test_html_tags_that_never_end_and_quotes():
+    import time
+
+    text = lambda s: html.Extractor().text("", None, s)
+    assert text("<article><p data-x=it's>Hello there</p><p>World's end</p></article>") == "Hello there World's end"
+    assert text('<article><p title="a > b">one</p><p>2 < 3 and 4 > 1</p></article>') == "one 2 < 3 and 4 > 1"
+    began = time.time()
+    for piece in ("<a x ", "<div>", '<p x="', "<p x='", "<b>", "<!-", "<ul><li>", "</p>"):
+        text("before " + piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 120
+
+
 # ---- 3
 
 
@@ -247,6 +291,36 @@ def test_warc_descends_to_the_damage(spark):
     assert body == b"body" and headers["X-Page-ID"] == "5" and warc.check_payload(warc.flip(member))[1] is False
 
 
+def test_warc_replicas_that_lack_records_or_files(spark):
+    """16 records against 17 (other depths), a lost file, a cut one, and records that only the replica has."""
+    pages = spark.range(17).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.repeat(F.lit("x"), 50).alias("html"))
+    records = warc.write_warc(pages.coalesce(1), file_bytes=1 << 30)
+    copies = warc.copy_files(records, F.lit(False))
+    said = lambda got: dict(Counter(r.status for r in got.collect()))
+    assert said(warc.audit(records, copies)) == {"intact": 17}
+    last = copies.groupBy("file").agg(F.max("ord").alias("ord")).orderBy(F.desc("ord")).limit(1)
+    short = copies.join(last, ["file", "ord"], "left_anti")
+    assert said(warc.audit(records, short)) == {"intact": 16, "missing": 1}
+    fewer = records.join(last, ["file", "ord"], "left_anti")
+    assert said(warc.audit(fewer, copies)) == {"intact": 16, "added": 1}
+    paths = copies.groupBy("path").count().orderBy(F.desc("count"), "path").collect()
+    lost = paths[0]["path"].replace("file:", "").replace("//", "/") if paths[0]["path"].startswith("file:") else paths[0]["path"]
+    want = {k: v for k, v in {"intact": 17 - paths[0]["count"], "differs": paths[0]["count"]}.items() if v}
+    with open(lost, "r+b") as f:
+        f.truncate(10)
+    assert said(warc.audit(records, copies)) == want
+    os.remove(lost)
+    assert said(warc.audit(records, copies)) == want
+
+
+def test_warc_files_are_cut_between_records(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.md5(F.col("id").cast("string")).alias("html"))
+    records = warc.write_warc(pages, file_bytes=500)
+    assert records.select("file").distinct().count() > 8 and records.count() == 40
+    got = warc.audit(records, warc.copy_files(records, F.col("page_id") == 11)).collect()
+    assert {r.page_id for r in got if r.status == "differs"} == {11} and len(got) == 40
+
+
 # ---- 7 and 9
 
 
