@@ -122,6 +122,18 @@ class Attention:
         first = np.flatnonzero(np.diff(who, prepend=-1))
         return self._forward((features - self.mean) / self.scale, first, who)["y"]
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, who: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict:
+        """Of the weighted log loss, by parameter."""
+        p, f = self.p, self._forward(x, first, who)
+        dy = (f["y"] - label) * weight
+        dz = dy[:, None] * p["c"]
+        dh = f["w"][:, None] * dz[who]
+        dw = (f["h"] * dz[who]).sum(1)
+        de = f["w"] * (dw - np.add.reduceat(f["w"] * dw, first)[who])
+        dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+
     def fit(self, features: np.ndarray, who: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> "Attention":
         self.mean, self.scale = features.mean(0), features.std(0) + 1e-3
         x = (features - self.mean) / self.scale
@@ -131,15 +143,7 @@ class Attention:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(p) for k, p in self.p.items()}
         for step in range(1, epochs + 1):
-            p, f = self.p, self._forward(x, first, who)
-            dy = (f["y"] - label) * weight
-            dz = dy[:, None] * p["c"]
-            dh = f["w"][:, None] * dz[who]
-            dw = (f["h"] * dz[who]).sum(1)
-            de = f["w"] * (dw - np.add.reduceat(f["w"] * dw, first)[who])
-            dt, dg = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (dh + dt @ p["V"].T + dg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ dy, "d": dy.sum(keepdims=True)}
+            p, grad = self.p, self.gradient(x, first, who, label, weight)
             for k in p:
                 g = grad[k] + DECAY * p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g

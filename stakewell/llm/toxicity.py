@@ -1,29 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one of toxic and one of ordinary text, give a word its probability letter by
-letter, each letter after the word's whole beginning so far, the word's end too. A class's counts
-are discounted, and what the discount leaves goes to the backoff, which both classes
-share: the discounted counts of both together. So a beginning that toxic words have
-in common is known however rare each of them is, and an expression that neither
-class knows well says nothing. Counts are of documents that hold a word (the
-continuation counts of Kneser-Ney), so that one long document isn't a class.
-
-The log-likelihood ratio of each word depends on the word alone. A text is
-described by length-normalised ratios: their mean, and means of what stands out
-above the text's median, which cancels what language or topic add to every word.
-A logistic fit turns them into a probability.
-
-Counted are all words of all labelled documents of the counting folds, and every beginning of theirs is in the
-model, however rare and whatever the corpus's size. The model is never gathered in one place: counted
-words and the distinct words of the documents to score meet by their first STEM letters, where all longer beginnings
-are counted; only counts of the beginnings up to that (at most a row for each pair of letters, however many words there are) go to all. Documents are dealt
+Two models, one of toxic and one of ordinary text, give each word its probability by continuation
+counts: in how many contexts of the class a word stands (a context is a document, so that one long document isn't a class).
+Each class's counts are discounted, by the discount that Kneser and Ney estimate from the class's own words of one and two
+contexts; what that leaves, and a weight of SHARED contexts for each of the lesser class, goes to the lower order, which both classes
+share: the discounted continuation counts of both together, and below them the same for every word. So a rare
+expression that one class happens to hold says little, and one that neither knows says nothing.
+
+A text is scored by the difference of its two log-likelihoods, normalised by length: the mean over its words of what
+stands out above the text's median ratio (which cancels what language or topic add to every word), the greatest of a word, and the length. A logistic fit
+of these three turns them into a probability.
+
+Counted are all words of all labelled documents of the counting folds, to their ends, however rare and whatever the corpus's size. The model
+is never gathered in one place: the driver sees the totals of counts (six numbers), and the words' ratios meet the words of
+the documents to score by a join. For that documents are dealt
 into lots of about LOT bytes; ratios of words go to the lots that hold them, and who describes a
 lot's documents reads that lot's ratios alone. The fit takes at most SAMPLE documents of
 each label from the fold that wasn't counted.
 
 Null and empty texts score the share of toxic labels. Contradicting or null labels
 are not learned from. With labels of one kind only, every score is that label's
-share. Repeated rows get equal scores; a null doc_id is scored. Extra columns are ignored.
+share. Repeated rows get equal scores, and texts that tie in all figures too; a null doc_id is scored. Very long texts are scored whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mix, new_folder, partitions, slices, small, span_hashes, text_batches, written
+from .common import discard, fold, folder_of, give_back, new_folder, partitions, slices, small, text_batches, written
 
-STEM = 2
-DISCOUNT = 0.75
-#: Weight, in documents, of the shared backoff in each class.
-BACKOFF = 20.0
-#: What the backoff gives to a letter that it never saw in its place.
-UNSEEN = 0.02
+#: Weight of the shared lower order in each class, for each context of the lesser class.
+SHARED = 0.1
+#: What a word's log ratio must exceed the text's median by to stand out.
+STANDS_OUT = 1.0
 SAMPLE = 4_000
 #: Labels up to which ids and labels (two numbers each, under 100 MB in all) are broadcast, so that no text is shuffled.
 LABEL_ROWS = 1_000_000
@@ -67,96 +62,33 @@ def labelled(labels: DataFrame, column: str = "toxic") -> DataFrame:
 
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """word, toxic, ordinary: labelled documents of the counting folds that hold it, by class."""
-    rows = labels.filter(fold(F.col("doc_id")) != 1).select(F.col("doc_id").alias("__id"), "label")
-    text = docs.select("doc_id", "text").join(small(rows, most=LABEL_ROWS), F.col("doc_id") == F.col("__id"))
+    rows = labels.filter(fold(F.col("doc_id")) != 1).select(F.col("doc_id").alias("label_id"), "label")
+    text = docs.select("doc_id", "text").join(small(rows, most=LABEL_ROWS), F.col("doc_id") == F.col("label_id"))
     words = text.select(F.col("label").cast("long").alias("label"), F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).filter("word <> ''")
     return words.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
 
 
-def steps(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The letters of words, in order: the word, the hash of the beginning before the letter, of that with it, and the letter's place.
-
-    The end counts as a letter. The empty beginning is 0.
-    """
-    raw = [w.encode("utf-8", "replace") for w in words]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    size = np.array([len(r) for r in raw], np.int64)
-    at = np.cumsum(size) - size
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    who = np.repeat(np.arange(len(words)), size)[heads]
-    letters = np.bincount(who, minlength=len(words))
-    place = np.arange(len(heads)) - np.repeat(np.cumsum(letters) - letters, letters)
-    ends = np.append(heads[1:], len(data)) if len(heads) else heads
-    with_it = span_hashes(data, at[who], ends) | np.uint64(1)
-    before = np.where(place == 0, np.uint64(0), np.concatenate([np.zeros(1, np.uint64), with_it[:-1]])[: len(who)])
-    last = np.flatnonzero(np.diff(who, append=-1))
-    with np.errstate(over="ignore"):
-        close = mix(with_it[last] + np.uint64(5)) | np.uint64(1)
-    who, before, with_it, place = np.concatenate([who, who[last]]), np.concatenate([before, with_it[last]]), np.concatenate([with_it, close]), np.concatenate([place, place[last] + 1])
-    order = np.argsort(who, kind="stable")
-    return who[order], before[order], with_it[order], place[order]
-
-
-def stem_of(word: Column) -> Column:
-    return F.substring(word, 1, STEM)
-
-
-class KneserNey:
-    """For each known beginning the log ratio of its last letter, and that of any letter unknown after it."""
-
-    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, first: int, last: int) -> None:
-        """Of the letters at places first <= place < last; words: all that share the beginnings before these."""
-        parts = []
-        for k in range(0, max(len(words), 1), 20_000):
-            who, before, with_it, place = steps(words[k : k + 20_000])
-            some = (place >= first) & (place < last)
-            who, before, with_it = who[some], before[some], with_it[some]
-            g, at, inv = np.unique(with_it, return_index=True, return_inverse=True)
-            parts.append((g, before[at], *[np.bincount(inv, x[k : k + 20_000][who], len(g)) for x in (toxic, ordinary)]))
-        g, ctx, t, o = (np.concatenate(p) for p in zip(*parts, strict=True))
-        self.g, at, inv = np.unique(g, return_index=True, return_inverse=True)
-        counts = np.stack([np.bincount(inv, x, len(self.g)) for x in (t, o)])
-        self.ctx, up = np.unique(ctx[at], return_inverse=True)
-        total = lambda x: np.bincount(up, x, len(self.ctx))
-        kept = np.maximum(counts - DISCOUNT, 0)
-        own, mass = (np.stack([total(x) for x in y]) for y in (counts, kept))
-        both, every = own.sum(0), np.maximum(counts.sum(0) - DISCOUNT, 0)
-        rest = (1 - total(every) / np.maximum(both, 1e-9)) * UNSEEN
-        ps = every / both[up] + rest[up]
-        left = own - mass + BACKOFF
-        p = (kept + left[:, up] * ps) / (own[:, up] + BACKOFF)
-        unseen = left / (own + BACKOFF)
-        self.step = np.log(p[0] / p[1])
-        self.miss = np.log(unseen[0] / unseen[1])
-
-    def values(self, before: np.ndarray, with_it: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(before))
-        if len(self.g):
-            up = np.minimum(np.searchsorted(self.ctx, before), len(self.ctx) - 1)
-            out = np.where(self.ctx[up] == before, self.miss[up], 0)
-            at = np.minimum(np.searchsorted(self.g, with_it), len(self.g) - 1)
-            out = np.where(self.g[at] == with_it, self.step[at], out)
-        return out
-
+def discount(ones: int, twos: int) -> float:
+    """Kneser and Ney's estimate from the numbers of words of one and of two contexts."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.75
 
-def word_ratios(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """word, ratio: log of toxic over ordinary probability of each of words (distinct)."""
-    # Bounded by the pairs of letters.
-    heads = counts.groupBy(stem_of(F.col("word")).alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("word").toPandas()
-    numbers = lambda f: (f["word"].tolist(), f["toxic"].to_numpy(float), f["ordinary"].to_numpy(float))
-    short = words.sparkSession.sparkContext.broadcast(KneserNey(*numbers(heads), 0, STEM))
 
-    def ratios(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        model, out = KneserNey(*numbers(known), STEM, 1 << 62), []
-        for k in range(0, len(asked), 20_000):
-            part = asked["word"].iloc[k : k + 20_000]
-            who, before, with_it, place = steps(part.tolist())
-            value = np.where(place < STEM, short.value.values(before, with_it), model.values(before, with_it))
-            out.append(pd.DataFrame({"word": part, "ratio": np.bincount(who, value, len(part)).astype(np.float32)}))
-        return pd.concat(out) if out else pd.DataFrame({"word": pd.Series(dtype=str), "ratio": pd.Series(dtype=np.float32)})
-
-    left, right = (f.withColumn("stem", stem_of(F.col("word"))) for f in (words.select("word"), counts))
-    return left.groupBy("stem").cogroup(right.groupBy("stem")).applyInPandas(ratios, "word string, ratio float")
+def word_ratios(counts: DataFrame) -> tuple[DataFrame, float]:
+    """word, ratio: log of toxic over ordinary probability of each counted word; and the ratio of words that were never counted."""
+    classes = ("toxic", "ordinary")
+    both = F.col("toxic") + F.col("ordinary")
+    total = counts.agg(*[f for c, n in (("toxic", F.col("toxic")), ("ordinary", F.col("ordinary")), ("both", both)) for f in (F.sum(n).alias(f"{c}_all"), F.count(F.when(n > 0, 1)).alias(f"{c}_types"), F.count(F.when(n == 1, 1)).alias(f"{c}_1"), F.count(F.when(n == 2, 1)).alias(f"{c}_2"))]).first().asDict()
+    off = {c: discount(total[f"{c}_1"], total[f"{c}_2"]) for c in (*classes, "both")}
+    if not total["toxic_all"] or not total["ordinary_all"]:
+        return counts.select("word", F.lit(0.0).alias("ratio")), 0.0
+    weight = SHARED * min(total["toxic_all"], total["ordinary_all"])
+    # What both classes' discount leaves is spread over all known words and one unknown.
+    unknown = off["both"] * total["both_types"] / (total["both_types"] + 1) / total["both_all"]
+    shared = F.greatest(both - off["both"], F.lit(0.0)) / total["both_all"] + unknown
+    kept = {c: off[c] * total[f"{c}_types"] + weight for c in classes}
+    size = {c: total[f"{c}_all"] + weight for c in classes}
+    toxic, ordinary = ((F.greatest(F.col(c) - off[c], F.lit(0.0)) + kept[c] * shared) / size[c] for c in classes)
+    return counts.select("word", F.log(toxic / ordinary).alias("ratio")), float(np.log(kept["toxic"] / size["toxic"] / (kept["ordinary"] / size["ordinary"])))
 
 
 def dealt(docs: DataFrame) -> DataFrame:
@@ -214,23 +146,22 @@ def lot_words(docs: DataFrame) -> DataFrame:
     return docs.select("lot", "text").mapInArrow(collect, "lot string, word string")
 
 
-def ratios_by_lot(docs: DataFrame, counts: DataFrame) -> str:
-    """Folder of the files that hold, for each lot, the log ratios of its words."""
+def ratios_by_lot(docs: DataFrame, ratios: DataFrame) -> str:
+    """Folder of the files that hold, for each lot, the log ratios of those of its words that were counted."""
     spark = docs.sparkSession
-    words = written(lot_words(docs).groupBy("word").agg(F.collect_set("lot").alias("lots")), "toxic-words")
-    ratios = written(word_ratios(words, counts), "toxic-ratios")
-    rows = words.join(ratios, "word").select(F.explode("lots").alias("lot"), "word", "ratio")
+    rows = lot_words(docs).join(small(ratios), "word").select("lot", "word", "ratio")
     path = new_folder(spark, "toxic-lots")
     rows.repartition(partitions(spark), "lot").sortWithinPartitions("lot").write.option("compression", "zstd").partitionBy("lot").parquet(path)
     return path
 
 
 class Scorer:
-    """Holds the ratio of each word of one lot; a document is then a sum."""
+    """Holds the ratio of each counted word of one lot; a document is then a sum."""
 
-    def __init__(self, folder: str, lot: str) -> None:
+    def __init__(self, folder: str, lot: str, unknown: float) -> None:
         fs, at = pafs.FileSystem.from_uri(folder)
         self.known: dict[str, float] = {}
+        self.unknown = unknown
         for f in fs.get_file_info(pafs.FileSelector(f"{at}/lot={lot}", allow_not_found=True)):
             if f.path.endswith(".parquet"):
                 with fs.open_input_file(f.path) as source:
@@ -239,19 +170,20 @@ class Scorer:
 
     def values(self, texts: list[str]) -> np.ndarray:
         """What describes each text; all 0 without words."""
-        out = np.zeros((len(texts), 7))
+        out = np.zeros((len(texts), N_VALUES))
+        get, unknown = self.known.get, self.unknown
         for i, ws in enumerate(lists_of(texts)):
             if ws:
-                r = np.fromiter((self.known[w] for w in ws), np.float64, len(ws))
+                r = np.fromiter((get(w, unknown) for w in ws), np.float64, len(ws))
                 z = r - np.median(r)
-                out[i] = r.mean(), z.mean(), np.maximum(z - 0.5, 0).mean(), np.maximum(z - 1, 0).mean(), np.maximum(z - 2, 0).mean(), z.max(), np.log(len(r))
-        return np.column_stack([out, np.log(np.clip(out[:, 1:5], -0.5, None) + 0.51), out[:, 1:6] * out[:, 6:7]])
+                out[i] = np.maximum(z - STANDS_OUT, 0).mean(), z.max(), np.log(len(r))
+        return out
 
 
-N_VALUES = 16
+N_VALUES = 3
 
 
-def described(docs: DataFrame, folder: str) -> DataFrame:
+def described(docs: DataFrame, folder: str, unknown: float) -> DataFrame:
     """doc_id, worded, x: whether a row of docs has words, and what describes it."""
 
     def run(batches):
@@ -260,10 +192,11 @@ def described(docs: DataFrame, folder: str) -> DataFrame:
             for lot, first, texts in by_lot(b):
                 if lot != now:
                     now, scorer = lot, None
-                    scorer = Scorer(folder, lot)
+                    scorer = Scorer(folder, lot, unknown)
                 x = scorer.values(texts)
                 worded = pa.array([bool(_SPLIT.sub("", t)) for t in texts])
                 yield pa.record_batch([b.column("doc_id").slice(first, len(texts)), worded, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_VALUES, pa.int32()), pa.array(x.ravel()))], names=["doc_id", "worded", "x"])
+            give_back()
 
     return docs.select("doc_id", "text", "lot").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, worded boolean, x array<double>")
 
@@ -292,8 +225,8 @@ def train(rows: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Logistic |
     learned = known.filter(fold(F.col("doc_id")) == 1)
     picked = [learned.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     # At most 2 * sample ids: bounded, so they are broadcast.
-    ids = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("__id"), "label"))
-    got = rows.join(ids, F.col("doc_id") == F.col("__id")).select("label", *[F.col("x")[j].alias(f"x{j}") for j in range(N_VALUES)]).toPandas()
+    ids = F.broadcast(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("label_id"), "label"))
+    got = rows.join(ids, F.col("doc_id") == F.col("label_id")).select("label", *[F.col("x")[j].alias(f"x{j}") for j in range(N_VALUES)]).toPandas()
     got = got.sort_values(list(got.columns)).to_numpy(float)
     return Logistic(got[:, 1:], got[:, 0]) if len(set(got[:, 0])) == 2 else None
 
@@ -304,8 +237,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = written(labelled(labels), "toxic-labels")
     share = float(known.agg(F.avg("label")).first()[0] or 0.0)
     copy = dealt(docs)
-    counts = written(word_counts(copy, known), "toxic-counts")
-    rows = written(described(copy, ratios_by_lot(copy, counts)), "toxic-described")
+    ratios, unknown = word_ratios(written(word_counts(copy, known), "toxic-counts"))
+    folder = ratios_by_lot(copy, ratios)
+    rows = written(described(copy, folder, unknown), "toxic-described")
+    discard(folder)
+    discard(folder_of(copy))
     model = train(rows, known)
 
     @F.pandas_udf("double")

@@ -326,12 +326,81 @@ def test_warc_files_are_cut_between_records(spark):
 
 @pytest.mark.parametrize("module,run,column", [(quality, quality.quality, "quality"), (toxicity, toxicity.toxicity, "toxic")])
 def test_classifiers_on_held_out_rows(spark, module, run, column):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = run(docs, labels).toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     known = got[got.held_out].merge(labels.toPandas(), on="doc_id")
-    assert (known.predicted == known[column]).mean() >= 0.88
+    is_one, said_one = known[column] == 1, known.predicted == 1
+    # A constant score fails one of these.
+    assert 0 < is_one.sum() < len(known)
+    assert said_one[is_one].mean() >= 0.8 and is_one[said_one].mean() >= 0.8 and (~said_one)[~is_one].mean() >= 0.9
+
+
+def test_toxicity_ratios_like_plain_kneser_ney(spark):
+    """The columns against a plain statement of the interpolated models."""
+    toxic = ["you idiot", "bad idiot here", "you clown", "you bad bad"]
+    ordinary = ["good day here", "you are here", "a good good day", "bad day", "clown shoes", "a b c"]
+    texts = toxic + ordinary
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1], "doc_id long, label int")
+    kept = {r.doc_id for r in labels.collect()}
+    n = [Counter(w for i in kept if (i < 4) == c for w in set(texts[i].split())) for c in (False, True)]
+    both = n[0] + n[1]
+    estimate = lambda c: (ones / (ones + 2 * twos) if (ones := sum(v == 1 for v in c.values())) and (twos := sum(v == 2 for v in c.values())) else 0.75)
+    weight = toxicity.SHARED * min(sum(c.values()) for c in n)
+
+    def p(c, w):
+        low = max(both[w] - estimate(both), 0) / sum(both.values()) + estimate(both) * len(both) / (len(both) + 1) / sum(both.values())
+        return (max(n[c][w] - estimate(n[c]), 0) + (estimate(n[c]) * len(n[c]) + weight) * low) / (sum(n[c].values()) + weight)
+
+    ratios, unknown = toxicity.word_ratios(toxicity.word_counts(docs, labels))
+    got = {r.word: r.ratio for r in ratios.collect()}
+    assert got.keys() == both.keys() and all(abs(v - np.log(p(1, w) / p(0, w))) < 1e-9 for w, v in got.items())
+    assert abs(unknown - np.log(p(1, "never") / p(0, "never"))) < 1e-9
+    for c in (0, 1):  # each model's probabilities, with one unknown word, sum to 1
+        assert abs(sum(p(c, w) for w in both) + p(c, "never") - 1) < 1e-9
+
+
+def test_attention_gradient():
+    """Fitting follows the loss's gradient: finite differences of the loss agree with the first step's direction."""
+    r = np.random.default_rng(0)
+    x, who, label = r.normal(size=(30, 6)), np.repeat(np.arange(10), 3), np.arange(10) % 2.0
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    model = quality.Attention(6, 4)
+    weight = np.full(10, 0.1)
+    grad = model.gradient(x, first, who, label, weight)
+
+    def loss():
+        y = model._forward(x, first, who)["y"]
+        return -(weight * (label * np.log(y) + (1 - label) * np.log(1 - y))).sum()
+
+    for k, p in model.p.items():
+        for at in list(np.ndindex(p.shape))[:5]:
+            old = p[at]
+            p[at] = old + 1e-6
+            up = loss()
+            p[at] = old - 1e-6
+            down = loss()
+            p[at] = old
+            assert abs((up - down) / 2e-6 - grad[k][at]) < 1e-6, k
+
+
+def test_quality_learns_from_words_and_all_passages(spark):
+    """The label hangs on words in one passage of many, far from the beginning."""
+    r = np.random.default_rng(3)
+    common, good = random_words(r, 60, 6), random_words(r, 8, 6)
+    ids = range(600)
+    texts = []
+    for i in ids:
+        w = list(r.choice(common, 48 * 12))
+        if i % 2:
+            w[48 * (i % 12) : 48 * (i % 12) + 48] = r.choice(good, 48)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = quality.quality(docs, labels).filter("held_out").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) >= 0.95
 
 
 @pytest.mark.parametrize("run,column", [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
