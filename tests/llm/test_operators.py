@@ -258,13 +258,28 @@ def test_neighbours_blocks_and_odd_rows(spark):
 
 def test_multi_index_finds_the_whole_radius():
     r = np.random.default_rng(2)
-    codes = r.integers(0, 256, (5000, 8), dtype=np.uint8)
-    codes[:200] = codes[0] ^ (1 << r.integers(0, 8, (200, 8))).astype(np.uint8) * (r.random((200, 8)) < 0.4)
-    index = neighbours.Index(codes)
-    for radius in (0, 3, 7, 8, 12, 20, 30, 64):
+    codes = r.integers(0, 1 << 63, (5000, 2), dtype=np.uint64)
+    flips = r.random((200, 128)) < np.linspace(0, 0.3, 200)[:, None]
+    codes[:200] = codes[0] ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64).reshape(200, 2)
+    index, probed = neighbours.Index(codes), 0
+    true = np.bitwise_count(codes ^ codes[0]).sum(1)
+    for radius in (0, 3, 7, 8, 12, 20, 30, 39, 64, 128):
         rows, dist = index.within(codes[0], radius)
-        true = np.unpackbits(codes ^ codes[0], axis=1).sum(1)
         assert set(rows) == set(np.flatnonzero(true <= radius)) and (dist == true[rows]).all()
+        probed += index.probed(codes[0], radius) is not None
+    assert probed >= 5
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uneven", "offset"])
+def test_neighbours_recall_on_other_vectors(spark, kind):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(60, 24))
+    x = centres[r.integers(0, 60, 4000)] + 0.3 * r.normal(size=(4000, 24))
+    x = x * r.lognormal(0, 0.5, (4000, 1)) if kind == "uneven" else x + 4 if kind == "offset" else x
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("id") % 40 == 0, k=10, block=500).toPandas()
+    hit = sum(len(set(exact_neighbours(np.arange(4000), x, q, 10)) & set(got[got.query_id == q].vec_id)) for q in range(0, 4000, 40))
+    assert hit >= 0.9 * 10 * 100 and (got.groupby("query_id").size() == 10).all()
 
 
 # ---- 6
