@@ -149,7 +149,7 @@ def lot_words(docs: DataFrame) -> DataFrame:
 def ratios_by_lot(docs: DataFrame, ratios: DataFrame) -> str:
     """Folder of the files that hold, for each lot, the log ratios of those of its words that were counted."""
     spark = docs.sparkSession
-    rows = lot_words(docs).join(small(ratios), "word").select("lot", "word", "ratio")
+    rows = lot_words(docs).join(small(ratios), "word").select("lot", "word", F.col("ratio").cast("float").alias("ratio"))
     path = new_folder(spark, "toxic-lots")
     rows.repartition(partitions(spark), "lot").sortWithinPartitions("lot").write.option("compression", "zstd").partitionBy("lot").parquet(path)
     return path
