@@ -80,3 +80,24 @@ def parlay_type(bet_type: Column, otherwise: str = "") -> Column:
     for k, v in PARLAY_TYPES.items():
         out = F.when(bet_type == k, v).otherwise(out)
     return out
+
+
+def inferred_bet_type(description: Column, legs: Column) -> Column:
+    """From words of the description and the number of legs."""
+    d = F.lower(F.coalesce(description, F.lit("")))
+    return F.when(d.contains("sgp") | d.contains("same game parlay"), "sgp").when(d.contains("live"), "live").when(legs > 1, F.when(d.contains("parlay"), "parlay").otherwise("sgp")).otherwise("single")
+
+
+def leg_result(text: Column) -> Column:
+    """WIN, LOSS, UNKNOWN, PUSH (also of a void leg) or PENDING for all else."""
+    t = F.upper(text)
+    return F.when(t.isin("WIN", "LOSS", "PUSH", "UNKNOWN"), t).when(t.isin("VOID", "VOIDED"), "PUSH").otherwise("PENDING")
+
+
+def type_bucket(canonical: Column, parlays: list[str], futures: list[str], main: list[str]) -> Column:
+    return F.when(canonical.isin(*parlays), "parlay").when(canonical.isin(*futures), "future").when(canonical.isin(*main), "main").otherwise("props")
+
+
+def migrated_category(category: Column, fresh: Column) -> Column:
+    """A stored category: made anew where it is missing or unknown, and where it says Main Markets, which once stood for much."""
+    return F.when(category.isin("Props", "Futures", "Parlays"), category).otherwise(fresh)

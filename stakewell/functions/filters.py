@@ -61,3 +61,18 @@ def grid(term: str, columns: list[str]) -> Column:
     for c in columns:
         out = out | F.coalesce(F.lower(F.col(c)).contains(term.lower()), F.lit(False))
     return out
+
+
+def display_market(kind: str, category: str = "market_category") -> Column:
+    """props, main, or all: that is every ticket, parlays and futures too."""
+    wanted = {"props": "Props", "main": "Main Markets"}
+    return F.lit(True) if kind == "all" else F.coalesce(F.col(category) == wanted[kind], F.lit(False))
+
+
+def parlay_of(kind: str, column: str = "bet_type") -> Column:
+    """Parlays, of one type or of all."""
+    return F.coalesce(F.col(column).isin("parlay", "sgp", "sgp_plus"), F.lit(False)) & equals(column, kind)
+
+
+def named_like(term: str, column: str = "name") -> Column:
+    return F.lower(F.col(column)).contains(term.strip().lower())

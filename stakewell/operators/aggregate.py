@@ -107,8 +107,15 @@ def leg_accuracy(legs: DataFrame, key: Column) -> DataFrame:
 
 
 def unresolved_groups(queue: DataFrame) -> DataFrame:
-    """Queue items of one entity: how many, the last and first of them, and up to three contexts."""
+    """Queue items of one entity: how many, the last and first of them, and the three contexts (book, market) that were met first."""
     key = F.concat_ws("::", "entity_type", F.coalesce(F.nullif("sport", F.lit("")), F.lit("Unknown")), "lookup_key")
-    context = F.struct("book", "market")
-    rows = queue.groupBy(key.alias("group_key")).agg(F.count("*").alias("count"), F.max("encountered_at").alias("last_seen"), F.min_by("raw_value", "seq").alias("raw_value"), F.sort_array(F.collect_set(context)).alias("c"))
-    return rows.select("group_key", "count", "last_seen", "raw_value", F.slice("c", 1, 3).alias("contexts"))
+    # By context first: what a context's rows add to their group is a few numbers, however many they are.
+    parts = queue.groupBy(key.alias("group_key"), "book", "market").agg(F.count("*").alias("count"), F.max("encountered_at").alias("last_seen"), F.min(F.struct("seq", "raw_value")).alias("first"))
+    rows = parts.groupBy("group_key").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"), F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("first.seq", "book", "market"))).alias("c"))
+    contexts = F.transform(F.slice("c", 1, 3), lambda c: F.struct(c["book"].alias("book"), c["market"].alias("market")))
+    return rows.select("group_key", "count", "last_seen", F.col("first.raw_value").alias("raw_value"), contexts.alias("contexts"))
+
+
+def timing_summary(rows: DataFrame) -> DataFrame:
+    """Calls and milliseconds by operation."""
+    return rows.groupBy("operation").agg(F.count("*").alias("count"), F.sum("ms").alias("total"), F.avg("ms").alias("mean"), F.max("ms").alias("most"), F.min("ms").alias("least"))

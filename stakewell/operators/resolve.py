@@ -98,3 +98,15 @@ def ranked_options(options: DataFrame, query: str, limit: int | None = None) ->
 def first_per_key(rows: DataFrame, key: Column, seq: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(seq)
     return rows.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+
+
+def option_display(value: Column, label: Column) -> Column:
+    """value and label, once if they are the same."""
+    return F.when(value == label, value).otherwise(F.concat(value, F.lit(" — "), label))
+
+
+def option_is(value: Column, asked: str) -> Column:
+    """Whether a value is the one asked for, in the way searches compare."""
+    from ..functions.text import search_key
+
+    return search_key(value) == search_key(F.lit(asked))

@@ -56,3 +56,9 @@ def display(bets: DataFrame) -> DataFrame:
     """Text as it is shown: date, odds, net. Amounts are in cents."""
     net = money.net() / 100
     return bets.select("id", F.date_format("placed_at", "MM/dd").alias("short_date"), F.date_format("placed_at", "yyyy-MM-dd").alias("chart_date"), formats.odds("odds").alias("odds_text"), formats.currency(F.col("stake") / 100).alias("stake_text"), F.when(F.col("result") == "pending", "").otherwise(F.format_number(net, 2)).alias("net_text"))
+
+
+def grid_money(raw: Column, text: Column) -> Column:
+    """A grid row's number: as stored, else as its text says, else 0."""
+    said = F.regexp_extract(F.regexp_replace(F.trim(text), r"[$,\s]", ""), r"^[+-]?(?:\d+\.?\d*|\.\d+)", 0)
+    return F.coalesce(raw.cast("double"), F.nullif(said, F.lit("")).cast("double"), F.lit(0.0))

@@ -69,3 +69,9 @@ def migrated(bets: DataFrame, category: Column) -> DataFrame:
     """Old tickets: a live bet type becomes the live flag; a category that isn't known is classified anew."""
     known = F.coalesce(F.col("market_category").isin("Props", "Main Markets", "Futures", "Parlays"), F.lit(False))
     return bets.withColumns({"is_live": F.coalesce("is_live", F.col("bet_type") == "live"), "market_category": F.when(known, F.col("market_category")).otherwise(category)})
+
+
+def leg_of_columns() -> Column:
+    """The leg that an old ticket's name, type, line and side make; null if it has no name."""
+    some = F.trim(F.coalesce("name", F.lit(""))) != ""
+    return F.when(some, F.struct(F.array("name").alias("entities"), F.coalesce("type", F.lit("")).alias("market"), F.col("line").alias("target"), F.col("ou").alias("ou")))

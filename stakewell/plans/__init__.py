@@ -1,5 +1,5 @@
 """Named queries; importing the package registers all of them."""
 
-from . import ledger, wagers
+from . import ledger, registry, wagers
 
-__all__ = ["ledger", "wagers"]
+__all__ = ["ledger", "registry", "wagers"]

@@ -192,7 +192,7 @@ def agg_leg_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH q AS (SELECT lower(entity) AS lookup_key, entity, entity_type, sport, book, market, placed_at, id * 100 + leg_no AS seq FROM legs JOIN bets USING (id) WHERE leg_result = 'PENDING'), "
-    "g AS (SELECT entity_type || '::' || sport || '::' || lookup_key AS group_key, * FROM q), c AS (SELECT group_key, list_sort(list(DISTINCT book || '|' || market))[1:3] AS contexts FROM g GROUP BY 1) "
+    "g AS (SELECT entity_type || '::' || sport || '::' || lookup_key AS group_key, * FROM q), m AS (SELECT group_key, book || '|' || market AS context, min(seq) AS s FROM g GROUP BY ALL), c AS (SELECT group_key, list(context ORDER BY s)[1:3] AS contexts FROM m GROUP BY 1) "
     "SELECT group_key, count(*)::BIGINT AS count, max(placed_at) AS last_seen, arg_min(entity, seq) AS raw_value, array_to_string(any_value(contexts), ';') AS contexts FROM g JOIN c USING (group_key) GROUP BY group_key",
     True,
 )

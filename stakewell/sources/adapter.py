@@ -1,7 +1,14 @@
-"""Tickets and legs made from the star-schema tables, in whole cents, the same in Spark and in SQL."""
+"""Tickets and legs made from the star-schema tables, in whole cents, the same in Spark and in SQL.
+
+The tickets with their legs are made and stored once in a session, ordered by the time of placing, so that figures scan the few columns they
+need and dates skip what lies outside. Without spark.checkpoint.dir the store is a temporary folder, which only a local session can use.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a ticket, without its legs but with their number."""
     n = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_legs"))
     place = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -39,7 +46,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("payout", F.when(F.col("result") == "win", F.col("stake") + profit).when(F.col("result") == "push", F.col("stake")).otherwise(F.lit(0)).cast("long"))
 
 
-def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a leg: id of its ticket, leg_no (from 0) and what was chosen."""
     rows = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -51,11 +58,39 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where the tickets made of a folder are stored, by session and folder.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets with their legs as an array (null where there are none)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{(shared or tempfile.mkdtemp(prefix='stakewell-')).rstrip('/')}/tickets-{uuid.uuid4().hex[:12]}"
+        made_nested(spark, sf_dir).repartitionByRange(F.col("placed_at").asc_nulls_last()).sortWithinPartitions("placed_at").write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a ticket, without its legs but with their number."""
+    return nested(spark, sf_dir).drop("legs")
+
+
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a leg: id of its ticket, leg_no (from 0) and what was chosen."""
+    rows = nested(spark, sf_dir).select("id", F.explode("legs").alias("leg"))
+    return rows.select("id", "leg.leg_no", F.col("leg.entities")[0].alias("entity"), "leg.entity_type", "leg.market", "leg.target", "leg.ou", F.col("leg.odds").alias("leg_odds"), F.col("leg.result").alias("leg_result"))
+
+
+def made_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tickets as they are made, to be stored."""
     one = F.struct("leg_no", F.array("entity").alias("entities"), "entity_type", "market", "target", "ou", F.col("leg_odds").alias("odds"), F.col("leg_result").alias("result"))
-    arrays = legs(spark, sf_dir).groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("legs"))
-    return tickets(spark, sf_dir).join(arrays, "id", "left")
+    arrays = made_legs(spark, sf_dir).groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("legs"))
+    return made_tickets(spark, sf_dir).join(arrays, "id", "left")
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:

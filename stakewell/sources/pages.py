@@ -16,8 +16,29 @@ BOOKS = ("DraftKings", "FanDuel")
 FIELDS = "page_id long, book string, card int, item string, name string, value string, seq int"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-# Names of statistics in markets and how they are written short, the first that fits.
-STATS = [(r"(?i)points.*rebounds.*assists|\bpra\b", "PRA"), (r"(?i)made threes|three|3-?pt|3 ?pointers", "3pt"), (r"(?i)double.?double", "DD"), (r"(?i)triple.?double", "TD"), (r"(?i)first basket", "FB"), (r"(?i)top points", "Top Pts"), (r"(?i)points|\bpts\b", "Pts"), (r"(?i)rebounds|\breb\b", "Reb"), (r"(?i)assists|\bast\b", "Ast"), (r"(?i)steals", "Stl"), (r"(?i)blocks", "Blk"), (r"(?i)turnovers", "TO"), (r"(?i)moneyline", "Moneyline"), (r"(?i)spread", "Spread"), (r"(?i)total", "Total")]
+# Patterns of markets' names and the short name of the statistic, the first that fits; those of several statistics come first.
+# fmt: off
+STATS = [
+    (r"(?i)points.*rebounds.*assists|pts.*reb.*ast|pra", "PRA"),
+    (r"(?i)points.*rebounds|pts.*reb", "PR"),
+    (r"(?i)points.*assists|pts.*ast", "PA"),
+    (r"(?i)rebounds.*assists|reb.*ast", "RA"),
+    (r"(?i)steals.*blocks|stl.*blk|stocks", "Stocks"),
+    (r"(?i)three\s*pointers?\s*made|made\s*threes|3[\s-]*pointers?|threes", "3pt"),
+    (r"(?i)points|pts", "Pts"),
+    (r"(?i)assists|ast", "Ast"),
+    (r"(?i)rebounds|reb", "Reb"),
+    (r"(?i)steals|stl", "Stl"),
+    (r"(?i)blocks|blk", "Blk"),
+    (r"(?i)turnovers", "TO"),
+    (r"(?i)first\s*(basket|field\s*goal|fg)", "FB"),
+    (r"(?i)double\s*double", "DD"),
+    (r"(?i)triple\s*double", "TD"),
+    (r"(?i)spread", "Spread"),
+    (r"(?i)total", "Total"),
+    (r"(?i)moneyline|money\s*line|ml", "Moneyline"),
+]
+# fmt: on
 
 
 class _Fields(HTMLParser):
@@ -76,17 +97,23 @@ class _Fields(HTMLParser):
             self.open[-1][3].append(data)
 
 
+def _listed(book: str, source: str | None) -> list[tuple]:
+    """A page's fields; of one that can't be read a field that says so."""
+    p = _Fields(book)
+    try:
+        p.feed(source or "")
+        p.close()
+    except Exception as e:  # noqa: BLE001: one page must not end the job
+        return [(-1, "", "failed", type(e).__name__, 0)]
+    return p.rows
+
+
 def fields(pages: DataFrame) -> DataFrame:
-    """The fields of all pages (page_id, book, html), and for each page a row that says whether it could be read."""
+    """The fields of all pages (page_id, book, html); a page that can't be read has one named 'failed'."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for page_id, book, source in zip(pdf["page_id"], pdf["book"], pdf["html"]):
-                p = _Fields(book)
-                p.feed(source)
-                p.close()
-                out += [(page_id, book, *row) for row in p.rows]
+            out = [(page_id, book, *row) for page_id, book, source in zip(pdf["page_id"], pdf["book"], pdf["html"]) for row in _listed(book, source)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FIELDS.split(", ")])
 
     return pages.select("page_id", "book", "html").mapInPandas(run, FIELDS)
@@ -98,10 +125,14 @@ def route(pages: DataFrame) -> DataFrame:
     return pages.withColumn("error_code", code)
 
 
-def without_tickets(pages: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Routed pages with NO_BETS_FOUND where no ticket came of them."""
-    found = tickets.select("page_id").distinct().withColumn("some", F.lit(True))
-    return pages.join(found, "page_id", "left").withColumn("error_code", F.coalesce("error_code", F.when(F.col("some").isNull(), "NO_BETS_FOUND"))).drop("some", "html")
+def without_tickets(pages: DataFrame, tickets: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Routed pages with NO_BETS_FOUND where no ticket came of them, PARSER_FAILED where their fields (found) say so."""
+    some = tickets.select("page_id").distinct().withColumn("some", F.lit(True))
+    rows = pages.join(some, "page_id", "left").withColumn("failed", F.lit(None).cast("boolean"))
+    if found is not None:
+        rows = rows.drop("failed").join(found.filter("name = 'failed'").select("page_id", F.lit(True).alias("failed")).distinct(), "page_id", "left")
+    code = F.coalesce("error_code", F.when(F.col("failed"), "PARSER_FAILED"), F.when(F.col("some").isNull(), "NO_BETS_FOUND"))
+    return rows.withColumn("error_code", code).drop("some", "failed", "html")
 
 
 def bet_type_text(t: Column) -> Column:
@@ -181,7 +212,7 @@ def fanduel_tickets(found: DataFrame) -> DataFrame:
     Legs are read from the spans of the header: a name, and behind it a text that holds a line and a statistic.
     """
     spans = found.filter("name = 'span'").groupBy("page_id", "card").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("s"))
-    labels = found.filter("name = 'label'").groupBy("page_id", "card").agg(F.array_join(F.collect_list("value"), " | ").alias("labels"))
+    labels = found.filter("name = 'label'").groupBy("page_id", "card").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), " | ").alias("labels"))
     cards = spans.join(labels, ["page_id", "card"], "left").select("page_id", "card", F.transform("s", lambda x: x["value"]).alias("spans"), F.array_join(F.transform("s", lambda x: x["value"]), " ").alias("said"), F.coalesce("labels", F.lit("")).alias("labels"))
     cards = cards.withColumn("bet_id", F.nullif(F.regexp_extract("said", r"(?i)BET\s*ID[:\s]+([A-Z0-9/]+)", 1), F.lit("")))
     from pyspark.sql import Window

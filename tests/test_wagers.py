@@ -43,16 +43,16 @@ def bets_of(spark, rows):
     return spark.createDataFrame(rows, "id long, bet_type string, result string, stake decimal(18,2), payout decimal(18,2), is_live boolean, name string")
 
 
-#: One ticket for each edge: type, result, stake, payout.
-EDGES = [("single", "win", 10, 20), ("single", "loss", 10, 0), ("single", "push", 10, 10), ("single", "pending", 10, 0), ("parlay", "win", 5, 25), ("parlay", "loss", 5, 0), ("sgp", "win", 5, 30), ("sgp_plus", "loss", 5, 0), ("single", "win", 10, 20), ("single", "loss", 10, 0), ("parlay", "win", 5, 15), ("single", "win", 10, 25), ("single", "win", 10, 18), ("single", "loss", 10, 0), ("single", "win", 10, 22)]
+#: Tickets of our own, worked out by hand: type, result, stake, payout.
+EDGES = [("single", "win", 40, 76), ("single", "loss", 25, 0), ("single", "push", 30, 30), ("single", "pending", 15, 0), ("parlay", "loss", 8, 0), ("sgp", "win", 4, 46), ("sgp_plus", "win", 6, 21), ("parlay", "pending", 9, 0), ("single", "win", 12, 20)]
 
 
 def test_edge_tickets_total(spark):
-    bets = bets_of(spark, [(i, t, r, Decimal(s), Decimal(p), i == 11, None) for i, (t, r, s, p) in enumerate(EDGES)])
+    bets = bets_of(spark, [(i, t, r, Decimal(s), Decimal(p), i == 8, None) for i, (t, r, s, p) in enumerate(EDGES)])
     got = aggregate.overall_stats(bets).first()
-    assert (got.total_bets, got.total_wagered, got.net_profit, got.wins, got.losses, got.pushes, got.pendings) == (15, 125, 70, 8, 5, 1, 1)
-    assert round(float(got.roi), 2) == 56 and round(got.win_rate, 2) == 61.54
-    assert {r.name: r["count"] for r in aggregate.live_or_before(bets).collect()} == {"live": 1, "pre": 14}
+    assert (got.total_bets, got.total_wagered, got.net_profit, got.wins, got.losses, got.pushes, got.pendings) == (9, 149, 68, 4, 2, 1, 2)
+    assert round(float(got.roi), 2) == 45.64 and round(got.win_rate, 2) == 66.67
+    assert {r.name: r["count"] for r in aggregate.live_or_before(bets).collect()} == {"live": 1, "pre": 8}
     none = aggregate.overall_stats(bets.limit(0)).first()
     assert none.total_bets == 0 and none.net_profit == 0 and none.roi == 0
     assert [r["count"] for r in aggregate.over_under(bets.limit(0), spark.createDataFrame([], "id long, ou string")).collect()] == [0, 0]
@@ -97,7 +97,7 @@ def test_text_and_dates(spark):
     assert one(spark, formats.odds(F.lit(-110.5))) == "-110" and one(spark, formats.odds(F.lit(0))) == ""
     assert one(spark, formats.currency(F.lit(-1234.5))) == "-$1,234.50"
     assert str(one(spark, formats.user_date(F.lit("2/29/24"), F.lit(2020)))) == "2024-02-29 12:00:00" and one(spark, formats.user_date(F.lit("2/30"), F.lit(2024))) is None
-    assert str(one(spark, formats.fanduel_date(F.lit("PLACED: 11/19/2025 10:11PM ET")))) == "2025-11-20 03:11:00"
+    assert str(one(spark, formats.fanduel_date(F.lit("PLACED: 2/3/2026 6:40PM ET")))) == "2026-02-03 23:40:00"
     score = lambda q: one(spark, text.match_score(q, F.lit("Pts"), F.lit("Points"), F.array(F.lit("Total Points"))))
     assert [score(q) for q in ("pts", "points", "total points", "po", "tot", "oint", "zzz", " ")] == [100, 90, 80, 70, 60, 10, 0, 100]
 
@@ -122,7 +122,7 @@ def test_teams(spark):
     got = {r.name: (r.canonical, r.status) for r in resolve.resolve_teams(names, seed.teams(spark)).collect()}
     assert got["PHO Suns"] == ("Phoenix Suns", "resolved") and got["suns phx"][0] == "Phoenix Suns" and got["Hawks"] == ("Atlanta Hawks", "ambiguous")
     assert got["xyz"] == ("xyz", "unresolved") and got[None][1] == "unresolved" and got["GS Steph Warriors"] == ("Golden State Warriors", "resolved")
-    assert len(seed.team_rows()) == 62 and len(seed.bet_type_rows()) == 38
+    assert len(seed.team_rows()) == 62 and len(seed.bet_type_rows()) == 73
 
 
 def test_store_changes(spark):
@@ -170,16 +170,16 @@ def test_state(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True).first().id == "1"
 
 
-CARD = '<div data-test-id="bet-card-1"><span data-test-id="bet-details-title-1">PHO Suns +2.5</span><span data-test-id="bet-details-displayOdds-1">−112</span><span data-test-id="bet-details-subtitle-1">Live Spread</span><div data-test-id="bet-details-status-1">Won</div><span data-test-id="bet-stake-1">Wager: $1.00</span><span data-test-id="bet-returns-1">Paid: $1.89</span><img src="https://x/teams/nba/PHX.png"><span data-test-id="bet-reference-1-0">Nov 18, 2025, 11:11:19 PM</span><span data-test-id="bet-reference-1-1">DK1</span></div>'
+CARD = '<div data-test-id="bet-card-1"><span data-test-id="bet-details-title-1">DEN Nuggets -4.5</span><span data-test-id="bet-details-displayOdds-1">+135</span><span data-test-id="bet-details-subtitle-1">Live Spread</span><div data-test-id="bet-details-status-1">Won</div><span data-test-id="bet-stake-1">Wager: $20.00</span><span data-test-id="bet-returns-1">Paid: $47.00</span><img src="https://x/teams/nba/DEN.png"><span data-test-id="bet-reference-1-0">Jan 5, 2026, 9:03:07 AM</span><span data-test-id="bet-reference-1-1">Q1</span></div>'
 ITEM = '<div data-test-id="selection-list-item"><svg aria-label="{icon}"></svg><div data-test-id="bet-selection-title-{n}">{title}</div>{more}</div>'
 LEG = '<div data-test-id="bet-selection-subtitle-{n}">{who}</div>'
 PARLAY = (
-    '<div data-test-id="bet-card-2"><span data-test-id="sgp-extra-2">SGPx</span><span data-test-id="bet-details-title-2">3 Picks Parlay</span><div data-test-id="bet-details-status-2">Lost</div><span data-test-id="bet-stake-2">Wager: $2.00</span><span data-test-id="bet-reference-2-1">DK2</span>'
-    + ITEM.format(icon="checkmark icon", n=1, title="25+", more=LEG.format(n=1, who="Zach LaVine Points"))
-    + ITEM.format(icon="X sign", n=2, title="2 Pick SGP", more=ITEM.format(icon="X sign", n=3, title="4+", more=LEG.format(n=3, who="Paul George Assists")) + ITEM.format(icon="checkmark", n=4, title="2+", more=LEG.format(n=4, who="Kevin Love Made Threes")))
+    '<div data-test-id="bet-card-2"><span data-test-id="sgp-extra-2">SGPx</span><span data-test-id="bet-details-title-2">3 Picks Parlay</span><div data-test-id="bet-details-status-2">Lost</div><span data-test-id="bet-stake-2">Wager: $3.00</span><span data-test-id="bet-reference-2-1">Q2</span>'
+    + ITEM.format(icon="checkmark icon", n=1, title="12+", more=LEG.format(n=1, who="Marta Ilves Rebounds"))
+    + ITEM.format(icon="X sign", n=2, title="2 Pick SGP", more=ITEM.format(icon="X sign", n=3, title="3+", more=LEG.format(n=3, who="Otto Brandt Steals")) + ITEM.format(icon="checkmark", n=4, title="1+", more=LEG.format(n=4, who="Lena Aho Blocks")))
     + "</div>"
 )
-FANDUEL = '<ul><li><span>Same Game Parlay™</span><span aria-label="Odds +6058">+6058</span><span>Chicago Bulls @ Portland Trail Blazers</span><span>Finished</span><span>Josh Giddey</span><span>To Record 10+ Assists</span><span>Coby White</span><span>4+ Made Threes</span></li><li><span>$2.00</span><span>TOTAL WAGER</span><span>$123.18</span><span>WON ON FANDUEL</span><span>BET ID: O/0242888/0028078</span><span>PLACED: 11/19/2025 10:11PM ET</span></li></ul>'
+FANDUEL = '<ul><li><span>Same Game Parlay™</span><span aria-label="Odds +915">+915</span><span>Turku Elks @ Oulu Bears</span><span>Finished</span><span>Ida Novak</span><span>To Record 7+ Rebounds</span><span>Per Lund</span><span>2+ Made Threes</span></li><li><span>$5.00</span><span>TOTAL WAGER</span><span>$50.75</span><span>WON ON FANDUEL</span><span>BET ID: O/7700001/0000042</span><span>PLACED: 2/3/2026 6:40PM ET</span></li></ul>'
 
 
 def test_pages(spark):
@@ -188,18 +188,38 @@ def test_pages(spark):
     assert {r.page_id: r.error_code for r in routed.collect()} == {1: None, 2: None, 3: "PARSER_NOT_AVAILABLE", 4: "EMPTY_HTML", 5: None}
     found = pages.fields(routed.filter("error_code IS NULL"))
     dk = {r.id: r for r in pages.draftkings_tickets(found.filter("book = 'DraftKings'")).collect()}
-    a, b = dk["DK1"], dk["DK2"]
-    assert (a.name, a.line, a.type, a.odds, a.stake, a.payout, a.result, a.bet_type, a.sport, a.is_live, str(a.placed_at)) == ("PHO Suns", "+2.5", "Spread", -112, 1, Decimal("1.89"), "win", "single", "NBA", True, "2025-11-18 23:11:19")
-    assert b.bet_type == "sgp_plus" and b.result == "loss" and [x.market for x in b.legs] == ["Pts", "2 Pick SGP"]
-    assert [(c.entities, c.market, c.target, c.result) for c in b.legs[1].children] == [(["Paul George"], "Ast", "4+", "loss"), (["Kevin Love"], "3pt", "2+", "win")]
-    assert b.legs[1].result == "loss" and b.description == "Pts 25+, Ast 4+, 3pt 2+"
+    a, b = dk["Q1"], dk["Q2"]
+    assert (a.name, a.line, a.type, a.odds, a.stake, a.payout, a.result, a.bet_type, a.sport, a.is_live, str(a.placed_at)) == ("DEN Nuggets", "-4.5", "Spread", 135, 20, Decimal("47.00"), "win", "single", "NBA", True, "2026-01-05 09:03:07")
+    assert b.bet_type == "sgp_plus" and b.result == "loss" and [x.market for x in b.legs] == ["Reb", "2 Pick SGP"]
+    assert [(c.entities, c.market, c.target, c.result) for c in b.legs[1].children] == [(["Otto Brandt"], "Stl", "3+", "loss"), (["Lena Aho"], "Blk", "1+", "win")]
+    assert b.legs[1].result == "loss" and b.description == "Reb 12+, Stl 3+, Blk 1+"
     fd = pages.fanduel_tickets(found.filter("book = 'FanDuel'")).first()
-    assert (fd.bet_id, fd.bet_type, fd.odds, fd.stake, fd.payout, fd.result) == ("O/0242888/0028078", "sgp", 6058, 2, Decimal("123.18"), "win")
-    assert [(x.entities[0], x.market, x.target) for x in fd.legs] == [("Josh Giddey", "Ast", "10+"), ("Coby White", "3pt", "4+")]
+    assert (fd.bet_id, fd.bet_type, fd.odds, fd.stake, fd.payout, fd.result) == ("O/7700001/0000042", "sgp", 915, 5, Decimal("50.75"), "win")
+    assert [(x.entities[0], x.market, x.target) for x in fd.legs] == [("Ida Novak", "Reb", "7+"), ("Per Lund", "3pt", "2+")]
     codes = {r.page_id: r.error_code for r in pages.without_tickets(routed, pages.draftkings_tickets(found.filter("book = 'DraftKings'")).select("page_id").union(pages.fanduel_tickets(found.filter("book = 'FanDuel'")).select("page_id"))).collect()}
     assert codes[5] == "NO_BETS_FOUND" and codes[1] is None
 
 
+def test_statistics_of_markets(spark):
+    said = {"Points + Rebounds + Assists": "PRA", "Points + Rebounds": "PR", "Points + Assists": "PA", "Rebounds + Assists": "RA", "Steals + Blocks": "Stocks", "3 Pointers": "3pt", "Pts": "Pts", "Double Double": "DD", "First FG": "FB", "Money Line": "Moneyline", "Odd": None}
+    for market, kind in said.items():
+        assert one(spark, pages.stat_type(F.lit(market))) == kind, market
+
+
+def test_broken_pages_and_row_numbers(spark, tmp_path, monkeypatch):
+    def fail(self, data):
+        raise AssertionError("broken")
+
+    raw = spark.createDataFrame([(1, "DraftKings", "<!--x")], "page_id long, book string, html string")
+    found = pages._listed("DraftKings", None)
+    assert found == []
+    monkeypatch.setattr(pages._Fields, "feed", fail)
+    assert pages._listed("DraftKings", "<p>")[0][2] == "failed"
+    failed = spark.createDataFrame([(1, "DraftKings", -1, "", "failed", "AssertionError", 0)], pages.FIELDS)
+    codes = pages.without_tickets(pages.route(raw), spark.createDataFrame([], "page_id long"), failed).collect()
+    assert codes[0].error_code == "PARSER_FAILED"
+
+
 def test_stream_import_is_idempotent(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "store")
     frame = lambda ids: spark.createDataFrame([(i, "b", "win", 10, 20) for i in ids], "id long, book string, result string, stake long, payout long")
