@@ -59,6 +59,25 @@ def over_under(bets: DataFrame, legs: DataFrame, parlays: bool = False, matches:
     return out.withColumn("roi", money.roi(F.col("net"), F.col("stake")))
 
 
+def nested_entity_stats(bets: DataFrame) -> DataFrame:
+    """entity_stats of tickets that hold their legs: no join and no shuffle of legs, a ticket's entities are told apart inside it."""
+    own = F.array_distinct(F.flatten(F.transform("legs", lambda leg: leg["entities"])))
+    names = F.when(F.coalesce(F.size("legs") > 0, F.lit(False)), own).otherwise(F.array("name"))
+    rows = bets.filter(~money.is_parlay()).select("result", "stake", "payout", F.explode(names).alias("name")).filter(F.col("name") != "")
+    out = rows.groupBy("name").agg(F.count("*").alias("tickets"), _is("win"), _is("loss"), F.sum("stake").alias("stake"), F.sum(money.net()).alias("net"))
+    return out.withColumn("roi", money.roi(F.col("net"), F.col("stake")))
+
+
+def nested_over_under(bets: DataFrame, parlays: bool = False, entity: str | None = None) -> DataFrame:
+    """over_under of tickets that hold their legs; with an entity only of legs that name it."""
+    chosen = F.filter("legs", lambda leg: leg["ou"].isNotNull() & (F.lit(True) if entity is None else F.array_contains(leg["entities"], entity)))
+    rows = bets if parlays else bets.filter(~money.is_parlay())
+    rows = rows.select("result", "stake", "payout", F.explode(F.transform(chosen, lambda leg: F.lower(leg["ou"]))).alias("name"))
+    figures = rows.groupBy("name").agg(F.count("*").alias("count"), _is("win"), _is("loss"), F.sum("stake").alias("stake"), F.sum(money.net()).alias("net"))
+    out = fixed_rows(bets.sparkSession, ["over", "under"], figures, ["count", "wins", "losses", "stake", "net"])
+    return out.withColumn("roi", money.roi(F.col("net"), F.col("stake")))
+
+
 def live_or_before(bets: DataFrame) -> DataFrame:
     """Figures of tickets placed live and of those placed before the game; both rows always."""
     name = F.when(F.coalesce("is_live", F.lit(False)), "live").otherwise("pre")

@@ -82,7 +82,7 @@ def agg_by_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     True,
 )
 def agg_entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregate.entity_stats(tickets(spark, sf_dir), legs(spark, sf_dir), F.col("entity")), "roi")
+    return rounded(aggregate.nested_entity_stats(nested(spark, sf_dir)), "roi")
 
 
 SIDES = (
@@ -93,13 +93,13 @@ SIDES = (
 
 @query(SIDES.format(where="NOT parlay AND ou IS NOT NULL"), True)
 def agg_over_under(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregate.over_under(tickets(spark, sf_dir), legs(spark, sf_dir)), "roi")
+    return rounded(aggregate.nested_over_under(nested(spark, sf_dir)), "roi")
 
 
 @query(SIDES.format(where="ou IS NOT NULL AND market_category = 'Props' AND entity = 'red widget'"), True)
 def agg_over_under_props_of_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bets = tickets(spark, sf_dir).filter(filters.over_under_market("props"))
-    return rounded(aggregate.over_under(bets, legs(spark, sf_dir), parlays=True, matches=F.col("entity") == "red widget"), "roi")
+    bets = nested(spark, sf_dir).filter(filters.over_under_market("props"))
+    return rounded(aggregate.nested_over_under(bets, parlays=True, entity="red widget"), "roi")
 
 
 @query("SELECT CASE WHEN is_live THEN 'live' ELSE 'pre' END AS name, count(*)::BIGINT AS count, " + COUNTS + ", sum(stake)::BIGINT AS stake, sum(net)::BIGINT AS net, " + ROI.format(s="sum(stake)", n="sum(net)") + " FROM kpi GROUP BY 1")
@@ -115,21 +115,19 @@ def agg_quick_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH m AS (SELECT COALESCE(nullif(regexp_extract(market, '\\(([^)]+)\\)$', 1), ''), market) AS market, k.* FROM kpi k JOIN legs USING (id)) " + by("market", "m"), True)
 def agg_by_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parlays aren't left out: each leg counts the ticket's money."""
-    bets = tickets(spark, sf_dir).join(legs(spark, sf_dir).groupBy("id").agg(F.collect_list("market").alias("markets")), "id")
-    short = F.transform("markets", lambda m: F.coalesce(classify.in_brackets(m), m))
-    return rounded(aggregate.stats_by(bets, short, many=True), "roi")
+    short = F.transform("legs", lambda leg: F.coalesce(classify.in_brackets(leg["market"]), leg["market"]))
+    return rounded(aggregate.stats_by(nested(spark, sf_dir), short, many=True), "roi")
 
 
 @query("WITH m AS (SELECT market, k.* FROM kpi k JOIN legs USING (id) WHERE entity = 'red widget') " + by("market", "m"), True)
 def agg_player_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = legs(spark, sf_dir).filter(F.col("entity") == "red widget").select("id", "market")
-    return rounded(aggregate.stats_by(tickets(spark, sf_dir).join(mine, "id"), F.col("market")), "roi")
+    mine = F.transform(F.filter("legs", lambda leg: F.array_contains(leg["entities"], "red widget")), lambda leg: leg["market"])
+    return rounded(aggregate.stats_by(nested(spark, sf_dir), mine, many=True), "roi")
 
 
 @query("SELECT count(*)::BIGINT AS total_bets, COALESCE(count_if(result = 'win'), 0) || '-' || COALESCE(count_if(result = 'loss'), 0) || '-' || COALESCE(count_if(result = 'push'), 0) AS record FROM kpi WHERE n_legs <= 1 AND id IN (SELECT id FROM legs WHERE entity = 'red widget')", True)
 def agg_player_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = legs(spark, sf_dir).filter(F.col("entity") == "red widget").select("id").distinct()
-    stats = aggregate.overall_stats(tickets(spark, sf_dir).filter("n_legs <= 1").join(mine, "id", "left_semi"))
+    stats = aggregate.overall_stats(nested(spark, sf_dir).filter("n_legs <= 1").filter(filters.has_entity("red widget")))
     return stats.select("total_bets", F.concat_ws("-", "wins", "losses", "pushes").alias("record"))
 
 
