@@ -273,7 +273,7 @@ def _tiles(members: DataFrame, lists: DataFrame) -> DataFrame:
     main = counts.groupBy("grp").agg(F.max(F.struct("c", "cls", "e")).alias("m"), F.sum("c").alias("c"), F.sum("e").alias("e"))
     parts = lambda c, e: F.greatest(F.ceil(c / TILE), F.ceil(e / TILE_ELEMENTS)).cast("int")
     main = main.select("grp", F.col("m.cls").alias("main"), parts(F.col("m.c"), F.col("m.e")).alias("slices"), parts(F.col("c") - F.col("m.c"), F.col("e") - F.col("m.e")).alias("tiles"))
-    rows = members.join(main, "grp")
+    rows = members.join(small(written(main, "dart-main")), "grp")
     in_main = F.col("cls") == F.col("main")
     mine = F.pmod(F.xxhash64("key"), F.when(in_main, F.col("slices")).otherwise(F.col("tiles"))).cast("int")
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))

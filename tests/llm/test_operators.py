@@ -576,3 +576,29 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and columns whose names the operators use inside."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    names = ["gone_id", "gone_th", "th", "leak", "src", "base", "below", "copy", "label_id", "__score", "root", "key", "grp", "size", "lot", "word", "id", "x", "n", "h"]
+    odd = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    odd = odd.unionByName(odd.filter("doc_id = 4"))
+    rows = lambda frame: Counter(map(str, frame.collect()))
+    texts = lambda frame: Counter(r.text for r in frame.collect() if (r.text or "").strip())
+    given = rows(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        kept = rows(out)
+        assert set(kept) <= set(given), name
+        if name == "near_duplicates":
+            assert set(texts(out)) == set(texts(odd)) and max(texts(out).values()) == 1
+        if name == "mix_sources":
+            assert all(n <= 2 * given[r] for r, n in kept.items())
+        if name == "decontamination":
+            assert kept == given
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, sf).collect()
+    assert len(last) == odd.count() and sum(r.n_tokens == 1 for r in last) == sum(n for r, n in Counter(r.text for r in odd.collect()).items() if not (r or "").strip())
