@@ -272,7 +272,7 @@ def _tiles(members: DataFrame, lists: DataFrame) -> DataFrame:
     counts = members.groupBy("grp", "cls").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
     main = counts.groupBy("grp").agg(F.max(F.struct("c", "cls", "e")).alias("m"), F.sum("c").alias("c"), F.sum("e").alias("e"))
     parts = lambda c, e: F.greatest(F.ceil(c / TILE), F.ceil(e / TILE_ELEMENTS)).cast("int")
-    main = main.select("grp", F.col("m.cls").alias("main"), parts(F.col("m.c"), F.col("m.e")).alias("slices"), parts(F.col("c") - F.col("m.c"), F.col("e") - F.col("m.e")).alias("tiles"))
+    main = main.select("grp", "c", "e", F.col("m.cls").alias("main"), parts(F.col("m.c"), F.col("m.e")).alias("slices"), parts(F.col("c") - F.col("m.c"), F.col("e") - F.col("m.e")).alias("tiles"))
     rows = members.join(small(written(main, "dart-main")), "grp")
     in_main = F.col("cls") == F.col("main")
     mine = F.pmod(F.xxhash64("key"), F.when(in_main, F.col("slices")).otherwise(F.col("tiles"))).cast("int")
@@ -280,7 +280,9 @@ def _tiles(members: DataFrame, lists: DataFrame) -> DataFrame:
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     with_main = F.transform(upto(F.col("slices")), lambda k: cell(0, mine, k, F.lit(0)))
     with_others = F.transform(upto(F.col("tiles")), lambda t: cell(1, F.least(t, mine), F.greatest(t, mine), mine > t))
-    cells = F.when(in_main, F.transform(upto(F.col("tiles")), lambda t: cell(0, t, mine, F.lit(1)))).otherwise(F.concat(with_main, with_others))
+    # A group that fits one tile is one cell.
+    fits = (F.col("c") <= TILE) & (F.col("e") <= TILE_ELEMENTS)
+    cells = F.when(fits, F.array(cell(1, F.lit(0), F.lit(0), F.lit(0)))).when(in_main, F.transform(upto(F.col("tiles")), lambda t: cell(0, t, mine, F.lit(1)))).otherwise(F.concat(with_main, with_others))
     rows = rows.withColumn("cell", F.explode(cells)).select("grp", "cell.*", "key", "cls").join(lists, "key")
 
     def compare(pdf):
@@ -348,12 +350,15 @@ def classes(docs: DataFrame) -> DataFrame:
         mixed = rows.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
         return rows.join(small(written(mixed.select("grp"), "dart-mixed")), "grp", "left_semi")
 
-    placed = groups.select("grp", "key").join(roots, F.col("key") == F.col("v"), "left").select("grp", "key", cls)
-    open_ = written(_distinct_groups(several(placed)), "dart-open")
+    # Stored before: what looks for groups reads it several times.
+    placed = written(groups.select("grp", "key").join(roots, F.col("key") == F.col("v"), "left").select("grp", "key", cls), "dart-placed")
     discard(folder_of(groups))
+    open_ = written(_distinct_groups(several(placed)), "dart-open")
+    discard(folder_of(placed))
     theirs = lists.join(open_.select("key").distinct(), "key")
     alone = theirs.select("key", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
     fit = theirs.select("key", F.size("elements").alias("n")).join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("key", "n")
+    fit = written(fit, "dart-fit")
     rest = written(_distinct_groups(several(open_.join(fit, "key"))), "dart-rest")
     more = written(_tiles(rest, lists).distinct(), "dart-more")
     discard(folder_of(lists))
