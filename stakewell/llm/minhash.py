@@ -355,9 +355,10 @@ def classes(docs: DataFrame) -> DataFrame:
     discard(folder_of(groups))
     open_ = written(_distinct_groups(several(placed)), "dart-open")
     discard(folder_of(placed))
-    theirs = lists.join(open_.select("key").distinct(), "key")
-    alone = theirs.select("key", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    fit = theirs.select("key", F.size("elements").alias("n")).join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("key", "n")
+    # The elements of open texts are read once; how many a text has is known from its sketch.
+    keys = small(written(open_.select("key").distinct(), "dart-keys"))
+    alone = lists.join(keys, "key").select("key", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("key").alias("key")).filter("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    fit = met.select("key", "n").join(keys, "key").join(alone, "key", "left").filter(F.coalesce("alone", F.lit(0)) <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("key", "n")
     fit = written(fit, "dart-fit")
     rest = written(_distinct_groups(several(open_.join(fit, "key"))), "dart-rest")
     more = written(_tiles(rest, lists).distinct(), "dart-more")
