@@ -1,11 +1,11 @@
-"""The queries of the ten training-data operators and the SQL of those that have one."""
+"""The queries of the training-data operators and the SQL of those that have one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, minhash, mixing, neighbours, quality, tokens, toxicity, warc
+from . import align, chat, decontaminate, html, minhash, mixing, neighbours, quality, tokens, toxicity, warc
 from .common import table
 
 
@@ -51,5 +51,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_html_extract, op3_chat_format, op4_decontaminate, op5_neighbours, op6_warc_audit, op7_toxicity, op8_mixing, op9_quality, op10_near_duplicates)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_html_extract, op3_chat_format, op4_decontaminate, op5_neighbours, op6_warc_audit, op7_toxicity, op8_mixing, op9_quality, op10_near_duplicates, op13_token_alignment)}
 ORACLE = {"op3_chat_format": chat.ORACLE, "op6_warc_audit": warc.ORACLE, "op8_mixing": mixing.ORACLE}
