@@ -339,8 +339,8 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         del complete
         n, d = len(closed.ends), closed.of_doc
         number = np.arange(n) - closed.group_at[d] + np.array([x.groups for x in held], np.int64)[d] - np.diff(closed.group_at)[d]
-        lengths = vocabulary_of(path_a).lengths[closed.ids[0]]
-        size = np.add.reduceat(np.append(lengths, 0), closed.begin[0][:-1]) if n else lengths[:0]
+        lengths = vocabulary_of(path_a).lengths[closed.ids[0][: closed.begin[0][-1]]]
+        size = np.add.reduceat(lengths, closed.begin[0][:-1]) if n else lengths[:0]
         lists = [pa.ListArray.from_arrays(pa.array(closed.begin[s], pa.int32()), pa.array(closed.ids[s][: closed.begin[s][-1]].astype(np.int32))) for s in (0, 1)]
         keys = [pa.array([x.key[i] for x in held], pa.int64()).take(pa.array(d)) for i in range(3)]
         yield pa.record_batch([*keys, pa.array([x.copies for x in held], pa.int32()).take(pa.array(d)), pa.array(number), pa.array(closed.ends - size), pa.array(closed.ends), *lists], names=[*KEY, "copies", "number", "first_byte", "end_byte", "a_ids", "b_ids"])
