@@ -316,7 +316,7 @@ _ASSIGNED = "(SELECT rid, part, arg_min(entry, far * 64 + entry) AS entry, min(f
 _MEANS = "(SELECT b.part, b.entry, b.j, COALESCE(n.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT c.part, a.entry, c.j, floor(sum(c.x)::DOUBLE / count(*))::BIGINT AS x FROM comps c JOIN {codes} a ON a.rid = c.rid AND a.part = c.part GROUP BY 1, 2, 3) n ON n.part = b.part AND n.entry = b.entry AND n.j = b.j)"
 #: For vectors of one length.
 ORACLE = (
-    "WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid, vec_id, label, v FROM (SELECT vec_id, label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)), "
+    "WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid, vec_id, label, v FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)), "
     "flat AS (SELECT rid, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) // 16 AS d FROM kept), comps AS MATERIALIZED (SELECT rid, x, i // d AS part, i % d AS j FROM flat), "
     "b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, j, x FROM comps WHERE rid <= 64), "
     f"a0 AS MATERIALIZED {_ASSIGNED.format(books='b0')}, b1 AS MATERIALIZED {_MEANS.format(books='b0', codes='a0')}, a1 AS MATERIALIZED {_ASSIGNED.format(books='b1')}, b2 AS MATERIALIZED {_MEANS.format(books='b1', codes='a1')}, a2 AS MATERIALIZED {_ASSIGNED.format(books='b2')}, "
