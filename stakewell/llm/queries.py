@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, codes, decontaminate, html, minhash, mixing, neighbours, quality, tokens, toxicity, warc
+from . import align, chat, codes, decontaminate, html, lines, minhash, mixing, neighbours, quality, tokens, toxicity, warc
 from .common import table
 
 
@@ -55,9 +55,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_html_extract, op3_chat_format, op4_decontaminate, op5_neighbours, op6_warc_audit, op7_toxicity, op8_mixing, op9_quality, op10_near_duplicates, op11_vector_codes, op13_token_alignment)}
-ORACLE = {"op3_chat_format": chat.ORACLE, "op6_warc_audit": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op11_vector_codes": codes.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_html_extract, op3_chat_format, op4_decontaminate, op5_neighbours, op6_warc_audit, op7_toxicity, op8_mixing, op9_quality, op10_near_duplicates, op11_vector_codes, op12_line_dedup, op13_token_alignment)}
+ORACLE = {"op3_chat_format": chat.ORACLE, "op6_warc_audit": warc.ORACLE, "op8_mixing": mixing.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_line_dedup": lines.ORACLE}
