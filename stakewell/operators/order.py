@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import scan
+
 
 def stats_order(column: str = "net", descending: bool = True, tie: str = "name") -> list[Column]:
     """Of a table of figures: a missing value counts as 0; ties by name."""
@@ -39,5 +41,10 @@ def name_order(column: str) -> list[Column]:
 
 
 def positions(rows: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "position") -> DataFrame:
-    """Numbers rows from 1 in an order, inside each value of `within`; without it the rows must be few (a table of figures, a dimension)."""
+    """Numbers rows from 1 in an order, inside each value of `within`, by a window: for few rows (a table of figures, a dimension), or few a value."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(*order)))
+
+
+def ranked(rows: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "position") -> DataFrame:
+    """As positions, for any number of rows in a value, or in all: by the distributed scan. The order has to be total."""
+    return scan(rows, order, within, position=name)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, formats, money
 from . import legs as leg_ops
+from .scan import scan
 
 MOST_LEGS = 10
-#: Ids that one window holds.
-SPAN = 10_000
 
 
 def over_under_flags(ou: Column, target: Column) -> tuple[Column, Column]:
@@ -49,19 +48,9 @@ def final_rows(bets: DataFrame) -> DataFrame:
 
 
 def stripes(rows: DataFrame, by: str) -> DataFrame:
-    """Adds the running number of the group a row belongs to: headers and single rows begin one, children keep it. Runs inside each value of `by`.
-
-    In two levels, by SPAN neighbouring ids and inside them, so that no task holds all rows of a value.
-    """
-    begins = (~F.col("is_child")).cast("int")
-    span = F.floor(F.col("id") / SPAN)
-    rows = rows.withColumn("span", span)
-    before = Window.partitionBy(by).orderBy("span")
-    spans = rows.groupBy(by, "span").agg(F.sum(begins).alias("own"))
-    spans = spans.select(F.col(by).alias("span_by"), F.col("span").alias("span_no"), (F.sum("own").over(before) - F.col("own")).alias("ahead"))
-    inside = Window.partitionBy(by, "span").orderBy("id", "row_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(spans, (F.col(by).eqNullSafe(F.col("span_by"))) & (F.col("span") == F.col("span_no")))
-    return out.withColumn("stripe", F.col("ahead") + F.sum(begins).over(inside) - 1).drop("span", "span_by", "span_no", "ahead")
+    """Adds the running number of the group a row belongs to: headers and single rows begin one, children keep it. Runs inside each value of `by`."""
+    begins = rows.withColumn("begins", (~F.col("is_child")).cast("long"))
+    return scan(begins, [F.col("id").asc(), F.col("row_no").asc()], [by], running={"stripe": "begins"}).withColumn("stripe", F.col("stripe") - 1).drop("begins")
 
 
 def display(bets: DataFrame) -> DataFrame:

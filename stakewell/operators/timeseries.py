@@ -1,22 +1,17 @@
-"""Running sums over all tickets, without putting them into one partition."""
+"""Running sums and neighbours over all tickets, by the distributed scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import scan
 
-def cumulative(bets: DataFrame, amount: Column, at: str = "placed_at", tie: str = "id") -> DataFrame:
-    """id, at, amount and the running sum, one point a ticket in order of time.
 
-    Two levels: sums by day run over the few days, then tickets run inside their day; the day's start is added.
-    """
-    rows = bets.select(tie, at, amount.alias("amount"), F.to_date(at).alias("day"))
-    days = rows.groupBy("day").agg(F.sum("amount").alias("total"))
-    before = F.sum("total").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
-    days = days.select("day", before.alias("before"))
-    inside = F.sum("amount").over(Window.partitionBy("day").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("inside", inside).join(days, "day").select(tie, at, "amount", (F.col("before") + F.col("inside")).alias("running"))
+def cumulative(bets: DataFrame, amount: Column, at: str = "placed_at", tie: str = "id") -> DataFrame:
+    """id, at, amount and the running sum, one point a ticket in order of time; however many tickets a day has."""
+    rows = bets.select(tie, at, amount.alias("amount"))
+    return scan(rows, [F.col(at).asc_nulls_first(), F.col(tie).asc()], running={"running": "amount"})
 
 
 def latest(bets: DataFrame, n: int = 10) -> DataFrame:
@@ -24,10 +19,10 @@ def latest(bets: DataFrame, n: int = 10) -> DataFrame:
     return bets.orderBy(F.desc("placed_at"), F.desc("id")).limit(n)
 
 
-def midpoint(bets: DataFrame, by: str) -> DataFrame:
-    """For each ticket the times at which one could be put before and after it: half way to its neighbour, a second beyond the ends."""
-    order = Window.partitionBy(by).orderBy("placed_at", "id")
-    t = F.unix_micros(F.col("placed_at").cast("timestamp"))
-    back, ahead = F.lag(t).over(order), F.lead(t).over(order)
-    half = lambda a, b, d: F.timestamp_micros(F.coalesce(F.floor((a + b) / 2000).cast("long") * 1000, a + d))
-    return bets.select("id", half(t, back, F.lit(-1_000_000)).alias("insert_before"), half(t, ahead, F.lit(1_000_000)).alias("insert_after"))
+def midpoint(bets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """For each ticket the times at which one could be put before and after it: half way to its neighbour (inside its values of `by`), a second beyond the ends."""
+    t, back, ahead = F.col("t"), F.col("back"), F.col("ahead")
+    rows = bets.select("id", "placed_at", *(by or []), F.unix_micros(F.col("placed_at").cast("timestamp")).alias("t"))
+    rows = scan(rows, [F.col("placed_at").asc_nulls_first(), F.col("id").asc()], by, neighbours={"t": ("back", "ahead")})
+    half = lambda b, d: F.timestamp_micros(F.coalesce(F.floor((t + b) / 2000).cast("long") * 1000, t + d))
+    return rows.select("id", half(back, F.lit(-1_000_000)).alias("insert_before"), half(ahead, F.lit(1_000_000)).alias("insert_after"))

@@ -165,8 +165,17 @@ def srt_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, within = tickets(spark, sf_dir).select("id", "book", "sport", "placed_at", "tail"), ["book", "sport"]
     for name, by_ in (("newest", order.grid_order("placed_at", True)), ("oldest", order.grid_order("placed_at", False)), ("by_tail", order.grid_order("tail", True)), ("stored", order.storage_order())):
-        rows = order.positions(rows, by_, within, name)
-    return rows.select("id", "newest", "oldest", "by_tail", "stored")
+        rows = order.ranked(rows, by_, within, name)
+    return rows.select("id", *(F.col(c).cast("int").alias(c) for c in ("newest", "oldest", "by_tail", "stored")))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY placed_at::DATE DESC, id) AS newest, row_number() OVER (ORDER BY tail DESC NULLS LAST, id) AS by_tail, row_number() OVER (ORDER BY placed_at DESC, id DESC) AS stored FROM bets")
+def srt_grid_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions in the whole grid."""
+    rows = tickets(spark, sf_dir).select("id", "placed_at", "tail")
+    for name, by_ in (("newest", order.grid_order("placed_at", True)), ("by_tail", order.grid_order("tail", True)), ("stored", order.storage_order())):
+        rows = order.ranked(rows, by_, name=name)
+    return rows.select("id", "newest", "by_tail", "stored")
 
 
 @query("WITH s AS (SELECT DISTINCT CASE WHEN n_legs <= 2 THEN '2-leg' WHEN n_legs <= 4 THEN n_legs || '-leg' ELSE '5+ legs' END AS name FROM bets WHERE bet_type <> 'single') SELECT name, CASE name WHEN '5+ legs' THEN 1 WHEN '2-leg' THEN 2 WHEN '3-leg' THEN 3 ELSE 4 END::INTEGER AS position FROM s")
@@ -180,7 +189,15 @@ def srt_leg_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_futures_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("id") % 10
     rows = tickets(spark, sf_dir).filter(filters.open_futures()).select("id", "book", "sport", F.when(n == 0, F.col("id") % 90).when(n == 2, 400 - F.col("id") % 90).alias("days"))
-    return order.positions(rows, order.timeline_order(), ["book", "sport"]).select("id", "position")
+    return order.ranked(rows, order.timeline_order(), ["book", "sport"]).select("id", F.col("position").cast("int").alias("position"))
+
+
+@query("WITH f AS (SELECT id, CASE WHEN id % 10 = 0 THEN id % 90 WHEN id % 10 = 2 THEN 400 - id % 90 END AS days FROM bets WHERE market_category = 'Futures' AND result = 'pending') SELECT id, row_number() OVER (ORDER BY days NULLS LAST, id) AS position FROM f")
+def srt_timeline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline of all open futures."""
+    n = F.col("id") % 10
+    rows = tickets(spark, sf_dir).filter(filters.open_futures()).select("id", F.when(n == 0, F.col("id") % 90).when(n == 2, 400 - F.col("id") % 90).alias("days"))
+    return order.ranked(rows, order.timeline_order()).select("id", "position")
 
 
 @query("WITH p AS (SELECT DISTINCT p_name, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'Boston Celtics' WHEN 'blue' THEN 'Atlanta Hawks' END AS team FROM part WHERE length(p_name) % 5 <> 0) SELECT p_name AS canonical, CASE team WHEN 'Boston Celtics' THEN 'NBA:BOS' WHEN 'Atlanta Hawks' THEN 'NBA:ATL' END AS team_id, (row_number() OVER (ORDER BY team NULLS LAST, p_name))::INTEGER AS position FROM p")

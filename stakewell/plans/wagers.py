@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, filters, formats, money, text
 from ..operators import aggregate, resolve, rows, store, timeseries, validate
+from ..operators.scan import scan
 from ..sources import seed
 from ..sources.adapter import BETS_SQL, LEGS_SQL, legs, nested, tickets
 
@@ -224,10 +225,27 @@ def win_recent_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT id, make_timestamp(COALESCE((t + b) // 2000 * 1000, t - 1000000)) AS insert_before, make_timestamp(COALESCE((t + a) // 2000 * 1000, t + 1000000)) AS insert_after FROM t"
 )
 def win_midpoint_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = timeseries.midpoint(tickets(spark, sf_dir).withColumn("g", F.concat_ws("|", "book", "sport")), "g")
+    out = timeseries.midpoint(tickets(spark, sf_dir), ["book", "sport"])
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("insert_before", "insert_after")})
 
 
+@query(
+    "WITH t AS (SELECT id, epoch_us(placed_at) AS t, lag(epoch_us(placed_at)) OVER w AS b, lead(epoch_us(placed_at)) OVER w AS a FROM bets WINDOW w AS (ORDER BY placed_at, id)) "
+    "SELECT id, make_timestamp(COALESCE((t + b) // 2000 * 1000, t - 1000000)) AS insert_before, make_timestamp(COALESCE((t + a) // 2000 * 1000, t + 1000000)) AS insert_after FROM t"
+)
+def win_insert_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours among all tickets: days hold many, and one range of them is one task whatever a day holds."""
+    out = timeseries.midpoint(tickets(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("insert_before", "insert_after")})
+
+
+@query("SELECT id, book, (sum(net) OVER (PARTITION BY book ORDER BY placed_at, id ROWS UNBOUNDED PRECEDING))::BIGINT AS running, last_value(tail IGNORE NULLS) OVER (PARTITION BY book ORDER BY placed_at, id ROWS UNBOUNDED PRECEDING) AS last_tail FROM kpi")
+def win_book_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each book's balance after every ticket, and whom it last followed."""
+    rows_ = tickets(spark, sf_dir).select("id", "book", "placed_at", "tail", money.net().alias("net"))
+    return scan(rows_, [F.col("placed_at").asc(), F.col("id").asc()], ["book"], running={"running": "net"}, latest={"last_tail": "tail"}).select("id", "book", "running", "last_tail")
+
+
 # ---- filters
 
 
