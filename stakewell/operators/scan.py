@@ -11,6 +11,7 @@ One shuffle of the rows, one write. The order has to be total (end it with an id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -114,14 +115,15 @@ def scan(
     within, running, neighbours, latest = within or [], running or {}, neighbours or {}, latest or {}
     own = {c: fresh(f"scan_{c}", rows) for c in ("group", "part", "row", "segment", "position")}
     kind = {f.name: f.dataType for f in rows.schema}
-    widened = rows.withColumns({c: F.col(c).cast("long" if kind[c].typeName() in ("byte", "short", "integer", "long") else "double") for c in running.values()}) if running else rows
+    amount = {n: fresh(f"scan_amount_{n}", rows) for n in running}
+    widened = rows.withColumns({amount[n]: _summable(c, kind[c]) for n, c in running.items()}) if running else rows
     hashed = widened.withColumn(own["group"], F.xxhash64(*(within or [F.lit(0)])))
     keys = [*(F.col(c).asc_nulls_first() for c in within), *order]
     sorted_ = hashed.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     place = {c: i for i, c in enumerate(sorted_.columns)}
-    places = (place[own["group"]], [place[c] for c in running.values()], [place[c] for c in neighbours], [place[c] for c in latest.values()])
+    places = (place[own["group"]], [place[c] for c in amount.values()], [place[c] for c in neighbours], [place[c] for c in latest.values()])
     made = [(own["part"], T.LongType()), (own["row"], T.LongType()), (own["segment"], T.LongType()), (own["position"], T.LongType())]
-    made += [(n, sorted_.schema[c].dataType) for n, c in running.items()]
+    made += [(n, sorted_.schema[amount[n]].dataType) for n in running]
     made += [(n, kind[c]) for c, pair in neighbours.items() for n in pair]
     made += [(n, kind[c]) for n, c in latest.items()]
     schema = T.StructType([*sorted_.schema, *(T.StructField(n, t) for n, t in made)])
@@ -134,8 +136,8 @@ def scan(
     out = {}
     if position:
         out[position] = F.col(own["position"]) + F.when(first_segment, F.col("carry_position")).otherwise(0)
-    for n in running:
-        out[n] = F.col(n) + F.when(first_segment, F.col(f"carry_{n}")).otherwise(0)
+    for n, c in running.items():
+        out[n] = _scaled(F.col(n) + F.when(first_segment, F.col(f"carry_{n}")).otherwise(0), kind[c])
     for c, (before, after) in neighbours.items():
         out[before] = F.when(F.col(own["row"]) == 0, F.col(f"carry_before_{c}")).otherwise(F.col(before))
         out[after] = F.when(F.col(own["row"]) == F.col("carry_last_row"), F.col(f"carry_after_{c}")).otherwise(F.col(after))
@@ -144,13 +146,27 @@ def scan(
     return joined.select(*rows.columns, *(v.alias(k) for k, v in out.items()))
 
 
+def _summable(column: str, kind: T.DataType) -> Column:
+    """Decimals are added up in units of their last place."""
+    if isinstance(kind, T.DecimalType):
+        return (F.col(column) * F.lit(Decimal(10) ** kind.scale)).cast("long")
+    return F.col(column).cast("long" if kind.typeName() in ("byte", "short", "integer", "long") else "double")
+
+
+def _scaled(total: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DecimalType):
+        return (total.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-kind.scale))).cast(f"decimal(20,{kind.scale})")
+    return total
+
+
 def _carried(local: DataFrame, own: dict, running: dict, neighbours: dict, latest: dict) -> DataFrame:
     """One row a part: what its first group had before it, and the neighbours of its first and last row."""
     spark = local.sparkSession
     row = F.col(own["row"])
     ends = [own["group"], own["segment"], own["position"], own["row"], *running, *neighbours, *latest]
     ends = local.groupBy(own["part"]).agg(F.min_by(F.struct(*ends), row).alias("first"), F.max_by(F.struct(*ends), row).alias("last"))
-    out, position, sums, last = [], 0, dict.fromkeys(running, 0), dict.fromkeys(latest)
+    zero = {n: 0.0 if local.schema[n].dataType.typeName() == "double" else 0 for n in running}
+    out, position, sums, last = [], 0, zero, dict.fromkeys(latest)
     found = ends.orderBy(own["part"]).collect()  # one row a part
     for i, r in enumerate(found):
         back, ahead = found[i - 1].last if i else None, found[i + 1].first if i + 1 < len(found) else None
@@ -162,7 +178,7 @@ def _carried(local: DataFrame, own: dict, running: dict, neighbours: dict, lates
             sums = {n: back[n] + (sums[n] if alone else 0) for n in running}
             last = {n: back[n] if back[n] is not None or not alone else last[n] for n in latest}
         else:
-            position, sums, last = 0, dict.fromkeys(running, 0), dict.fromkeys(latest)
+            position, sums, last = 0, zero, dict.fromkeys(latest)
         ends_on = ahead is not None and ahead[own["group"]] == r.last[own["group"]]
         out.append((r[own["part"]], position, r.last[own["row"]], *sums.values(), *((back[c] if goes_on else None, ahead[c] if ends_on else None) for c in neighbours), *last.values()))
     kind = {f.name: f.dataType for f in local.schema}

@@ -70,3 +70,11 @@ def test_the_plan_shuffles_rows_once(spark):
     rows = spark.range(1000).withColumn("x", F.col("id") % 7)
     plan = scan.scan(rows, [F.col("id").asc()], running={"total": "x"})._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,2)", "double", "short"])
+def test_sums_of_any_kind_of_number(spark, kind):
+    rows = spark.range(50).withColumn("x", (F.col("id") - 20).cast(kind))
+    got = scan.scan(rows, [F.col("id").asc()], running={"total": "x"}, parts=4).collect()
+    assert [(r.id, int(r.x), int(r.total)) for r in sorted(got)] == [(i, i - 20, sum(range(-20, i - 19))) for i in range(50)]
+    assert type(got[0].total) is {"decimal(18,2)": __import__("decimal").Decimal, "double": float, "short": int}[kind]
