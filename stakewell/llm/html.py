@@ -72,6 +72,9 @@ OUT_WORDS = set(
     "side aside related recommended widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search form "
     "share sharing social comment comments commentlist respond disqus reply replies copyright legal disclaimer masthead toolbar skip".split()
 )
+#: Named elements and words that hold an article now and then, if they hold MOST of a host's text; those of readers never.
+YIELD_TAGS = {"form", "aside"}
+READERS = set("comment comments commentlist respond disqus reply replies".split())
 OWN_WORDS = set("article entry post content story main title body".split())
 #: A tag: quotes count only behind "=". Nothing is tried twice, so a page is read in linear time.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
@@ -424,12 +427,17 @@ class Wrapper:
         """The content root (-1: none) and the nodes whose text is content."""
         n = len(self.label)
         named, constant, mass = [False] * n, [False] * n, [0] * n
+        all_text, todo = [f[2] - f[3] for f in self.figures], [0]
+        for i in todo:
+            todo += self.children[i]
+        for i in reversed(todo):
+            all_text[i] += sum(all_text[c] for c in self.children[i])
         order, todo = [], [(0, True, False)]
         while todo:
             i, ok, article = todo.pop()
             _, same, chars, links, kinds, _ = self.figures[i]
             article = article or self.tag[i] in SECTIONS
-            ok = ok and not self.out[i] and not (self.tag[i] == "header" and not article) and not (self.tag[i] not in LEAVES and i and chars and links > LINKS * chars)
+            ok = ok and not (self.out[i] and not (all_text[i] >= MOST * all_text[0] > 0 and self._yields(i))) and not (self.tag[i] == "header" and not article) and not (self.tag[i] not in LEAVES and i and chars and links > LINKS * chars)
             named[i] = ok
             constant[i] = len(kinds) >= KINDS and same not in (None, 0)
             order.append(i)
@@ -461,6 +469,12 @@ class Wrapper:
             todo += self.children[i]
         return root, chosen
 
+    def _yields(self, i: int) -> bool:
+        """Whether a node is out only by a name that a page's main container may have too."""
+        words = set(self.label[i].split(".")[1:])
+        named = self.tag[i] in YIELD_TAGS or bool(OUT_WORDS & words)
+        return named and (self.tag[i] not in OUT_TAGS or self.tag[i] in YIELD_TAGS) and not READERS & words and self._leaves(i)
+
     def _leaves(self, i: int) -> bool:
         """Whether a paragraph stands below a node."""
         todo = [i]

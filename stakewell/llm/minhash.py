@@ -398,7 +398,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = marks.filter("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct()
     this = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_th))
     out = docs.join(small(gone), this, "left_anti")
-    kept = marks.filter("kept AND class_size > 1")
-    if kept.count() == kept.select("doc_id", "th").distinct().count():
-        return out
-    return out.withColumn(th, F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc_id", th]).drop(th)
+    # Rows that tie: only these are looked at again, so that texts without words, which are in no class, all stay.
+    tie_id, tie_th = fresh("tie_id", docs), fresh("tie_th", docs)
+    ties = marks.filter("kept AND class_size > 1").groupBy("doc_id", "th").count().filter("count > 1").select(F.col("doc_id").alias(tie_id), F.col("th").alias(tie_th))
+    ties = small(written(ties, "dart-ties"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(tie_id)) & (F.xxhash64("text") == F.col(tie_th))
+    once = out.join(ties, same, "left_semi").withColumn(th, F.xxhash64("text")).dropDuplicates(["doc_id", th]).drop(th)
+    return out.join(ties, same, "left_anti").unionByName(once)

@@ -121,6 +121,17 @@ def test_html_copies_of_an_article_stay(spark):
     assert set(extracted(spark, [page.format(i=i) for i in range(12)]).values()) == {"One title One text of many words that all of the pages share, copied over and over."}
 
 
+def test_html_names_yield_to_most_of_the_text(spark):
+    """A form round the whole page and a container called notice board hold the article; comments never do."""
+    say = lambda i, k, n=30: " ".join(f"word{i}x{k}x{j}" for j in range(n))
+    forms = [f"<body><form id=aspnetForm><div><h1>{say(i, 0, 3)}</h1><article><p>{say(i, 1)}</p></article></div><div class=menu>{say(i, 2, 5)}</div></form></body>" for i in range(5)]
+    assert extracted(spark, forms) == {i: say(i, 1) for i in range(5)}
+    boards = [f"<body><div class=top>{say(i, 0, 4)}</div><div class='notice-board'><p>{say(i, 1)}</p><p>{say(i, 2)}</p></div></body>" for i in range(5)]
+    assert all(f"{say(i, 1)} {say(i, 2)}" in t for i, t in extracted(spark, boards).items())
+    talk = [f"<body><article><p>{say(i, 0, 8)}</p></article><div class=comments><p>{say(i, 1, 90)}</p></div></body>" for i in range(5)]
+    assert extracted(spark, talk) == {i: say(i, 0, 8) for i in range(5)}
+
+
 def test_html_alignment():
     tree = lambda source: html.Wrapper(p.tree, p.figures(html._hash(source))) if (p := html.Page(source)) else None
     one, two = tree("<div class=a><p>x</p></div><div class=b><p>y</p></div>"), tree("<div class=a><p>x</p></div><section><p>new</p></section><div class=b><p>z</p></div>")
@@ -552,6 +563,14 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r.text for r in minhash.deduplicated(twice).collect()) == sorted(PROSE[:2])
 
 
+def test_texts_without_words_stay_whatever_else_ties(spark):
+    blanks = [(1, x) for x in ("!!!", "", " \n", None) for _ in range(2)]
+    for others in ([(2, PROSE[0]), (3, PROSE[0])], [(2, PROSE[0]), (2, PROSE[0])]):
+        docs = spark.createDataFrame([*blanks, *others], "doc_id long, text string")
+        left = [r.text for r in minhash.deduplicated(docs).collect()]
+        assert left.count(PROSE[0]) == 1 and len(left) == len(blanks) + 1, others
+
+
 # ---- the pipeline
 
 
