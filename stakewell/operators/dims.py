@@ -108,6 +108,11 @@ def team_id(sport: Column, abbreviations: Column, canonical: Column) -> Column:
     return F.concat_ws(":", sport, F.coalesce(F.get(abbreviations, F.lit(0)), own))
 
 
+def teams_by_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with team: the name of the team of their team_id, the first by name where teams share one; null if there is none."""
+    return rows.join(ids.groupBy("team_id").agg(F.min("name").alias("team")), "team_id", "left")
+
+
 def deduped_aliases(aliases: Column, key) -> Column:
     """The first alias of each key, in order; blank ones go. key: the function that makes a name's key."""
     keys = F.transform(aliases, key)

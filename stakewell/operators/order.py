@@ -36,8 +36,8 @@ def timeline_order(days: str = "days", tie: str = "id") -> list[Column]:
 
 
 def name_order(column: str) -> list[Column]:
-    """By name as people sort: letters before their case."""
-    return [F.lower(F.col(column)).asc(), F.col(column).desc()]
+    """By name as people sort: accents between their letters, small letters before capitals; by the root collation."""
+    return [F.collate(F.col(column), "UNICODE").asc(), F.col(column).asc()]
 
 
 def positions(rows: DataFrame, order: list[Column], within: list[str] | None = None, name: str = "position") -> DataFrame:

@@ -1,5 +1,5 @@
 """Named queries; importing the package registers all of them."""
 
-from . import ledger, registry, wagers
+from . import ledger, registry, stored, wagers
 
-__all__ = ["ledger", "registry", "wagers"]
+__all__ = ["ledger", "registry", "stored", "wagers"]
