@@ -28,7 +28,7 @@ def single_flag(text: Column) -> Column:
 
 def amount(x: Column) -> Column:
     """Two decimals, without marks between thousands; '' for none."""
-    return F.when(x.isNull() | F.isnan(x.cast("double")), "").otherwise(F.format_string("%.2f", x.cast("double")))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), "").otherwise(F.replace(F.format_number(x.cast("double"), 2), F.lit(","), F.lit("")))
 
 
 def parsed_amount(text: Column) -> Column:

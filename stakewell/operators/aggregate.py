@@ -135,6 +135,12 @@ def unresolved_groups(queue: DataFrame) -> DataFrame:
     return rows.select("group_key", "count", "last_seen", F.col("first.raw_value").alias("raw_value"), contexts.alias("contexts"))
 
 
+def queue_items(queue: DataFrame) -> DataFrame:
+    """group_key, item_id of all items of the queue: a group's ids are rows, as they may be any number."""
+    key = F.concat_ws("::", "entity_type", F.coalesce(F.nullif("sport", F.lit("")), F.lit("Unknown")), "lookup_key")
+    return queue.select(key.alias("group_key"), "item_id")
+
+
 def timing_summary(rows: DataFrame) -> DataFrame:
     """Calls and milliseconds by operation."""
     return rows.groupBy("operation").agg(F.count("*").alias("count"), F.sum("ms").alias("total"), F.avg("ms").alias("mean"), F.max("ms").alias("most"), F.min("ms").alias("least"))

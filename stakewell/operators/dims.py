@@ -16,8 +16,9 @@ from . import resolve
 def player_index(players: DataFrame) -> DataFrame:
     """scope (a sport, or '' for any), lookup_key, canonical (the first), n (canonicals that share the key).
 
-    players: seq, canonical, sport, aliases; disabled ones are to be left out before.
+    players: seq, canonical, sport, aliases and, it may be, disabled: those have no names.
     """
+    players = resolve.enabled(players)
     names = F.array_union(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))
     keys = players.select("seq", "canonical", F.explode(F.array("sport", F.lit(""))).alias("scope"), names.alias("names")).select("seq", "canonical", "scope", F.explode("names").alias("name"))
     keys = keys.select("seq", "canonical", "scope", lookup_key("name").alias("lookup_key")).filter("lookup_key <> '' AND scope IS NOT NULL")
@@ -48,7 +49,7 @@ def entity_keys(legs: DataFrame, players: DataFrame, teams: DataFrame, raw: str
     An entity of unknown type is a team if a team has the name, else a player.
     """
     known = resolve.alias_index(teams).select(F.col("lookup_key").alias("tk"))
-    rows = legs.withColumn("k", lookup_key(raw)).join(F.broadcast(known), F.col("k") == F.col("tk"), "left")
+    rows = legs.withColumn("k", lookup_key(raw)).join(known, F.col("k") == F.col("tk"), "left")
     is_team = (F.col("entity_type") == "team") | (F.coalesce("entity_type", F.lit("unknown")) == "unknown") & F.col("tk").isNotNull()
     rows = rows.withColumn("is_team", F.coalesce(is_team, F.lit(False))).drop("k", "tk")
     of_team = resolve.resolve_teams(rows.filter("is_team"), teams, raw).drop("candidates")
@@ -158,6 +159,45 @@ def import_issues(rows: DataFrame, sports: list[str]) -> DataFrame:
     return rows.withColumn("issues", F.array_compact(messages))
 
 
+def leg_issues(rows: DataFrame, sports: list[str], teams: DataFrame, listed: DataFrame, market: str = "market", name: str = "name", sport: str = "sport") -> DataFrame:
+    """rows with issues: what keeps a leg from being understood, and category (by its market).
+
+    A name in a main market is a team's and is resolved; any other has to stand, letter by letter, in the list of its
+    sport's players (listed: canonical, sport). A leg without a name has no issue of it.
+    """
+    from ..functions import classify
+
+    m = F.lower(F.coalesce(market, F.lit("")))
+    category = classify.leg_category(F.col(market))
+    team = (category == "Main Markets") | m.isin("spread", "total", "moneyline")
+    some = F.trim(F.coalesce(name, F.lit(""))) != ""
+    known = listed.select(F.col("canonical").alias("who_"), F.col("sport").alias("of_"), F.lit(True).alias("on_")).distinct()
+    marked = rows.withColumns({"category": category, "team_": team, "some_": some})
+    resolved = resolve.resolve_teams(marked.where("some_ AND team_"), teams, name).drop("canonical", "candidates").withColumn("on_", F.lit(None).cast("boolean"))
+    players = marked.where("some_ AND NOT team_").join(known, (F.col(name) == F.col("who_")) & (F.col(sport) == F.col("of_")), "left").drop("who_", "of_").withColumn("status", F.lit(None).cast("string"))
+    none = marked.where("NOT some_").withColumns({"on_": F.lit(None).cast("boolean"), "status": F.lit(None).cast("string")})
+    said = F.when(F.trim(F.coalesce(sport, F.lit(""))) == "", "sport missing").when(~F.col(sport).isin(*sports), "sport unknown")
+    who = F.when(F.col("some_") & F.col("team_"), F.when(F.col("status") == "unresolved", "team unknown").when(F.col("status") == "ambiguous", "team ambiguous")).when(F.col("some_") & F.col("on_").isNull(), "player unknown")
+    kind = F.when((F.coalesce(market, F.lit("")) == "") & (F.col("category") == "Props"), "type missing")
+    out = resolved.unionByName(players).unionByName(none)
+    return out.withColumn("issues", F.array_compact(F.array(said, F.when(F.trim(F.col("category")) == "", "category missing"), who, kind))).drop("team_", "some_", "on_", "status")
+
+
+def ticket_issues(bets: DataFrame, sports: list[str], teams: DataFrame, listed: DataFrame) -> DataFrame:
+    """id, issues of tickets: sport, and for singles the name (their own, else their first leg's) and the type of a prop.
+
+    bets: nested tickets. A single's name is a team's if its leg's market, or its own category, is a main market.
+    """
+    first = F.get("legs", F.lit(0))
+    single = (F.col("bet_type") == "single") | (F.coalesce(F.size("legs"), F.lit(0)) <= 1)
+    main = F.lower(F.coalesce("market_category", F.lit(""))).contains("main")
+    market = F.coalesce(F.nullif(first["market"], F.lit("")), F.nullif("type", F.lit("")))
+    rows = bets.select("id", "sport", F.when(single, F.coalesce(F.nullif("name", F.lit("")), F.get(first["entities"], F.lit(0)))).alias("name"), F.when(main, "moneyline").otherwise(market).alias("market"), (single & (F.coalesce("type", F.lit("")) == "") & F.lower(F.coalesce("market_category", F.lit(""))).contains("prop")).alias("untyped"))
+    out = leg_issues(rows, sports, teams, listed)
+    kept = F.filter("issues", lambda i: i != "type missing")
+    return out.select("id", F.when(F.col("untyped"), F.array_append(kept, F.lit("type missing"))).otherwise(kept).alias("issues"))
+
+
 def searched(dim: DataFrame, query: str, sport: str | None = None, disabled: bool = False) -> DataFrame:
     """Rows of a dimension that hold a term in their name, an alias, an abbreviation or their team."""
     q = query.strip().lower()

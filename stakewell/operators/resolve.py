@@ -16,11 +16,32 @@ def alias_index(entities: DataFrame, with_abbreviations: bool = True) -> DataFra
     entities: seq, canonical, sport, aliases and, for teams, abbreviations. seq is the order of definition.
     """
     names = F.array_union(F.array("canonical"), F.array_union("aliases", "abbreviations") if with_abbreviations else F.col("aliases"))
-    rows = entities.select("seq", "canonical", "sport", F.explode(names).alias("alias")).select("seq", "canonical", "sport", lookup_key("alias").alias("lookup_key")).filter("lookup_key <> ''")
+    rows = enabled(entities).select("seq", "canonical", "sport", F.explode(names).alias("alias")).select("seq", "canonical", "sport", lookup_key("alias").alias("lookup_key")).filter("lookup_key <> ''")
     first = F.min_by(F.struct("canonical", "sport"), "seq")
     return rows.groupBy("lookup_key").agg(first.alias("f"), F.sort_array(F.collect_set("canonical")).alias("candidates")).select("lookup_key", "f.canonical", "f.sport", "candidates")
 
 
+def enabled(entities: DataFrame) -> DataFrame:
+    """Entities that may be resolved to: disabled ones have no names."""
+    return entities.where(~F.coalesce(F.col("disabled"), F.lit(False))) if "disabled" in entities.columns else entities
+
+
+def known_teams(rows: DataFrame, teams: DataFrame, name: str = "name") -> DataFrame:
+    """rows with is_team: whether their name is a team's. Distinct names are looked up once; rows without one aren't joined."""
+    said = rows.select(F.col(name).alias("n_")).where(F.col("n_").isNotNull()).distinct()
+    hit = said.withColumn("lookup_key", lookup_key("n_")).join(alias_index(teams).select("lookup_key"), "lookup_key").select("n_", F.lit(True).alias("t_"))
+    some = rows.where(F.col(name).isNotNull()).join(hit, F.col(name) == F.col("n_"), "left").withColumn("is_team", F.coalesce("t_", F.lit(False))).drop("n_", "t_")
+    return some.unionByName(rows.where(F.col(name).isNull()).withColumn("is_team", F.lit(False)))
+
+
+def short_markets(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """market, sport, short of the distinct markets: what stands in brackets at the end, else the bet type of that name, else the text."""
+    from ..functions import classify
+
+    pairs = resolve_bet_types(rows.select("market", "sport").distinct(), types)
+    return pairs.select("market", "sport", F.coalesce(classify.in_brackets(F.col("market")), "canonical", F.trim("market")).alias("short"))
+
+
 def part_matches(names: DataFrame, entities: DataFrame) -> DataFrame:
     """raw, canonical of names that begin or end with a team's abbreviation and hold a part of one of its aliases.
 
@@ -30,8 +51,8 @@ def part_matches(names: DataFrame, entities: DataFrame) -> DataFrame:
     words = F.split(F.trim("raw"), r"\s+")
     ends = names.select("raw", words.alias("words")).filter(F.size("words") > 1)
     ends = ends.select("raw", "words", F.explode(F.array_distinct(F.array(F.lower(F.get("words", F.lit(0))), F.lower(F.element_at("words", -1))))).alias("abbr"))
-    short = entities.select("seq", "canonical", "aliases", F.explode("abbreviations").alias("a")).select("seq", "canonical", "aliases", F.lower("a").alias("abbr"))
-    pairs = ends.join(F.broadcast(short), "abbr")  # the seed has a few dozen teams
+    short = enabled(entities).select("seq", "canonical", "aliases", F.explode("abbreviations").alias("a")).select("seq", "canonical", "aliases", F.lower("a").alias("abbr"))
+    pairs = ends.join(short, "abbr")
     others = F.filter(F.transform("words", F.lower), lambda w: w != F.col("abbr"))
     fits = F.exists(others, lambda w: F.exists(F.transform("aliases", F.lower), lambda a: a.contains(w) | w.contains(a)))
     return pairs.filter(fits).groupBy("raw").agg(F.min_by("canonical", "seq").alias("canonical"))
@@ -43,13 +64,15 @@ def resolve_teams(names: DataFrame, entities: DataFrame, raw: str = "name") -> D
     Distinct names are resolved once and joined back, so a name that a third of all rows hold is looked up once.
     """
     distinct = names.select(F.col(raw).alias("raw")).filter(F.col("raw").isNotNull()).distinct().withColumn("lookup_key", lookup_key("raw"))
-    exact = distinct.join(F.broadcast(alias_index(entities)), "lookup_key", "left")
+    exact = distinct.join(alias_index(entities), "lookup_key", "left")
     rest = part_matches(exact.filter("canonical IS NULL").select("raw"), entities).withColumnRenamed("canonical", "part")
     found = exact.join(rest, "raw", "left")
     canonical = F.coalesce("canonical", "part", F.trim("raw"))
     status = F.when(F.trim("raw") == "", "unresolved").when(F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 1, "ambiguous").when(F.col("canonical").isNotNull() | F.col("part").isNotNull(), "resolved").otherwise("unresolved")
     known = found.select(F.col("raw").alias("__raw"), canonical.alias("canonical"), "candidates", status.alias("status"))
-    return names.join(known, F.col(raw) == F.col("__raw"), "left").drop("__raw").withColumn("status", F.coalesce("status", F.lit("unresolved")))
+    named = names.filter(F.col(raw).isNotNull()).join(known, F.col(raw) == F.col("__raw"), "left").drop("__raw")
+    none = {"canonical": F.lit(None).cast("string"), "candidates": F.lit(None).cast("array<string>"), "status": F.lit("unresolved")}
+    return named.unionByName(names.filter(F.col(raw).isNull()).withColumns(none))
 
 
 def resolve_teams_in_sport(names: DataFrame, entities: DataFrame, raw: str = "name", sport: str = "sport") -> DataFrame:
@@ -73,11 +96,11 @@ def aggregation_key(canonical: Column, status: Column) -> Column:
 
 def resolve_bet_types(rows: DataFrame, types: DataFrame, market: str = "market", sport: str = "sport") -> DataFrame:
     """rows with canonical: of the same sport if it has the name, else of the first sport that does, else null."""
-    keyed = types.select("seq", "canonical", "sport", F.explode(F.array_distinct(F.transform(F.array_union(F.array("canonical"), F.col("aliases")), F.lower))).alias("k"))
+    keyed = enabled(types).select("seq", "canonical", "sport", F.explode(F.array_distinct(F.transform(F.array_union(F.array("canonical"), F.col("aliases")), F.lower))).alias("k"))
     any_sport = keyed.groupBy("k").agg(F.min_by("canonical", "seq").alias("any_canonical")).withColumnRenamed("k", "__k")
     own_sport = keyed.groupBy("k", "sport").agg(F.min_by("canonical", "seq").alias("own_canonical")).select(F.col("k").alias("__k2"), F.col("sport").alias("__s"), "own_canonical")
     out = rows.withColumn("__key", lookup_key(market))
-    out = out.join(F.broadcast(any_sport), F.col("__key") == F.col("__k"), "left").join(F.broadcast(own_sport), (F.col("__key") == F.col("__k2")) & (F.col(sport) == F.col("__s")), "left")
+    out = out.join(any_sport, F.col("__key") == F.col("__k"), "left").join(own_sport, (F.col("__key") == F.col("__k2")) & (F.col(sport) == F.col("__s")), "left")
     return out.withColumn("canonical", F.coalesce("own_canonical", "any_canonical")).drop("__key", "__k", "__k2", "__s", "any_canonical", "own_canonical")
 
 

@@ -71,6 +71,21 @@ def migrated(bets: DataFrame, category: Column) -> DataFrame:
     return bets.withColumns({"is_live": F.coalesce("is_live", F.col("bet_type") == "live"), "market_category": F.when(known, F.col("market_category")).otherwise(category)})
 
 
+def loaded(bets: DataFrame, teams: DataFrame) -> DataFrame:
+    """Stored tickets as they are loaded, with healed: whether a stored main market turned out to be another category.
+
+    What lacks a known category is classified; what says Main Markets, which once stood for much, is classified again.
+    """
+    from ..functions import classify
+    from . import resolve
+
+    named = resolve.known_teams(bets, teams)
+    fresh = classify.ticket_category(F.col("bet_type"), F.col("description"), F.col("name"), F.col("type"), F.col("is_team"))
+    out = migrated(named, fresh).withColumn("healed", (F.col("market_category") == "Main Markets") & (fresh != "Main Markets"))
+    again = F.when(F.col("market_category") == "Main Markets", fresh).otherwise(F.col("market_category"))
+    return out.withColumn("market_category", again).drop("is_team")
+
+
 def leg_of_columns() -> Column:
     """The leg that an old ticket's name, type, line and side make; null if it has no name."""
     some = F.trim(F.coalesce("name", F.lit(""))) != ""

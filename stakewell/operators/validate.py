@@ -26,12 +26,15 @@ def import_blockers() -> Column:
     )
 
 
-def import_warnings() -> Column:
+def import_warnings(legs: Column | None = None) -> Column:
+    """What should be looked at: no sport, a prop without a type, no category, a parlay without legs; with legs also one of unknown entity type."""
+    vague = [] if legs is None else [(F.coalesce(F.exists(legs, lambda leg: leg["entity_type"] == "unknown"), F.lit(False)), "entity")]
     return _list(
         (F.coalesce(F.col("sport"), F.lit("")) == "", "sport"),
         ((F.col("market_category") == "Props") & (F.coalesce(F.col("type"), F.lit("")) == ""), "type"),
         (F.coalesce(F.col("market_category"), F.lit("")) == "", "category"),
         (money.is_parlay() & (F.coalesce(F.col("n_legs"), F.lit(0)) == 0), "legs"),
+        *vague,
     )
 
 
@@ -94,6 +97,13 @@ def contract_summary(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("total"), F.count_if(F.size("errors") == 0).alias("valid"), F.count_if(F.size("errors") > 0).alias("invalid"), F.coalesce(F.sum(F.size("errors")), F.lit(0)).alias("errors"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"))
 
 
+def contract_messages(checked: DataFrame) -> DataFrame:
+    """id, level (error, warning) and message: one row for each message of each ticket."""
+    named = lambda level: lambda m: F.struct(F.lit(level).alias("level"), m.alias("message"))
+    said = F.concat(F.transform("errors", named("error")), F.transform("warnings", named("warning")))
+    return checked.select("id", F.explode(said).alias("m")).select("id", "m.*")
+
+
 def batch_summary(bets: DataFrame) -> DataFrame:
     """Totals of blockers and warnings, and of the tickets that have some."""
     rows = bets.select(F.size(import_blockers()).alias("b"), F.size(import_warnings()).alias("w"))

@@ -28,7 +28,7 @@ def asked_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLAYERS_SQL = """
-players AS (SELECT DISTINCT p_name AS canonical, CASE WHEN length(p_name) % 2 = 0 THEN 'NBA' ELSE 'NFL' END AS sport, split_part(p_name, ' ', 1) || ' jr' AS alias FROM part WHERE length(p_name) % 5 <> 0),
+players AS (SELECT DISTINCT p_name AS canonical, CASE WHEN length(p_name) % 2 = 0 THEN 'NBA' ELSE 'NFL' END AS sport, split_part(p_name, ' ', 1) || ' jr' AS alias FROM part WHERE length(p_name) % 5 <> 0 AND split_part(p_name, ' ', 1) <> 'small'),
 keys AS (SELECT canonical, sport, canonical AS k FROM players UNION SELECT canonical, sport, alias FROM players),
 scoped AS (SELECT k, sport, min(canonical) AS c, count(DISTINCT canonical) AS n FROM keys GROUP BY ALL),
 anyone AS (SELECT k, min(canonical) AS c, count(DISTINCT canonical) AS n FROM keys GROUP BY ALL),
