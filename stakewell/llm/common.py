@@ -60,6 +60,16 @@ def give_back() -> None:
         trim(0)
 
 
+def collect_heaps(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect, one task a core: a heap that has grown shrinks only then.
+
+    A session that runs one heavy step after another would otherwise keep the largest heap that any of them needed, beside
+    the Python workers of the next.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, whatever their users called their columns."""
     taken = {c.lower() for f in frames for c in f.columns}
@@ -76,7 +86,7 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
 
 #: Rows and bytes of texts that go to Python at once; long documents fill a batch with a few rows.
 ARROW_ROWS = 2_000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
