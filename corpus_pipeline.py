@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stakewell.llm import decontaminate, minhash, mixing, quality, tokens
-from stakewell.llm.common import table, written
+from stakewell.llm.common import collect_heaps, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows, and equal texts under other ids, share their fate. A null doc_id is scored like any.
     """
+    collect_heaps(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null doc_id comes last; of rows that tie (the same id and text) one stays. Texts without words are nobody's copies and all stay.
     """
+    collect_heaps(spark)
     return minhash.deduplicated(docs)
 
 
@@ -37,6 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     All rows of a doc_id go if one of them holds a passage, those without an id together. Null, empty and repeated items change nothing.
     """
+    collect_heaps(spark)
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that tie in doc_id share their fate; those without one too. Texts without words cost nothing and go by the same hash.
     """
+    collect_heaps(spark)
     return mixing.mixed(docs)
 
 
@@ -53,6 +57,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeats are documents of their own, in the order of their texts' hashes; a null doc_id comes last; an empty text is its end id alone.
     """
+    collect_heaps(spark)
     return tokens.token_output(docs)
 
 
