@@ -1,5 +1,5 @@
 """Named queries; importing the package registers all of them."""
 
-from . import ledger, registry, sheets, stored, wagers
+from . import ledger, pages, registry, sheets, stored, wagers
 
-__all__ = ["ledger", "registry", "sheets", "stored", "wagers"]
+__all__ = ["ledger", "pages", "registry", "sheets", "stored", "wagers"]

@@ -119,9 +119,9 @@ def fields(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "book", "html").mapInPandas(run, FIELDS)
 
 
-def route(pages: DataFrame) -> DataFrame:
+def route(pages: DataFrame, books: list[str] | tuple = BOOKS) -> DataFrame:
     """pages with error_code: empty, too large, or of a book that isn't read; null if it may be parsed."""
-    code = F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "EMPTY_HTML").when(F.length("html") > MOST_CHARS, "INPUT_TOO_LARGE").when(~F.coalesce(F.col("book").isin(*BOOKS), F.lit(False)), "PARSER_NOT_AVAILABLE")
+    code = F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "EMPTY_HTML").when(F.length("html") > MOST_CHARS, "INPUT_TOO_LARGE").when(~F.coalesce(F.col("book").isin(*books), F.lit(False)), "PARSER_NOT_AVAILABLE")
     return pages.withColumn("error_code", code)
 
 
@@ -226,14 +226,16 @@ def fanduel_tickets(found: DataFrame) -> DataFrame:
         beside = [F.coalesce(text.amount(F.regexp_extract("said", rf"\$([\d,]+\.\d\d)\s+{n}\b", 1)), text.amount(F.regexp_extract("said", rf"\b{n}\s+\$([\d,]+\.\d\d)", 1))) for n in names]
         return F.coalesce(*[F.nullif(b, F.lit(0.0)) for b in beside])
 
-    stake, won, back = labelled("TOTAL WAGER", "WAGER", "STAKE"), labelled("WON ON FANDUEL", "WON", "PAID"), labelled("RETURNED", "REFUNDED")
-    said, said_won = F.upper("said"), F.upper("said").contains("WON ON FANDUEL")
-    payout = F.coalesce(won, back, F.lit(0.0))
+    # Read once, in steps: what is used several times below isn't put into each of its uses.
+    rows = rows.withColumns({"stake_": labelled("TOTAL WAGER", "WAGER", "STAKE"), "won_": labelled("WON ON FANDUEL", "WON", "PAID"), "back_": labelled("RETURNED", "REFUNDED"), "upper_": F.upper("said"), "stamp_": formats.fanduel_date(F.col("said")), "whole_": F.concat_ws(" ", "head.said", "head.labels")})
+    stake, said, said_won = F.col("stake_"), F.col("upper_"), F.col("upper_").contains("WON ON FANDUEL")
+    rows = rows.withColumn("paid_", F.coalesce("won_", "back_", F.lit(0.0)))
+    payout = F.col("paid_")
     settled = said.contains("SETTLED") | F.col("head.said").rlike(r"(?i)\bfinished\b")
     result = F.when(said_won & (payout > 0), "win").when(said.contains("RETURNED"), F.when(F.abs(payout - stake) < 1e-4, "push").when(payout == 0, "loss").otherwise("win")).when(settled & (payout == 0), "loss").when(payout > stake, "win").when(F.abs(payout - stake) < 1e-4, "push").otherwise("pending")
-    whole = F.concat_ws(" ", "head.said", "head.labels")
+    whole = F.col("whole_")
     bet_type = F.when(whole.rlike(r"(?i)same game parlay\s*(?:plus|\+)|includes:? \d same game"), "sgp_plus").when(whole.rlike("(?i)same game parlay"), "sgp").when(whole.rlike(r"(?i)\d+[- ]leg parlay|\bparlay\b"), "parlay").otherwise("single")
-    stamp = formats.fanduel_date(F.col("said"))
+    stamp = F.col("stamp_")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("head.spans") - 1, F.lit(1))), lambda i: F.struct(F.get("head.spans", i - 1).alias("entity"), F.get("head.spans", i).alias("market")))
     leg_text = r"(?i)(?:to record |to score )?(\d+\+) (?:made )?(points|rebounds|assists|threes|steals|blocks)|(?:over|under) \d+(?:\.\d+)?"
     chosen = F.filter(pairs, lambda p: p["market"].rlike(leg_text) & p["entity"].rlike(r"^[A-Z][\p{L}.'-]+(?: [A-Z][\p{L}.'-]+)+$"))
