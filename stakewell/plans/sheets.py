@@ -156,3 +156,43 @@ def agg_contract_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     messages = validate.contract_messages(validate.contract(_parsed(spark, sf_dir)))
     return messages.where("level = 'error'").groupBy("message").agg(F.count("*").alias("tickets"), F.min("id").alias("first_ticket"))
+
+
+# ---- merged legs, dates of books
+
+
+@query(
+    "WITH d AS (SELECT id, leg_no, entity, market, target, CASE WHEN leg_odds % 5 <> 0 THEN leg_odds END AS o, leg_result AS r FROM legs), "
+    # Each leg stands twice, the second time with another result and without odds: one leg is left of both.
+    "m AS (SELECT *, CASE WHEN r = 'PENDING' AND leg_no % 2 = 0 THEN 'WIN' ELSE r END AS merged FROM d), k AS (SELECT id, entity, market, target, min(leg_no) AS first_no, arg_max(merged, (CASE merged WHEN 'WIN' THEN 4 WHEN 'LOSS' THEN 3 WHEN 'PUSH' THEN 2 ELSE 1 END) * 100 - leg_no) AS result, arg_max(o, leg_no) FILTER (o IS NOT NULL) AS odds FROM m GROUP BY 1, 2, 3, 4) "
+    "SELECT id, string_agg(entity || '|' || market || '|' || target || '|' || result || '|' || COALESCE(odds::VARCHAR, ''), ';' ORDER BY first_no) AS legs FROM k GROUP BY 1",
+    True,
+)
+def arr_merged_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets whose legs were read twice, once without odds: each is one leg with the stronger result and the odds that there are."""
+    from ..operators import legs as leg_ops
+
+    fields = lambda leg, odds, result: F.struct(leg["entities"].alias("entities"), leg["market"].alias("market"), leg["target"].alias("target"), F.lit(None).cast("string").alias("ou"), odds.cast("int").alias("odds"), result.alias("result"))
+    once = F.transform("legs", lambda leg: fields(leg, F.when(leg["odds"] % 5 != 0, leg["odds"]), leg["result"]))
+    again = F.transform("legs", lambda leg: fields(leg, F.lit(0), F.when((leg["result"] == "PENDING") & (leg["leg_no"] % 2 == 0), "WIN").otherwise(leg["result"])))
+    rows = nested(spark, sf_dir).where("legs IS NOT NULL").select("id", leg_ops.merged_legs(F.concat(once, again)).alias("m"))
+    said = F.transform("m", lambda x: F.concat_ws("|", x["entities"][0], x["market"], x["target"], x["result"], F.coalesce(x["odds"].cast("string"), F.lit(""))))
+    return rows.select("id", F.array_join(said, ";").alias("legs"))
+
+
+@query(
+    "SELECT id, CASE id % 4 WHEN 0 THEN make_timestamp(2024, month(placed_at), day(placed_at), 12, 0, 0) WHEN 3 THEN NULL ELSE placed_at + INTERVAL 12 HOUR END AS typed, placed_at + INTERVAL 7 HOUR + INTERVAL 5 MINUTE + INTERVAL 5 HOUR AS fanduel, placed_at + INTERVAL 19 HOUR + INTERVAL 5 MINUTE + INTERVAL 9 SECOND AS draftkings FROM bets WHERE NOT (month(placed_at) = 2 AND day(placed_at) = 29)"
+)
+def dt_book_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as people type them (with and without a year, short, impossible) and as either book writes them."""
+    from ..functions import formats
+
+    n, at = F.col("id") % 4, F.col("placed_at")
+    rows = tickets(spark, sf_dir).where(~((F.month(at) == 2) & (F.dayofmonth(at) == 29)))
+    typed = F.when(n == 0, F.date_format(at, "M/d")).when(n == 1, F.date_format(at, "M/d/yyyy")).when(n == 2, F.when(F.year(at) >= 2000, F.date_format(at, "MM/dd/yy")).otherwise(F.date_format(at, "MM/dd/yyyy"))).otherwise("13/45/2020")
+    stamp = lambda c: c.cast("timestamp_ntz")
+    return rows.select(
+        "id", stamp(formats.user_date(typed, F.lit(2024))).alias("typed"), stamp(formats.fanduel_date(F.concat(F.lit("PLACED: "), F.date_format(at, "M/d/yyyy"), F.lit(" 7:05AM ET")))).alias("fanduel"),
+        stamp(formats.draftkings_date(F.concat(F.date_format(at, "MMM d, yyyy"), F.lit(", 7:05:09 PM")))).alias("draftkings"),
+    )
+

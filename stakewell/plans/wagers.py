@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, filters, formats, money, text
-from ..operators import aggregate, resolve, rows, store, timeseries, validate
+from ..operators import aggregate, resolve, rows, sheet, store, timeseries, validate
 from ..operators.scan import scan
 from ..sources import seed
 from ..sources.adapter import BETS_SQL, LEGS_SQL, legs, nested, tickets
@@ -394,9 +394,8 @@ def cls_ticket_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     True,
 )
 def cls_leg_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows_ = resolve.resolve_bet_types(legs(spark, sf_dir).withColumn("sport", F.lit("NBA")), seed.bet_types(spark))
-    category = classify.leg_category(F.col("market"))
-    return rows_.select("id", "leg_no", category.alias("category"), classify.market_type(F.col("market"), category, F.col("sport"), F.col("canonical")).alias("kind"))
+    rows_ = sheet.classified(legs(spark, sf_dir).withColumn("sport", F.lit("NBA")), seed.bet_types(spark))
+    return rows_.select("id", "leg_no", "category", "kind")
 
 
 @query(

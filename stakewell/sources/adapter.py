@@ -1,17 +1,18 @@
 """Tickets and legs made from the star-schema tables, in whole cents, the same in Spark and in SQL.
 
 The tickets with their legs are made and stored once in a session, ordered by the time of placing, so that figures scan the few columns they
-need and dates skip what lies outside. Without spark.checkpoint.dir the store is a temporary folder, which only a local session can use.
+need and dates skip what lies outside. A session takes a folder's tables as they were when it first read them; see drop_store.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import discard, new_folder
+
 DESCRIPTIONS = ["Lakers to win NBA Finals", "Over 220.5 Total Points", "Celtics Win Total Over 52.5", "Warriors vs. Celtics", "Player rebounds Over 8.5", "Chiefs Spread -7.5", "Patrick Mahomes Over 4500.5", "Lakers (+500)", "Moneyline", "An odd market without any of the usual words in it"]
 MARKETS = ["Points", "Total Rebounds", "Moneyline", "Spread", "Made Threes", "Turnovers", "Passing Yards", "NBA MVP", "Player Points Total", "Double Double (DD)", "First Basket", "Shots"]
 NAMES = ["PHO Suns", "Hawks", "lakers", "Suns PHO", "ATL", "Unknown FC", "Los Angeles  Chargers", "NE", " Giants ", "Bos Celtics", "GS", "LeBron James"]
@@ -60,18 +61,23 @@ def made_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Where the tickets made of a folder are stored, by session and folder.
 _STORED: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
+
+def drop_store(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Deletes the tickets stored for a folder in this session, or for all: needed where a folder's tables were rewritten, or disk is short."""
+    with _LOCK:
+        for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId and sf_dir in (None, k[1])]:
+            discard(_STORED.pop(key))
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets with their legs as an array (null where there are none)."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"{(shared or tempfile.mkdtemp(prefix='stakewell-')).rstrip('/')}/tickets-{uuid.uuid4().hex[:12]}"
-        made_nested(spark, sf_dir).repartitionByRange(F.col("placed_at").asc_nulls_last()).sortWithinPartitions("placed_at").write.parquet(path)
-        _STORED[key] = path
+    with _LOCK:
+        if key not in _STORED:
+            path = new_folder(spark, "tickets")
+            made_nested(spark, sf_dir).repartitionByRange(F.col("placed_at").asc_nulls_last()).sortWithinPartitions("placed_at").write.parquet(path)
+            _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
 
