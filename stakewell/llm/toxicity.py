@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import regex
@@ -46,6 +47,8 @@ SAMPLE = 4_000
 LABEL_ROWS = 1_000_000
 #: Bytes of a lot of documents; a longer text is a lot of its own.
 LOT = 32 << 20
+#: Bytes of a row group of the lots' ratios.
+ROW_GROUP = 2 << 20
 LETTERS = r"[^\p{L}\p{N}\p{M}]+"
 _SPLIT = regex.compile(LETTERS)
 
@@ -146,27 +149,41 @@ def lot_words(docs: DataFrame) -> DataFrame:
     return docs.select("lot", "text").mapInArrow(collect, "lot string, word string")
 
 
-def ratios_by_lot(docs: DataFrame, ratios: DataFrame) -> str:
-    """Folder of the files that hold, for each lot, the log ratios of those of its words that were counted."""
+def bucket_of(lots: int) -> Column:
+    return F.pmod(F.hash("lot"), F.lit(lots))
+
+
+def ratios_by_lot(docs: DataFrame, ratios: DataFrame) -> tuple[str, int]:
+    """(folder, buckets) of the files that hold, for each lot, the log ratios of those of its words that were counted.
+
+    Lots share files, a folder for each of as many buckets as the session has partitions. A file is sorted by lot and has
+    small row groups, so that a lot is read by the groups that may hold it.
+    """
     spark = docs.sparkSession
+    buckets = partitions(spark)
     rows = lot_words(docs).join(small(ratios), "word").select("lot", "word", F.col("ratio").cast("float").alias("ratio"))
     path = new_folder(spark, "toxic-lots")
-    rows.repartition(partitions(spark), "lot").sortWithinPartitions("lot").write.option("compression", "zstd").partitionBy("lot").parquet(path)
-    return path
+    rows = rows.withColumn("bucket", bucket_of(buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "lot")
+    rows.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(path)
+    return path, buckets
 
 
 class Scorer:
     """Holds the ratio of each counted word of one lot; a document is then a sum."""
 
-    def __init__(self, folder: str, lot: str, unknown: float) -> None:
+    def __init__(self, folder: str, bucket: int, lot: str, unknown: float) -> None:
         fs, at = pafs.FileSystem.from_uri(folder)
         self.known: dict[str, float] = {}
         self.unknown = unknown
-        for f in fs.get_file_info(pafs.FileSelector(f"{at}/lot={lot}", allow_not_found=True)):
+        for f in fs.get_file_info(pafs.FileSelector(f"{at}/bucket={bucket}", allow_not_found=True)):
             if f.path.endswith(".parquet"):
                 with fs.open_input_file(f.path) as source:
-                    for b in pq.ParquetFile(source).iter_batches(100_000):
-                        self.known.update(zip(b.column("word").to_pylist(), b.column("ratio").to_pylist(), strict=True))
+                    file = pq.ParquetFile(source)
+                    ranges = [file.metadata.row_group(i).column(0).statistics for i in range(file.num_row_groups)]
+                    held = [i for i, s in enumerate(ranges) if s is None or not s.has_min_max or s.min <= lot <= s.max]
+                    for b in file.iter_batches(100_000, row_groups=held) if held else ():
+                        mine = b.filter(pc.equal(b.column("lot"), lot))
+                        self.known.update(zip(mine.column("word").to_pylist(), mine.column("ratio").to_pylist(), strict=True))
 
     def values(self, texts: list[str]) -> np.ndarray:
         """What describes each text; all 0 without words."""
@@ -183,7 +200,7 @@ class Scorer:
 N_VALUES = 3
 
 
-def described(docs: DataFrame, folder: str, unknown: float) -> DataFrame:
+def described(docs: DataFrame, folder: str, buckets: int, unknown: float) -> DataFrame:
     """doc_id, worded, x: whether a row of docs has words, and what describes it."""
 
     def run(batches):
@@ -192,13 +209,13 @@ def described(docs: DataFrame, folder: str, unknown: float) -> DataFrame:
             for lot, first, texts in by_lot(b):
                 if lot != now:
                     now, scorer = lot, None
-                    scorer = Scorer(folder, lot, unknown)
+                    scorer = Scorer(folder, b.column("bucket")[first].as_py(), lot, unknown)
                 x = scorer.values(texts)
                 worded = pa.array([bool(_SPLIT.sub("", t)) for t in texts])
                 yield pa.record_batch([b.column("doc_id").slice(first, len(texts)), worded, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_VALUES, pa.int32()), pa.array(x.ravel()))], names=["doc_id", "worded", "x"])
             give_back()
 
-    return docs.select("doc_id", "text", "lot").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, worded boolean, x array<double>")
+    return docs.select("doc_id", "text", "lot", bucket_of(buckets).alias("bucket")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, worded boolean, x array<double>")
 
 
 class Logistic:
@@ -238,8 +255,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = float(known.agg(F.avg("label")).first()[0] or 0.0)
     copy = dealt(docs)
     ratios, unknown = word_ratios(written(word_counts(copy, known), "toxic-counts"))
-    folder = ratios_by_lot(copy, ratios)
-    rows = written(described(copy, folder, unknown), "toxic-described")
+    folder, buckets = ratios_by_lot(copy, ratios)
+    rows = written(described(copy, folder, buckets, unknown), "toxic-described")
     discard(folder)
     discard(folder_of(copy))
     model = train(rows, known)
