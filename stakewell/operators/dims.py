@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup_key, spaced
+from ..sources.shared import written
 from . import resolve
 
 
@@ -46,15 +47,37 @@ def resolve_players(names: DataFrame, players: DataFrame, raw: str = "name", spo
 def entity_keys(legs: DataFrame, players: DataFrame, teams: DataFrame, raw: str = "name") -> DataFrame:
     """legs with key: the player's or team's canonical name by entity_type, one bucket for all that resolve to no single one.
 
-    An entity of unknown type is a team if a team has the name, else a player.
+    An entity of unknown type is a team if a team has the name, else a player. Distinct names with sport and type are stored
+    and resolved once, then joined back; legs are read twice and shuffled once at most.
     """
+    some = legs.where(F.col(raw).isNotNull())
+    asked = some.select(F.col(raw).alias("n_"), F.coalesce("sport", F.lit("")).alias("s_"), F.coalesce("entity_type", F.lit("unknown")).alias("e_")).distinct()
+    asked = written(asked, "asked-names")
     known = resolve.alias_index(teams).select(F.col("lookup_key").alias("tk"))
-    rows = legs.withColumn("k", lookup_key(raw)).join(known, F.col("k") == F.col("tk"), "left")
-    is_team = (F.col("entity_type") == "team") | (F.coalesce("entity_type", F.lit("unknown")) == "unknown") & F.col("tk").isNotNull()
-    rows = rows.withColumn("is_team", F.coalesce(is_team, F.lit(False))).drop("k", "tk")
-    of_team = resolve.resolve_teams(rows.filter("is_team"), teams, raw).drop("candidates")
-    of_player = resolve_players(rows.filter("NOT is_team"), players, raw)
-    return of_team.unionByName(of_player).withColumn("key", resolve.aggregation_key(F.col("canonical"), F.col("status"))).drop("is_team", "canonical", "status")
+    rows = asked.withColumn("k", lookup_key("n_")).join(known, F.col("k") == F.col("tk"), "left")
+    rows = rows.withColumn("is_team", (F.col("e_") == "team") | (F.col("e_") == "unknown") & F.col("tk").isNotNull()).drop("k", "tk")
+    of_team = resolve.resolve_teams(rows.filter("is_team"), teams, "n_").drop("candidates")
+    of_player = resolve_players(rows.filter("NOT is_team"), players, "n_", "s_")
+    keys = of_team.unionByName(of_player).select("n_", "s_", "e_", resolve.aggregation_key(F.col("canonical"), F.col("status")).alias("key"))
+    same = (F.col(raw) == F.col("n_")) & (F.coalesce("sport", F.lit("")) == F.col("s_")) & (F.coalesce("entity_type", F.lit("unknown")) == F.col("e_"))
+    hit = some.join(keys, same).select(*legs.columns, "key")
+    return hit.unionByName(legs.where(F.col(raw).isNull()).withColumn("key", F.lit(resolve.UNRESOLVED)))
+
+
+def sport_of_legs(bets: DataFrame, teams: DataFrame, types: DataFrame) -> DataFrame:
+    """id, sport of nested tickets: of the first leg whose entity is a team, or whose market only one sport has, that sport; else what the description's words tell, else Other.
+
+    Entities go one by one through all legs in order; at each the team is asked before the market. Distinct names and
+    markets are looked up once.
+    """
+    by_team = resolve.alias_index(teams).select(F.col("lookup_key").alias("tk"), F.col("sport").alias("of_team"))
+    by_type = sports_of_types(resolve.enabled(types)).filter(F.size("sports") == 1).select(F.col("bet_key").alias("bk"), F.col("sports")[0].alias("of_type"))
+    legs = bets.select("id", F.posexplode("legs").alias("leg_no", "leg")).select("id", "leg_no", F.col("leg.market").alias("market"), F.posexplode("leg.entities").alias("place", "entity"))
+    pairs = legs.select("entity", "market").distinct().withColumns({"ek": lookup_key("entity"), "mk": F.lower(F.trim("market"))})
+    found = pairs.join(by_team, F.col("ek") == F.col("tk"), "left").join(by_type, F.col("mk") == F.col("bk"), "left").select(F.col("entity").alias("e_"), F.col("market").alias("m_"), F.coalesce("of_team", "of_type").alias("told")).where("told IS NOT NULL")
+    said = legs.join(found, (F.col("entity") == F.col("e_")) & F.col("market").eqNullSafe(F.col("m_")))
+    first = said.groupBy("id").agg(F.min_by("told", F.struct("leg_no", "place")).alias("told"))
+    return bets.join(first, "id", "left").select("id", F.coalesce("told", sport_of_words(F.col("description")), F.lit("Other")).alias("sport"))
 
 
 def canonical_futures(rows: DataFrame, futures: DataFrame, text: str = "market", sport: str = "sport") -> DataFrame:

@@ -196,3 +196,21 @@ def dt_book_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamp(formats.draftkings_date(F.concat(F.date_format(at, "MMM d, yyyy"), F.lit(", 7:05:09 PM")))).alias("draftkings"),
     )
 
+
+
+SPORTS_SQL = "CASE market WHEN 'Passing Yards' THEN 'NFL' WHEN 'Shots' THEN 'NHL' WHEN 'Moneyline' THEN 'Other' WHEN 'Spread' THEN 'Other' WHEN 'Player Points Total' THEN NULL WHEN 'Double Double (DD)' THEN NULL ELSE 'NBA' END"
+
+
+@query(
+    "WITH team(k, s) AS (VALUES ('hawks', 'NBA'), ('lakers', 'NBA'), ('atl', 'NBA'), ('los angeles chargers', 'NFL'), ('ne', 'NFL'), ('giants', 'NFL'), ('gs', 'NBA'), ('bos celtics', 'NBA')), "
+    "l AS (SELECT b.id, leg_no, market, CASE WHEN leg_no % 2 = 0 THEN b.name ELSE entity END AS who FROM bets b JOIN legs USING (id) WHERE b.id % 3 <> 0 OR market IN ('Player Points Total', 'Double Double (DD)')), "
+    f"f AS (SELECT l.id, arg_min(COALESCE(t.s, {SPORTS_SQL}), leg_no) FILTER (COALESCE(t.s, {SPORTS_SQL}) IS NOT NULL) AS told FROM l LEFT JOIN team t ON lower(trim(regexp_replace(who, '\\s+', ' ', 'g'))) = t.k WHERE who IS NOT NULL GROUP BY 1) "
+    "SELECT b.id, COALESCE(told, CASE WHEN contains(lower(description), 'nba') THEN 'NBA' END, 'Other') AS sport FROM bets b LEFT JOIN f USING (id)",
+    True,
+)
+def str_sport_of_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sport that a ticket's legs tell, by a team's name or a market of one sport; some tickets have only markets that tell nothing."""
+    kept = F.filter("legs", lambda leg: (F.col("id") % 3 != 0) | leg["market"].isin("Player Points Total", "Double Double (DD)"))
+    named = F.transform(kept, lambda leg: leg.withField("entities", F.when(leg["leg_no"] % 2 == 0, F.array("name")).otherwise(leg["entities"])))
+    rows = nested(spark, sf_dir).withColumn("legs", F.transform(named, lambda leg: leg.withField("entities", F.filter(leg["entities"], lambda e: e.isNotNull()))))
+    return dims.sport_of_legs(rows, seed.teams(spark), seed.bet_types(spark))
