@@ -75,7 +75,7 @@ def sport_of_legs(bets: DataFrame, teams: DataFrame, types: DataFrame) -> DataFr
     legs = bets.select("id", F.posexplode("legs").alias("leg_no", "leg")).select("id", "leg_no", F.col("leg.market").alias("market"), F.posexplode("leg.entities").alias("place", "entity"))
     pairs = legs.select("entity", "market").distinct().withColumns({"ek": lookup_key("entity"), "mk": F.lower(F.trim("market"))})
     found = pairs.join(by_team, F.col("ek") == F.col("tk"), "left").join(by_type, F.col("mk") == F.col("bk"), "left").select(F.col("entity").alias("e_"), F.col("market").alias("m_"), F.coalesce("of_team", "of_type").alias("told")).where("told IS NOT NULL")
-    said = legs.join(found, (F.col("entity") == F.col("e_")) & F.col("market").eqNullSafe(F.col("m_")))
+    said = legs.join(found, F.col("entity").eqNullSafe(F.col("e_")) & F.col("market").eqNullSafe(F.col("m_")))
     first = said.groupBy("id").agg(F.min_by("told", F.struct("leg_no", "place")).alias("told"))
     return bets.join(first, "id", "left").select("id", F.coalesce("told", sport_of_words(F.col("description")), F.lit("Other")).alias("sport"))
 
@@ -150,15 +150,17 @@ def overlay(seed: DataFrame, stored: DataFrame, valid: Column) -> DataFrame:
 
 
 def edited(dim: DataFrame, edits: DataFrame) -> DataFrame:
-    """The dimension after edits, the last by seq of each name (whatever its case): add (if new), alias, disable, enable or remove.
+    """The dimension after edits, the last by seq of each name (whatever its case): add (if new), alias, rename, disable, enable or remove.
 
-    edits: canonical, action, sport, alias, seq.
+    edits: canonical, action, sport, alias, seq. A rename takes the new name from alias and keeps the old one as an alias, so
+    that what was stored under it still resolves.
     """
     last = edits.groupBy(F.lower("canonical").alias("k")).agg(F.max_by(F.struct("canonical", "action", "sport", "alias"), "seq").alias("e"))
     both = dim.join(last, F.lower(dim["canonical"]) == F.col("k"), "left")
     action = F.col("e.action")
+    more = F.when(action == "alias", F.array("e.alias")).when(action == "rename", F.array(dim["canonical"]))
     changed = both.filter(F.coalesce(action, F.lit("")) != "remove").select(
-        dim["canonical"], dim["sport"], F.when(action == "alias", F.array_union(dim["aliases"], F.array("e.alias"))).otherwise(dim["aliases"]).alias("aliases"),
+        F.when(action == "rename", F.col("e.alias")).otherwise(dim["canonical"]).alias("canonical"), dim["sport"], F.when(more.isNotNull(), F.array_union(dim["aliases"], more)).otherwise(dim["aliases"]).alias("aliases"),
         F.when(action == "disable", True).when(action == "enable", False).otherwise(dim["disabled"]).alias("disabled"),
     )
     new = last.filter("e.action = 'add'").join(dim.select(F.lower("canonical").alias("dk")), F.col("k") == F.col("dk"), "left_anti")

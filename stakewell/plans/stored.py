@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lookup_key
-from ..operators import history, order, rules, search, store
+from ..functions.text import lookup_key, queue_id
+from ..operators import dims, history, order, rules, search, store
 from ..sources import documents, lines
 from ..sources.adapter import legs, tickets
 from ..sources.shared import new_folder
@@ -89,8 +89,6 @@ def jn_quote_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE WHEN length(p_name) % 2 = 0 THEN 'NBA:' || upper(left(p_name, 2)) ELSE 'NFL:' || left(upper(replace(p_name, ' ', '')), 6) END AS team_id, min(p_name) AS team, count(*)::BIGINT AS legs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def res_team_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legs that hold a team's id instead of its name, by the team: the first by name of those that share an id."""
-    from ..operators import dims
-
     names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name")).distinct()
     even = F.length("name") % 2 == 0
     short = F.when(even, F.array(F.upper(F.substring("name", 1, 2)))).otherwise(F.array().cast("array<string>"))
@@ -206,3 +204,39 @@ def srt_collated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(n == 0, F.replace(name, F.lit("e"), F.lit("é"))).when(n == 1, F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 999))).otherwise(name)
     rows = part.select(other.alias("name")).union(part.select(name)).distinct()
     return order.positions(rows, order.name_order("name"))
+
+
+# ---- dimensions and queues as stored tables
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT p_name AS c, split_part(p_name, ' ', 1) AS w FROM part WHERE length(p_name) % 5 <> 0) "
+    "SELECT 0 AS version, c AS canonical, w || ' jr' AS aliases, w = 'small' AS disabled FROM p UNION ALL SELECT 1, CASE WHEN w = 'blue' THEN 'The ' || c ELSE c END, w || ' jr' || CASE WHEN w = 'blue' THEN ',' || c ELSE '' END, CASE WHEN w = 'green' THEN true ELSE w = 'small' END FROM p WHERE w <> 'red'"
+)
+def res_dim_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players before and after edits, as versions of a stored table: red ones go, green ones are disabled, blue ones get another name."""
+    from .registry import players
+
+    table = VersionedTable(spark, new_folder(spark, "players"), key="canonical", buckets=4)
+    table.save(players(spark, sf_dir).select("canonical", "sport", "aliases", "disabled"))
+    dim, word = table.read(), F.split("canonical", " ")[0]
+    action = F.when(word == "red", "remove").when(word == "green", "disable").when(word == "blue", "rename")
+    edits = dim.select("canonical", action.alias("action"), "sport", F.concat(F.lit("The "), F.col("canonical")).alias("alias"), F.lit(1).alias("seq")).where("action IS NOT NULL")
+    table.save(dims.edited(dim, edits))
+    both = [table.read(v).select(F.lit(v).alias("version"), "canonical", F.concat_ws(",", "aliases").alias("aliases"), "disabled") for v in table.versions()]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    "WITH q AS (SELECT lower(entity) || '::' || id || '::' || leg_no AS item_id, entity, entity_type FROM legs WHERE leg_result = 'PENDING') SELECT item_id, entity AS raw_value FROM q WHERE NOT (entity_type = 'player' AND entity IN (SELECT entity FROM q WHERE entity_type = 'player' GROUP BY entity HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM q WHERE entity_type = 'player' GROUP BY entity))))",
+    True,
+)
+def jn_queue_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after the players that stand in it most often were settled: all items of a settled entity leave the stored queue."""
+    queue = legs(spark, sf_dir).where("leg_result = 'PENDING'").select(queue_id(F.col("entity"), F.col("id"), F.col("leg_no")).alias("item_id"), F.col("entity").alias("raw_value"), "entity_type")
+    table = VersionedTable(spark, new_folder(spark, "queue"), key="item_id", buckets=16)
+    table.save(queue)
+    counted = table.read().where("entity_type = 'player'").groupBy("raw_value").agg(F.count("*").alias("n"))
+    often = counted.join(F.broadcast(counted.agg(F.avg("n").alias("mean"))), F.col("n") >= F.col("mean")).select("raw_value")  # the mean is one row
+    table.delete(table.read().where("entity_type = 'player'").join(often, "raw_value", "left_semi").select("item_id"))
+    return table.read().select("item_id", "raw_value")

@@ -79,3 +79,18 @@ def test_loading_looks_at_main_markets_again(spark):
 def test_contract_messages_one_a_row(spark):
     checked = spark.createDataFrame([(1, ["a", "b"], []), (2, [], ["c"]), (3, [], [])], "id int, errors array<string>, warnings array<string>")
     assert sorted(tuple(r) for r in validate.contract_messages(checked).collect()) == [(1, "error", "a"), (1, "error", "b"), (2, "warning", "c")]
+
+
+def test_edits_of_names(spark):
+    dim = spark.createDataFrame([("Ann Lee", "NBA", ["AL"], False), ("Bo Ek", "NFL", [], False), ("Cy Oh", "NFL", [], True)], "canonical string, sport string, aliases array<string>, disabled boolean")
+    rows = [("ann lee", "rename", None, "Anna Lee", 2), ("Ann Lee", "remove", None, None, 1), ("Bo Ek", "alias", None, "Bobo", 1), ("cy oh", "enable", None, None, 1), ("CY OH", "add", "MLB", None, 0), ("Di Po", "add", "MLB", None, 1)]
+    got = {r.canonical: (r.sport, r.aliases, r.disabled) for r in dims.edited(dim, spark.createDataFrame(rows, "canonical string, action string, sport string, alias string, seq int")).collect()}
+    assert got == {"Anna Lee": ("NBA", ["AL", "Ann Lee"], False), "Bo Ek": ("NFL", ["Bobo"], False), "Cy Oh": ("NFL", [], False), "Di Po": ("MLB", [], False)}
+
+
+def test_sport_is_told_by_the_first_leg_that_can(spark):
+    leg = lambda market, *who: (list(who), market)
+    cases = {1: ([leg("Points", "Nobody", "Suns"), leg("Passing Yards", "x")], None, "NBA"), 2: ([leg(None, "Nobody"), leg("Passing Yards", "x")], "nba night", "NFL"), 3: ([leg("Odd", "x")], "Wimbledon", "Tennis"), 4: ([], None, "Other"), 5: (None, "NHL game", "NHL"), 6: ([leg("Shots", None)], None, "NHL"), 7: ([leg("Shots")], "x", "Other")}
+    frame = spark.createDataFrame([(i, c[0], c[1]) for i, c in cases.items()], "id int, legs array<struct<entities: array<string>, market: string>>, description string")
+    got = {r.id: r.sport for r in dims.sport_of_legs(frame, seed.teams(spark), seed.bet_types(spark)).collect()}
+    assert got == {i: c[2] for i, c in cases.items()}
