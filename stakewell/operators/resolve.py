@@ -75,6 +75,16 @@ def resolve_teams(names: DataFrame, entities: DataFrame, raw: str = "name") -> D
     return named.unionByName(names.filter(F.col(raw).isNull()).withColumns(none))
 
 
+def team_info(names: DataFrame, entities: DataFrame, raw: str = "name") -> DataFrame:
+    """names with team, team_sport and short (its first abbreviation) of the team that a name resolves to, by an alias or by its parts; null if to none."""
+    known = entities.select(F.col("canonical").alias("c_"), F.col("sport").alias("team_sport"), F.get("abbreviations", F.lit(0)).alias("short"))
+    named = resolve_teams(names, entities, raw).withColumn("team", F.when(F.col("status") != "unresolved", F.col("canonical")))
+    hit = named.where(F.col("team").isNotNull()).join(known, F.col("team") == F.col("c_"), "left")
+    none = named.where(F.col("team").isNull()).withColumns({c: F.lit(None).cast("string") for c in ("team_sport", "short")})
+    columns = [*names.columns, "team", "team_sport", "short"]
+    return hit.select(*columns).unionByName(none.select(*columns))
+
+
 def resolve_teams_in_sport(names: DataFrame, entities: DataFrame, raw: str = "name", sport: str = "sport") -> DataFrame:
     """As resolve_teams, but only teams of the row's sport count: one of several candidates may be left, a team of another sport is none."""
     rows = resolve_teams(names, entities, raw)

@@ -86,6 +86,11 @@ def loaded(bets: DataFrame, teams: DataFrame) -> DataFrame:
     return out.withColumn("market_category", again).drop("is_team")
 
 
+def is_sample(ids: list[str]) -> Column:
+    """Whether a ticket is one of the samples: marked so, or of a listed id."""
+    return F.coalesce("is_sample", F.lit(False)) | F.col("id").cast("string").isin(*ids)
+
+
 def leg_of_columns() -> Column:
     """The leg that an old ticket's name, type, line and side make; null if it has no name."""
     some = F.trim(F.coalesce("name", F.lit(""))) != ""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, text
+from ..functions import filters, text
 from ..operators import aggregate, dims, resolve, sheet, store, validate
 from ..sources import seed
 from ..sources.adapter import legs, nested, tickets
-from .wagers import BLOCK_SQL, COUNTS, ROI, WIN_SQL, by, query, rounded
+from .registry import PLAYERS_SQL
+from .wagers import WIN_SQL, by, query, rounded
 
 # ---- whole rows
 
@@ -214,3 +215,46 @@ def str_sport_of_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.transform(kept, lambda leg: leg.withField("entities", F.when(leg["leg_no"] % 2 == 0, F.array("name")).otherwise(leg["entities"])))
     rows = nested(spark, sf_dir).withColumn("legs", F.transform(named, lambda leg: leg.withField("entities", F.filter(leg["entities"], lambda e: e.isNotNull()))))
     return dims.sport_of_legs(rows, seed.teams(spark), seed.bet_types(spark))
+
+
+# ---- teams, players and legs
+
+
+@query(
+    "WITH t(n, team, s, short) AS (VALUES ('PHO Suns', 'Phoenix Suns', 'NBA', 'PHO'), ('Hawks', 'Atlanta Hawks', 'NBA', 'ATL'), ('lakers', 'Los Angeles Lakers', 'NBA', 'LAL'), ('Suns PHO', 'Phoenix Suns', 'NBA', 'PHO'), ('ATL', 'Atlanta Hawks', 'NBA', 'ATL'), ('Los Angeles  Chargers', 'Los Angeles Chargers', 'NFL', 'LAC'), "
+    "('NE', 'New England Patriots', 'NFL', 'NE'), ('Giants', 'New York Giants', 'NFL', 'NYG'), ('Bos Celtics', 'Boston Celtics', 'NBA', 'BOS'), ('GS', 'Golden State Warriors', 'NBA', 'GSW')) SELECT id, name, team, s AS team_sport, short FROM bets LEFT JOIN t ON trim(name) = t.n"
+)
+def str_team_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Team, sport and abbreviation of a ticket's name, by an alias or by its parts."""
+    return resolve.team_info(tickets(spark, sf_dir).select("id", "name"), seed.teams(spark))
+
+
+@query("WITH p AS (SELECT DISTINCT p_name AS c FROM part), s AS (SELECT c, CASE WHEN length(c) % 2 = 0 THEN 'NBA' ELSE 'NFL' END AS sport FROM p UNION SELECT upper(c), 'MLB' FROM p WHERE length(c) % 3 = 0 UNION SELECT c, 'MLB' FROM p WHERE length(c) % 7 = 0) SELECT lower(c) AS name, array_to_string(list_sort(list(DISTINCT sport)), ',') AS sports FROM s GROUP BY 1 HAVING count(DISTINCT sport) > 1")
+def jn_cross_sport_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players' names that stand in more than one sport, whatever their case."""
+    names, n = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("c")).distinct(), F.length("c")
+    rows = names.select(F.col("c").alias("canonical"), F.when(n % 2 == 0, "NBA").otherwise("NFL").alias("sport"))
+    rows = rows.unionByName(names.where(n % 3 == 0).select(F.upper("c").alias("canonical"), F.lit("MLB").alias("sport"))).unionByName(names.where(n % 7 == 0).select(F.col("c").alias("canonical"), F.lit("MLB").alias("sport")))
+    return resolve.cross_sport_names(rows).select("name", F.concat_ws(",", "sports").alias("sports"))
+
+
+@query("SELECT id, string_agg(CASE WHEN leg_no = 1 THEN 'half' ELSE target END || '|' || CASE WHEN leg_no = 1 THEN 'PUSH' ELSE leg_result END, ';' ORDER BY leg_no) AS legs FROM legs GROUP BY 1", True)
+def set_patched_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ticket's second leg gets another target and result; tickets with one leg stay."""
+    patched = store.patch_leg(F.col("legs"), 1, target=F.lit("half"), result=F.lit("PUSH"))
+    rows = nested(spark, sf_dir).where("legs IS NOT NULL").select("id", patched.alias("legs"))
+    return rows.select("id", F.array_join(F.transform("legs", lambda x: F.concat_ws("|", x["target"], x["result"])), ";").alias("legs"))
+
+
+@query("SELECT id, id % 7 = 0 OR id IN (1, 2, 33) AS sample FROM bets")
+def prj_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tickets(spark, sf_dir).withColumn("is_sample", F.when(F.col("id") % 7 == 0, True)).select("id", store.is_sample(["1", "2", "33"]).alias("sample"))
+
+
+@query(f"WITH {PLAYERS_SQL} SELECT id, placed_at FROM bets WHERE n_legs <= 1 AND id IN (SELECT id FROM found WHERE status = 'resolved' AND canonical IN ('hot gizmo', 'blue widget', 'green bolt') AND entity_type = 'player') AND placed_at >= TIMESTAMP '1995-01-01'", True)
+def flt_known_player_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets of at most one leg whose player resolves to one of three."""
+    from .registry import asked_players, players
+
+    known = dims.resolve_players(asked_players(spark, sf_dir).where("entity_type = 'player'"), players(spark, sf_dir)).where(F.col("canonical").isin("hot gizmo", "blue widget", "green bolt") & (F.col("status") == "resolved"))
+    return tickets(spark, sf_dir).where("n_legs <= 1").where(filters.placed_between("1995-01-01", None)).join(known.select("id").distinct(), "id", "left_semi").select("id", "placed_at")
