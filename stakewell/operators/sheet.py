@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, formats, money, validators
+from ..functions import classify, money, validators
 from . import legs as leg_ops
 from .resolve import resolve_bet_types
 from .rows import MOST_LEGS, over_under_flags

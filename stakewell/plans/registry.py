@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, filters, formats, money, validators
+from ..functions import classify, filters, money, validators
 from ..functions.text import ascii_key
 from ..operators import aggregate, dims, order, resolve
 from ..sources import seed
