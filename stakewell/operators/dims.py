@@ -1,7 +1,6 @@
 """Reference dimensions: players, futures, sports, edits, and what an import finds wrong with them.
 
-Dimensions are seeds with a user's additions: names in the thousands. They are broadcast only where they come from the seed; joins
-with players and queues are left to Spark.
+Dimensions are seeds with a user's additions, of whatever size: whether one is broadcast is left to Spark.
 """
 
 from __future__ import annotations
@@ -89,7 +88,7 @@ def canonical_futures(rows: DataFrame, futures: DataFrame, text: str = "market",
     own = keys.filter("sport IS NOT NULL").groupBy("fk", F.col("sport").alias("fs")).agg(F.max_by("canonical", "seq").alias("own"))
     anyone = keys.groupBy(F.col("fk").alias("ak")).agg(F.max_by("canonical", "seq").alias("any"))
     key = F.lower(F.trim(text))
-    out = rows.join(F.broadcast(own), (key == F.col("fk")) & (F.col(sport) == F.col("fs")), "left").join(F.broadcast(anyone), key == F.col("ak"), "left")
+    out = rows.join(own, (key == F.col("fk")) & (F.col(sport) == F.col("fs")), "left").join(anyone, key == F.col("ak"), "left")
     return out.withColumn("future", F.coalesce("own", "any", F.trim(text))).drop("fk", "fs", "own", "ak", "any")
 
 
@@ -122,7 +121,7 @@ def inferred_sport(rows: DataFrame, teams: DataFrame, types: DataFrame, team: st
     """rows with inferred: the team's sport, else that of a bet type which one sport alone has, else what the description's words tell."""
     by_team = resolve.alias_index(teams).select(F.col("lookup_key").alias("tk"), F.col("sport").alias("team_sport"))
     by_type = sports_of_types(types).filter(F.size("sports") == 1).select("bet_key", F.col("sports")[0].alias("type_sport"))
-    out = rows.join(F.broadcast(by_team), lookup_key(team) == F.col("tk"), "left").join(F.broadcast(by_type), F.lower(F.trim(bet_type)) == F.col("bet_key"), "left")
+    out = rows.join(by_team, lookup_key(team) == F.col("tk"), "left").join(by_type, F.lower(F.trim(bet_type)) == F.col("bet_key"), "left")
     return out.withColumn("inferred", F.coalesce("team_sport", "type_sport", sport_of_words(F.col(description)))).drop("tk", "team_sport", "bet_key", "type_sport")
 
 

@@ -204,7 +204,7 @@ def srt_timeline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def srt_players_by_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players with their team's id, by team, then by name."""
     teams = seed.teams(spark).select(F.col("canonical").alias("team"), dims.team_id(F.col("sport"), F.col("abbreviations"), F.col("canonical")).alias("team_id"))
-    rows = players(spark, sf_dir).join(F.broadcast(teams), "team", "left")
+    rows = players(spark, sf_dir).join(teams, "team", "left")
     return order.positions(rows, [F.lower("team").asc_nulls_last(), *order.name_order("canonical")]).select("canonical", "team_id", "position")
 
 

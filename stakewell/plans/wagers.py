@@ -383,9 +383,8 @@ def dt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH c AS (SELECT id, bet_type, name, type, id % 10 AS d, name IS NULL OR name NOT IN ('Unknown FC', 'LeBron James', 'Suns PHO') AS free FROM bets) SELECT id, CASE WHEN bet_type <> 'single' THEN 'Parlays' WHEN d IN (0, 2) THEN 'Futures' WHEN free AND d IN (1, 5, 6, 8) THEN 'Main Markets' WHEN name IS NOT NULL OR type IS NOT NULL OR d = 4 THEN 'Props' ELSE 'Main Markets' END AS category FROM c")
 def cls_ticket_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     bets = tickets(spark, sf_dir)
-    known = resolve.alias_index(seed.teams(spark)).select(F.col("lookup_key").alias("k"))
-    rows_ = bets.withColumn("key", text.lookup_key("name")).join(F.broadcast(known), F.col("key") == F.col("k"), "left")
-    return rows_.select("id", classify.ticket_category(F.col("bet_type"), F.col("description"), F.col("name"), F.col("type"), F.col("k").isNotNull()).alias("category"))
+    rows_ = resolve.known_teams(bets, seed.teams(spark))
+    return rows_.select("id", classify.ticket_category(F.col("bet_type"), F.col("description"), F.col("name"), F.col("type"), F.col("is_team")).alias("category"))
 
 
 @query(

@@ -90,7 +90,7 @@ def csv_tickets(raw: DataFrame, sites: DataFrame, app_words: bool = False, kept:
         F.nullif(_cell(raw, "Tail"), F.lit("")).alias("tail"), F.lower(_cell(raw, "Notes")).contains("live").alias("is_live"), *(kept or []),
     )
     known = sites.select(F.explode(F.array(F.lower("name"), F.lower("abbreviation"))).alias("k"), F.col("name").alias("book_name")).dropDuplicates(["k"])
-    rows = rows.join(F.broadcast(known), F.lower("site") == F.col("k"), "left").withColumn("book", F.coalesce("book_name", "site"))
+    rows = rows.join(known, F.lower("site") == F.col("k"), "left").withColumn("book", F.coalesce("book_name", "site"))
     payout = F.when(F.col("result") == "win", F.col("stake") + F.col("to_win")).when(F.col("result") == "push", F.col("stake")).otherwise(F.lit(0))
     bad = F.concat_ws(", ", *[F.when(F.col(c).isNull(), n) for c, n in (("odds", "Odds"), ("stake", "Bet"), ("to_win", "To Win"), ("placed_at", "Date"))])
     out = rows.withColumn("payout", payout.cast("decimal(18,2)")).withColumn("error", F.nullif(bad, F.lit("")))
