@@ -221,9 +221,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SE
         finally:
             for x in (*(index or ()), *(out or ())):
                 x.close()
-            # The worker waits for other tasks: it keeps the tokenizer, not what it remembers.
             held = []
-            enc.forget()
             give_back()
         if out:
             yield pa.record_batch([pa.array([part]), pa.array([name]), pa.array([start]), pa.array([n_docs])], names=["part", "name", "n_tokens", "n_docs"])
