@@ -213,7 +213,6 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, sequence: int = SE
                         for k in range(0, whole, full):
                             index[0].write_batch(pa.record_batch([_lists(line[k : k + full], kind, sequence), _lists(np.ones(full, bool), pa.bool_(), sequence)], schema=tokens_schema))
                         held, n_held = [line[whole:]], n_held - whole
-                give_back()
             if n_held:
                 line = np.zeros(-(-n_held // sequence) * sequence, enc.dtype)
                 line[:n_held] = np.concatenate(held)
