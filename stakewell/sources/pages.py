@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..functions import formats, money, text
 MOST_CHARS = 5 * 1024 * 1024
 BOOKS = ("DraftKings", "FanDuel")
 FIELDS = "page_id long, book string, card int, item string, name string, value string, seq int"
+CARDS = "page_id long, book string, card int, fields array<struct<seq: int, item: string, name: string, value: string>>"
+#: Fields that are held in Python before they are handed on.
+FIELDS_AT_ONCE = 20_000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 # Patterns of markets' names and the short name of the statistic, the first that fits; those of several statistics come first.
@@ -108,15 +112,46 @@ def _listed(book: str, source: str | None) -> list[tuple]:
     return p.rows
 
 
+def _of_cards(rows: list[tuple]) -> pa.RecordBatch:
+    """Fields (page_id, book, card, item, name, value, seq), in order, as one row a card."""
+    page, book, card, item, name, value, seq = zip(*rows)
+    new = [0, *(i for i in range(1, len(rows)) if (page[i], card[i]) != (page[i - 1], card[i - 1]))]
+    at = pa.StructArray.from_arrays([pa.array(seq, pa.int32()), pa.array(item), pa.array(name), pa.array(value)], ["seq", "item", "name", "value"])
+    listed = pa.ListArray.from_arrays(pa.array([*new, len(rows)], pa.int32()), at)
+    return pa.RecordBatch.from_arrays([pa.array([page[i] for i in new], pa.int64()), pa.array([book[i] for i in new], pa.string()), pa.array([card[i] for i in new], pa.int32()), listed], ["page_id", "book", "card", "fields"])
+
+
+def cards(pages: DataFrame) -> DataFrame:
+    """One row a card of all pages (page_id, book, html) with its fields in order; what stands before the first is card -1.
+
+    A page that can't be read has a field named 'failed'. A task holds one page's text and about FIELDS_AT_ONCE fields.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                page_id, book, source = (c[i].as_py() for c in b.columns)
+                held.extend((page_id, book, *row) for row in _listed(book, source))
+                if len(held) >= FIELDS_AT_ONCE:
+                    yield _of_cards(held)
+                    held = []
+        if held:
+            yield _of_cards(held)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "book", "html").mapInArrow(run, CARDS)
+
+
 def fields(pages: DataFrame) -> DataFrame:
-    """The fields of all pages (page_id, book, html); a page that can't be read has one named 'failed'."""
+    """The fields of all pages (page_id, book, html), a row each; a page that can't be read has one named 'failed'."""
+    return cards(pages).select("page_id", "book", "card", F.explode("fields").alias("f")).select("page_id", "book", "card", "f.item", "f.name", "f.value", "f.seq")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = [(page_id, book, *row) for page_id, book, source in zip(pdf["page_id"], pdf["book"], pdf["html"]) for row in _listed(book, source)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FIELDS.split(", ")])
 
-    return pages.select("page_id", "book", "html").mapInPandas(run, FIELDS)
+def gathered(found: DataFrame) -> DataFrame:
+    """found by cards: as it is, if it comes of `cards`; else the rows of `fields`, put together again."""
+    if "fields" in found.columns:
+        return found
+    return found.groupBy("page_id", "card").agg(F.sort_array(F.collect_list(F.struct("seq", "item", "name", "value"))).alias("fields"))
 
 
 def route(pages: DataFrame, books: list[str] | tuple = BOOKS) -> DataFrame:
@@ -130,7 +165,8 @@ def without_tickets(pages: DataFrame, tickets: DataFrame, found: DataFrame | Non
     some = tickets.select("page_id").distinct().withColumn("some", F.lit(True))
     rows = pages.join(some, "page_id", "left").withColumn("failed", F.lit(None).cast("boolean"))
     if found is not None:
-        rows = rows.drop("failed").join(found.filter("name = 'failed'").select("page_id", F.lit(True).alias("failed")).distinct(), "page_id", "left")
+        failed = found.filter(F.exists("fields", lambda f: f["name"] == "failed") if "fields" in found.columns else F.col("name") == "failed")
+        rows = rows.drop("failed").join(failed.select("page_id", F.lit(True).alias("failed")).distinct(), "page_id", "left")
     code = F.coalesce("error_code", F.when(F.col("failed"), "PARSER_FAILED"), F.when(F.col("some").isNull(), "NO_BETS_FOUND"))
     return rows.withColumn("error_code", code).drop("some", "failed", "html")
 
@@ -147,50 +183,80 @@ def stat_type(market: Column) -> Column:
     return out
 
 
-def _first(name: str, pattern: str) -> Column:
-    """The first field of the card whose name fits."""
-    hit = F.col("name").rlike(pattern)
-    return F.min_by(F.when(hit, F.col("value")), F.when(hit, F.col("seq"))).alias(name)
+def _first(of: Column, fits) -> Column:
+    """The value of the first of a card's fields whose name fits."""
+    return F.get(F.filter(of, lambda f: fits(f["name"])), F.lit(0))["value"]
 
 
-def draftkings_legs(found: DataFrame) -> DataFrame:
-    """One row a selection: item path, entity, market, target, odds and result; a selection that holds others is a group."""
-    rows = found.filter("item <> ''").groupBy("page_id", "card", "item").agg(_first("title", "^bet-selection-title-"), _first("subtitle", "^bet-selection-subtitle-"), _first("odds_text", "^bet-selection-displayOdds-"), _first("icon", "^icon$"), F.min("seq").alias("seq"))
-    parents = rows.filter("item LIKE '%.%'").select("page_id", "card", F.regexp_replace("item", r"\.\d+$", "").alias("item")).distinct().withColumn("group", F.lit(True))
-    rows = rows.join(parents, ["page_id", "card", "item"], "left")
-    icon = F.lower(F.coalesce("icon", F.lit("")))
-    result = F.when(icon.contains("success") | icon.contains("check"), "WIN").when(icon.contains("x sign") | icon.contains("cross"), "LOSS").when(icon.contains("void"), "PUSH").otherwise("PENDING")
+def _starts(*of: str):
+    return lambda name: functools.reduce(lambda a, b: a | b, (name.startswith(o) for o in of))
+
+
+def _selections() -> Column:
+    """The selections of a card in the order of their first fields: item path and what stands in them; one that holds others is a group."""
+    items = F.array_distinct(F.transform(F.filter("fields", lambda f: f["item"] != ""), lambda f: f["item"]))
+    above = F.transform(F.filter(items, lambda i: i.contains(".")), lambda i: F.regexp_replace(i, r"\.\d+$", ""))
+
+    def one(item: Column) -> Column:
+        mine = F.filter("fields", lambda f: f["item"] == item)
+        return F.struct(
+            item.alias("item"), F.get(mine, F.lit(0))["seq"].alias("seq"), _first(mine, _starts("bet-selection-title-")).alias("title"), _first(mine, _starts("bet-selection-subtitle-")).alias("subtitle"),
+            _first(mine, _starts("bet-selection-displayOdds-")).alias("odds_text"), F.lower(F.coalesce(_first(mine, lambda n: n == "icon"), F.lit(""))).alias("icon"), F.array_contains(above, item).alias("group"),
+        )
+
+    return F.transform(items, one)
+
+
+def _read_selection(s: Column) -> Column:
+    """Item path, entity, market, target, odds and result of a selection."""
+    result = F.when(s["icon"].contains("success") | s["icon"].contains("check"), "WIN").when(s["icon"].contains("x sign") | s["icon"].contains("cross"), "LOSS").when(s["icon"].contains("void"), "PUSH").otherwise("PENDING")
     suffix = "(?i)\\s+(?:points \\+ rebounds \\+ assists|points|rebounds|assists|made threes|threes|three pointers made|steals|blocks|turnovers|double-?double|triple-?double)(?:\\s*o/u)?$"
-    line = F.nullif(F.regexp_extract("title", r"(\d+\+|[+-]?\d+(?:\.\d+)?)\s*$", 1), F.lit(""))
-    ou = F.initcap(F.nullif(F.regexp_extract("title", r"(?i)^(over|under)\b", 1), F.lit("")))
-    group = F.coalesce("group", F.lit(False))
-    return rows.select(
-        "page_id", "card", "item", "seq", group.alias("is_group_leg"), F.when(~group, F.regexp_replace("subtitle", suffix, "")).alias("entity"),
-        F.when(group, F.col("title")).otherwise(F.coalesce(stat_type(F.col("subtitle")), "subtitle")).alias("market"), F.when(~group, line).alias("target"), F.when(~group, ou).alias("ou"),
-        text.american_odds(F.col("odds_text")).alias("odds"), result.alias("result"),
+    line = F.nullif(F.regexp_extract(s["title"], r"(\d+\+|[+-]?\d+(?:\.\d+)?)\s*$", 1), F.lit(""))
+    ou = F.initcap(F.nullif(F.regexp_extract(s["title"], r"(?i)^(over|under)\b", 1), F.lit("")))
+    group = s["group"]
+    return F.struct(
+        s["item"].alias("item"), s["seq"].alias("seq"), group.alias("is_group_leg"), F.when(~group, F.regexp_replace(s["subtitle"], suffix, "")).alias("entity"),
+        F.when(group, s["title"]).otherwise(F.coalesce(stat_type(s["subtitle"]), s["subtitle"])).alias("market"), F.when(~group, line).alias("target"), F.when(~group, ou).alias("ou"),
+        text.american_odds(s["odds_text"]).alias("odds"), result.alias("result"),
     )
 
 
+def draftkings_legs(found: DataFrame) -> DataFrame:
+    """One row a selection: item path, entity, market, target, odds and result; a selection that holds others is a group."""
+    rows = gathered(found).select("page_id", "card", _selections().alias("s")).select("page_id", "card", F.explode(F.transform("s", _read_selection)).alias("x"))
+    return rows.select("page_id", "card", "x.item", "x.seq", "x.is_group_leg", "x.entity", "x.market", "x.target", "x.ou", "x.odds", "x.result")
+
+
 def draftkings_tickets(found: DataFrame) -> DataFrame:
-    """One row a bet card, its selections as legs (children of groups one level down)."""
-    top = F.col("item") == ""
-    card = found.filter("card >= 0").groupBy("page_id", "card").agg(
-        _first("placed_text", r"^bet-reference-.*-0$"), _first("bet_id", r"^bet-reference-.*-1$"), _first("stake_text", "^bet-stake-"), _first("paid_text", "^bet-returns-\\d"), _first("status", "^bet-details-status-"),
-        _first("title", "^bet-details-title-"), _first("subtitle", "^bet-details-subtitle-"), _first("odds_text", "^bet-details-displayOdds-"), _first("logo", "^logo$"),
-        F.bool_or((F.col("name") == "sgp") & top).alias("sgp"), F.bool_or(F.lower("value").contains("sgpx")).alias("sgpx"), F.collect_set(F.when(F.col("name").startswith("event-team-name-"), F.col("value"))).alias("teams"),
-    )
+    """One row a bet card, its selections as legs (children of groups one level down). Made inside each card: nothing is shuffled if found is by cards."""
+    named = {
+        "placed_text": lambda n: n.rlike(r"^bet-reference-.*-0$"), "bet_id": lambda n: n.rlike(r"^bet-reference-.*-1$"), "stake_text": _starts("bet-stake-"), "paid_text": lambda n: n.rlike(r"^bet-returns-\d"), "status": _starts("bet-details-status-"),
+        "title": _starts("bet-details-title-"), "subtitle": _starts("bet-details-subtitle-"), "odds_text": _starts("bet-details-displayOdds-"), "logo": lambda n: n == "logo",
+    }
+    card = gathered(found).filter("card >= 0").withColumns({c: _first(F.col("fields"), fits) for c, fits in named.items()}).filter("bet_id IS NOT NULL")
+    card = card.withColumns({"sgp": F.exists("fields", lambda f: (f["name"] == "sgp") & (f["item"] == "")), "sgpx": F.exists("fields", lambda f: F.lower(f["value"]).contains("sgpx")), "s_": _selections()})
     cash = lambda c: F.coalesce(text.amount(F.regexp_extract(c, r"\$([\d,]+(?:\.\d+)?)", 1)), F.lit(0.0)).cast("decimal(18,2)")
     status = F.lower(F.trim("status"))
     bet_type = F.when(F.col("sgpx"), "sgp_plus").when(F.col("sgp"), "sgp").otherwise(F.coalesce(bet_type_text(F.col("subtitle")), bet_type_text(F.col("title")), F.lit("single")))
-    legs = draftkings_legs(found)
-    leaf = F.struct("seq", F.array_compact(F.array("entity")).alias("entities"), F.lit("player").alias("entity_type"), "market", "target", "ou", "odds", F.lower("result").alias("result"))
-    children = legs.filter("item LIKE '%.%'").groupBy("page_id", "card", F.regexp_extract("item", r"^\d+", 0).alias("item")).agg(F.sort_array(F.collect_list(leaf)).alias("children"))
-    heads = legs.filter("item NOT LIKE '%.%'").join(children, ["page_id", "card", "item"], "left")
-    # The outcome of a group is that of its children, as this book has it: a push needs all of them.
-    own = F.when(F.col("is_group_leg"), F.coalesce(F.lower(money.group_result(F.transform(F.coalesce("children", F.array()), lambda c: c["result"]), True)), F.lower("result"))).otherwise(F.lower("result"))
-    leg = F.struct("seq", F.array_compact(F.array("entity")).alias("entities"), F.when(F.col("is_group_leg"), "unknown").otherwise("player").alias("entity_type"), "market", "target", "ou", "odds", own.alias("result"), "is_group_leg", "children")
-    arrays = heads.groupBy("page_id", "card").agg(F.sort_array(F.collect_list(leg)).alias("legs"))
-    rows = card.filter("bet_id IS NOT NULL").withColumn("bet_type", bet_type).join(arrays, ["page_id", "card"], "left")
+    card = card.withColumns({"bet_type": bet_type, "l_": F.transform("s_", _read_selection)})
+    given = lambda x: (x["seq"].alias("seq"), F.array_compact(F.array(x["entity"])).alias("entities"))
+    leaf = lambda x: F.struct(*given(x), F.lit("player").alias("entity_type"), x["market"].alias("market"), x["target"].alias("target"), x["ou"].alias("ou"), x["odds"].alias("odds"), F.lower(x["result"]).alias("result"))
+
+    def head(x: Column) -> Column:
+        """A leg of its own with those below it; null where none are."""
+        below = F.transform(F.filter("l_", lambda y: y["item"].contains(".") & (F.substring_index(y["item"], ".", 1) == x["item"])), leaf)
+        return F.struct(x.alias("x"), F.when(F.size(below) > 0, below).alias("children"))
+
+    def leg(h: Column) -> Column:
+        x, children = h["x"], h["children"]
+        # The outcome of a group is that of its children, as this book has it: a push needs all of them.
+        of_children = F.lower(money.group_result(F.transform(F.coalesce(children, F.array()), lambda c: c["result"]), True))
+        own = F.when(x["is_group_leg"], F.coalesce(of_children, F.lower(x["result"]))).otherwise(F.lower(x["result"]))
+        kind = F.when(x["is_group_leg"], "unknown").otherwise("player")
+        return F.struct(*given(x), kind.alias("entity_type"), x["market"].alias("market"), x["target"].alias("target"), x["ou"].alias("ou"), x["odds"].alias("odds"), own.alias("result"), x["is_group_leg"].alias("is_group_leg"), children.alias("children"))
+
+    heads = F.transform(F.filter("l_", lambda x: ~x["item"].contains(".")), head)
+    rows = card.withColumn("h_", heads).withColumn("legs", F.when(F.size("h_") > 0, F.transform("h_", leg)))
     parlay = money.is_parlay()
     live = F.coalesce(F.col("subtitle").rlike(r"(?i)\blive\b"), F.lit(False))
     market = F.trim(F.regexp_replace("subtitle", r"(?i)\blive\b", ""))
@@ -211,9 +277,9 @@ def fanduel_tickets(found: DataFrame) -> DataFrame:
 
     Legs are read from the spans of the header: a name, and behind it a text that holds a line and a statistic.
     """
-    spans = found.filter("name = 'span'").groupBy("page_id", "card").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("s"))
-    labels = found.filter("name = 'label'").groupBy("page_id", "card").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), " | ").alias("labels"))
-    cards = spans.join(labels, ["page_id", "card"], "left").select("page_id", "card", F.transform("s", lambda x: x["value"]).alias("spans"), F.array_join(F.transform("s", lambda x: x["value"]), " ").alias("said"), F.coalesce("labels", F.lit("")).alias("labels"))
+    of = lambda name: F.transform(F.filter("fields", lambda f: f["name"] == name), lambda f: f["value"])
+    spans = gathered(found).select("page_id", "card", of("span").alias("spans"), F.array_join(of("label"), " | ").alias("labels")).where(F.size("spans") > 0)
+    cards = spans.select("page_id", "card", "spans", F.array_join("spans", " ").alias("said"), "labels")
     cards = cards.withColumn("bet_id", F.nullif(F.regexp_extract("said", r"(?i)BET\s*ID[:\s]+([A-Z0-9/]+)", 1), F.lit("")))
     from pyspark.sql import Window
 

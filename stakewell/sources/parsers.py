@@ -20,7 +20,7 @@ from .shared import written
 
 @dataclass(frozen=True)
 class Parser:
-    """tickets: from the fields of pages to tickets with page_id."""
+    """tickets: from the cards of pages (pages.cards) to tickets with page_id."""
 
     tickets: Callable[[DataFrame], DataFrame] | None
     enabled: bool = True
@@ -40,11 +40,11 @@ def enabled(parsers: dict[str, Parser] | None = None) -> list[str]:
 def parse(pages: DataFrame, parsers: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
     """(tickets of all books by their common columns, page_id and error_code of each page).
 
-    pages: page_id, book, html. A page is read once: its fields are stored before the book's function sees them.
+    pages: page_id, book, html. A page is read once: its cards are stored before the book's function sees them.
     """
     parsers = PARSERS if parsers is None else parsers
     routed = book_pages.route(pages, enabled(parsers))
-    found = written(book_pages.fields(routed.where("error_code IS NULL")), "page-fields")
+    found = written(book_pages.cards(routed.where("error_code IS NULL")), "page-cards")
     tickets = None
     for name in enabled(parsers):
         mine = parsers[name].tickets(found.where(F.col("book") == name)).select(*COMMON)

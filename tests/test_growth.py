@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from stakewell.sources import adapter
+from stakewell.plans import pages as plans_pages
+from stakewell.sources import adapter, pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,19 @@ def test_the_store_is_in_order_of_time_inside_each_file(spark):
 
 def test_groups_of_legs_are_made_inside_tickets(spark):
     assert "Exchange" not in planned(adapter.grouped(spark, SF))
+
+
+def test_a_day_of_many_tickets_is_on_many_pages(spark):
+    rows = spark.range(2_000).select(F.lit("2024-01-01").cast("date").alias("day"), "id", F.concat(F.lit("<i>"), "id", F.lit("</i>")).alias("card"))
+    found = plans_pages._pages(rows, "DraftKings", 0, lambda html: html).select("page_id", F.size(F.split("html", "<i>")).alias("n"), "html").collect()
+    assert len(found) > 40 and max(r.n for r in found) < 100 and {r.page_id >> plans_pages.PAGE_BITS for r in found} == {19_723}
+    assert sum(r.html.count("<i>") for r in found) == 2_000
+
+
+def test_cards_are_read_without_a_shuffle(spark):
+    from .test_wagers import CARD, PARLAY
+
+    raw = spark.createDataFrame([(1, "DraftKings", (CARD + PARLAY) * 50)], "page_id long, book string, html string")
+    assert "Exchange" not in planned(pages.draftkings_tickets(pages.cards(raw)))
+    by_card, by_field = (sorted(map(str, pages.draftkings_tickets(found).collect())) for found in (pages.cards(raw), pages.fields(raw)))
+    assert by_card == by_field and len(by_card) == 100
