@@ -39,18 +39,17 @@ def resolve_players(names: DataFrame, players: DataFrame, raw: str = "name", spo
     several = F.greatest(F.coalesce("own_n", F.lit(0)), F.coalesce("any_n", F.lit(0))) > 1
     status = F.when(F.trim("r") == "", "unresolved").when(several, "ambiguous").when(F.coalesce("own", "any").isNotNull(), "resolved").otherwise("unresolved")
     found = found.select("r", "s", F.coalesce("own", "any", spaced(F.col("r"))).alias("canonical"), status.alias("status"))
-    out = names.filter(F.col(raw).isNotNull()).join(found, (F.col(raw) == F.col("r")) & (F.coalesce(F.col(sport), F.lit("")) == F.col("s"))).drop("r", "s")
-    return out.unionByName(names.filter(F.col(raw).isNull()).select("*", F.lit("").alias("canonical"), F.lit("unresolved").alias("status")))
+    same = (F.col(raw) == F.col("r")) & (F.coalesce(F.col(sport), F.lit("")) == F.col("s"))
+    return resolve.looked_up(names, found, same, F.col(raw).isNotNull()).withColumns({"canonical": F.coalesce("canonical", F.lit("")), "status": F.coalesce("status", F.lit("unresolved"))}).drop("r", "s")
 
 
 def entity_keys(legs: DataFrame, players: DataFrame, teams: DataFrame, raw: str = "name") -> DataFrame:
     """legs with key: the player's or team's canonical name by entity_type, one bucket for all that resolve to no single one.
 
     An entity of unknown type is a team if a team has the name, else a player. Distinct names with sport and type are stored
-    and resolved once, then joined back; legs are read twice and shuffled once at most.
+    and resolved once, then joined back; legs are read twice and shuffled only if there are very many such names.
     """
-    some = legs.where(F.col(raw).isNotNull())
-    asked = some.select(F.col(raw).alias("n_"), F.coalesce("sport", F.lit("")).alias("s_"), F.coalesce("entity_type", F.lit("unknown")).alias("e_")).distinct()
+    asked = legs.where(F.col(raw).isNotNull()).select(F.col(raw).alias("n_"), F.coalesce("sport", F.lit("")).alias("s_"), F.coalesce("entity_type", F.lit("unknown")).alias("e_")).distinct()
     asked = written(asked, "asked-names")
     known = resolve.alias_index(teams).select(F.col("lookup_key").alias("tk"))
     rows = asked.withColumn("k", lookup_key("n_")).join(known, F.col("k") == F.col("tk"), "left")
@@ -59,8 +58,7 @@ def entity_keys(legs: DataFrame, players: DataFrame, teams: DataFrame, raw: str
     of_player = resolve_players(rows.filter("NOT is_team"), players, "n_", "s_")
     keys = of_team.unionByName(of_player).select("n_", "s_", "e_", resolve.aggregation_key(F.col("canonical"), F.col("status")).alias("key"))
     same = (F.col(raw) == F.col("n_")) & (F.coalesce("sport", F.lit("")) == F.col("s_")) & (F.coalesce("entity_type", F.lit("unknown")) == F.col("e_"))
-    hit = some.join(keys, same).select(*legs.columns, "key")
-    return hit.unionByName(legs.where(F.col(raw).isNull()).withColumn("key", F.lit(resolve.UNRESOLVED)))
+    return resolve.looked_up(legs, keys, same, F.col(raw).isNotNull()).select(*legs.columns, F.coalesce("key", F.lit(resolve.UNRESOLVED)).alias("key"))
 
 
 def sport_of_legs(bets: DataFrame, teams: DataFrame, types: DataFrame) -> DataFrame:
@@ -74,7 +72,7 @@ def sport_of_legs(bets: DataFrame, teams: DataFrame, types: DataFrame) -> DataFr
     legs = bets.select("id", F.posexplode("legs").alias("leg_no", "leg")).select("id", "leg_no", F.col("leg.market").alias("market"), F.posexplode("leg.entities").alias("place", "entity"))
     pairs = legs.select("entity", "market").distinct().withColumns({"ek": lookup_key("entity"), "mk": F.lower(F.trim("market"))})
     found = pairs.join(by_team, F.col("ek") == F.col("tk"), "left").join(by_type, F.col("mk") == F.col("bk"), "left").select(F.col("entity").alias("e_"), F.col("market").alias("m_"), F.coalesce("of_team", "of_type").alias("told")).where("told IS NOT NULL")
-    said = legs.join(found, F.col("entity").eqNullSafe(F.col("e_")) & F.col("market").eqNullSafe(F.col("m_")))
+    said = resolve.looked_up(legs, found, F.col("entity").eqNullSafe(F.col("e_")) & F.col("market").eqNullSafe(F.col("m_")), F.lit(True)).where("told IS NOT NULL")
     first = said.groupBy("id").agg(F.min_by("told", F.struct("leg_no", "place")).alias("told"))
     return bets.join(first, "id", "left").select("id", F.coalesce("told", sport_of_words(F.col("description")), F.lit("Other")).alias("sport"))
 
@@ -138,8 +136,9 @@ def teams_by_id(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def deduped_aliases(aliases: Column, key) -> Column:
     """The first alias of each key, in order; blank ones go. key: the function that makes a name's key."""
-    keys = F.transform(aliases, key)
-    return F.filter(aliases, lambda a, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
+    # Bound once by the outer lambda: named inside the inner one, all keys would be made again for each alias.
+    chosen = lambda keys: F.filter(aliases, lambda a, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1))
+    return F.get(F.transform(F.array(F.transform(aliases, key)), chosen), F.lit(0))
 
 
 def overlay(seed: DataFrame, stored: DataFrame, valid: Column) -> DataFrame:
@@ -198,7 +197,7 @@ def leg_issues(rows: DataFrame, sports: list[str], teams: DataFrame, listed: Dat
     known = listed.select(F.col("canonical").alias("who_"), F.col("sport").alias("of_"), F.lit(True).alias("on_")).distinct()
     marked = rows.withColumns({"category": category, "team_": team, "some_": some})
     resolved = resolve.resolve_teams(marked.where("some_ AND team_"), teams, name).drop("canonical", "candidates").withColumn("on_", F.lit(None).cast("boolean"))
-    players = marked.where("some_ AND NOT team_").join(known, (F.col(name) == F.col("who_")) & (F.col(sport) == F.col("of_")), "left").drop("who_", "of_").withColumn("status", F.lit(None).cast("string"))
+    players = resolve.looked_up(marked.where("some_ AND NOT team_"), known, (F.col(name) == F.col("who_")) & (F.col(sport) == F.col("of_")), F.col(sport).isNotNull()).drop("who_", "of_").withColumn("status", F.lit(None).cast("string"))
     none = marked.where("NOT some_").withColumns({"on_": F.lit(None).cast("boolean"), "status": F.lit(None).cast("string")})
     said = F.when(F.trim(F.coalesce(sport, F.lit(""))) == "", "sport missing").when(~F.col(sport).isin(*sports), "sport unknown")
     who = F.when(F.col("some_") & F.col("team_"), F.when(F.col("status") == "unresolved", "team unknown").when(F.col("status") == "ambiguous", "team ambiguous")).when(F.col("some_") & F.col("on_").isNull(), "player unknown")

@@ -6,8 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup_key
+from ..sources.shared import written
 
 UNRESOLVED = "[Unresolved]"
+#: Distinct values with what they resolve to that are broadcast at most; they are counted before.
+MOST_BROADCAST = 100_000
+
+
+def looked_up(rows: DataFrame, known: DataFrame, same: Column, asked: Column) -> DataFrame:
+    """rows with the columns of known where `same` holds, nulls else; asked: rows that can have a match at all.
+
+    known is stored and counted. A few distinct values are broadcast, so that rows are read once and stay where they are,
+    whatever share of them has one value; of many, only rows that ask are shuffled.
+    """
+    known = written(known, "known")
+    if known.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(known), same, "left")
+    return rows.where(asked).join(known, same, "left").unionByName(rows.where(~asked), allowMissingColumns=True)
 
 
 def alias_index(entities: DataFrame, with_abbreviations: bool = True) -> DataFrame:
@@ -30,8 +45,7 @@ def known_teams(rows: DataFrame, teams: DataFrame, name: str = "name") -> DataFr
     """rows with is_team: whether their name is a team's. Distinct names are looked up once; rows without one aren't joined."""
     said = rows.select(F.col(name).alias("n_")).where(F.col("n_").isNotNull()).distinct()
     hit = said.withColumn("lookup_key", lookup_key("n_")).join(alias_index(teams).select("lookup_key"), "lookup_key").select("n_", F.lit(True).alias("t_"))
-    some = rows.where(F.col(name).isNotNull()).join(hit, F.col(name) == F.col("n_"), "left").withColumn("is_team", F.coalesce("t_", F.lit(False))).drop("n_", "t_")
-    return some.unionByName(rows.where(F.col(name).isNull()).withColumn("is_team", F.lit(False)))
+    return looked_up(rows, hit, F.col(name) == F.col("n_"), F.col(name).isNotNull()).withColumn("is_team", F.coalesce("t_", F.lit(False))).drop("n_", "t_")
 
 
 def short_markets(rows: DataFrame, types: DataFrame) -> DataFrame:
@@ -70,19 +84,14 @@ def resolve_teams(names: DataFrame, entities: DataFrame, raw: str = "name") -> D
     canonical = F.coalesce("canonical", "part", F.trim("raw"))
     status = F.when(F.trim("raw") == "", "unresolved").when(F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 1, "ambiguous").when(F.col("canonical").isNotNull() | F.col("part").isNotNull(), "resolved").otherwise("unresolved")
     known = found.select(F.col("raw").alias("__raw"), canonical.alias("canonical"), "candidates", status.alias("status"))
-    named = names.filter(F.col(raw).isNotNull()).join(known, F.col(raw) == F.col("__raw"), "left").drop("__raw")
-    none = {"canonical": F.lit(None).cast("string"), "candidates": F.lit(None).cast("array<string>"), "status": F.lit("unresolved")}
-    return named.unionByName(names.filter(F.col(raw).isNull()).withColumns(none))
+    return looked_up(names, known, F.col(raw) == F.col("__raw"), F.col(raw).isNotNull()).withColumn("status", F.coalesce("status", F.lit("unresolved"))).drop("__raw")
 
 
 def team_info(names: DataFrame, entities: DataFrame, raw: str = "name") -> DataFrame:
     """names with team, team_sport and short (its first abbreviation) of the team that a name resolves to, by an alias or by its parts; null if to none."""
     known = entities.select(F.col("canonical").alias("c_"), F.col("sport").alias("team_sport"), F.get("abbreviations", F.lit(0)).alias("short"))
     named = resolve_teams(names, entities, raw).withColumn("team", F.when(F.col("status") != "unresolved", F.col("canonical")))
-    hit = named.where(F.col("team").isNotNull()).join(known, F.col("team") == F.col("c_"), "left")
-    none = named.where(F.col("team").isNull()).withColumns({c: F.lit(None).cast("string") for c in ("team_sport", "short")})
-    columns = [*names.columns, "team", "team_sport", "short"]
-    return hit.select(*columns).unionByName(none.select(*columns))
+    return looked_up(named, known, F.col("team") == F.col("c_"), F.col("team").isNotNull()).select(*names.columns, "team", "team_sport", "short")
 
 
 def resolve_teams_in_sport(names: DataFrame, entities: DataFrame, raw: str = "name", sport: str = "sport") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import spaced
+from ..sources.shared import written
+from .resolve import looked_up
 
 # Statistics of market texts, in the order in which they are tried. Each has one or more sets of parts, of
 # which one must stand in the text.
@@ -59,7 +61,8 @@ def market_texts(rows: DataFrame, rules: DataFrame, market: str = "market") -> D
 
     Distinct texts are read once and joined back. A null text is one without anything: '', ''.
     """
-    said = rows.select(F.col(market).alias("said")).where(F.col("said").isNotNull()).distinct()
+    # Stored: the optimizer drops a distinct that another follows, and would read the text of every row.
+    said = written(rows.select(F.col(market).alias("said")).where(F.col("said").isNotNull()).distinct(), "market-texts")
     whole = spaced(F.col("said"))
     clean = F.trim(F.regexp_replace(whole, r"(?i)^to\s+record\s+", ""))
     plus, number = F.regexp_extract(clean, r"(\d+(?:\.\d+)?)\s*\+", 1), F.regexp_extract(clean, r"(\d+(?:\.\d+)?)", 1)
@@ -71,5 +74,5 @@ def market_texts(rows: DataFrame, rules: DataFrame, market: str = "market") -> D
     read = said.select("said", F.when(plus != "", F.concat(plus, F.lit("+"))).otherwise(number).alias("line"), side.alias("side"), F.lower(bare).alias("stat"), F.when(bare != "", bare).otherwise(whole).alias("rest"))
     codes = matched(read, rules, "stat")
     read = read.join(codes, "stat", "left").select("said", F.coalesce("code", "rest").alias("kind"), "line", "side")
-    joined = rows.join(read, rows[market] == read["said"], "left").drop("said")
+    joined = looked_up(rows, read, F.col(market) == F.col("said"), F.col(market).isNotNull()).drop("said")
     return joined.withColumns({"kind": F.coalesce("kind", F.lit("")), "line": F.coalesce("line", F.lit(""))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, money, validators
 from . import legs as leg_ops
-from .resolve import resolve_bet_types
+from .resolve import looked_up, resolve_bet_types
 from .rows import MOST_LEGS, over_under_flags
 
 
@@ -23,9 +23,9 @@ def classified(rows: DataFrame, types: DataFrame, market: str = "market", sport:
     pairs = resolve_bet_types(pairs, types, "m_", "s_")
     category = F.when(F.col("g_") != "", F.col("g_")).otherwise(classify.leg_category(F.col("m_")))
     kinds = pairs.select("m_", "s_", "g_", category.alias("category"), classify.market_type(F.col("m_"), category, F.col("s_"), F.col("canonical")).alias("kind"))
-    hit = keyed.where(some).join(kinds, ["m_", "s_", "g_"], "left")
-    none = keyed.where(~some).withColumns({"category": F.when(F.col("g_") != "", F.col("g_")).otherwise(classify.leg_category(F.col("m_"))), "kind": F.lit("")})
-    return hit.unionByName(none).drop("m_", "s_", "g_")
+    kinds = kinds.toDF("km_", "ks_", "kg_", "category", "kind")
+    out = looked_up(keyed, kinds, (F.col("m_") == F.col("km_")) & (F.col("s_") == F.col("ks_")) & (F.col("g_") == F.col("kg_")), some)
+    return out.withColumns({"category": F.coalesce("category", F.when(F.col("g_") != "", F.col("g_")), F.lit("Props")), "kind": F.coalesce("kind", F.lit(""))}).drop("m_", "s_", "g_", "km_", "ks_", "kg_")
 
 
 def _of(bets: DataFrame, name: str, kind: str = "string") -> Column:

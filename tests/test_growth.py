@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from stakewell.operators import dims, resolve, search
 from stakewell.plans import pages as plans_pages
+from stakewell.plans import wagers
 from stakewell.sources import adapter, pages
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,30 @@ def test_cards_are_read_without_a_shuffle(spark):
     assert "Exchange" not in planned(pages.draftkings_tickets(pages.cards(raw)))
     by_card, by_field = (sorted(map(str, pages.draftkings_tickets(found).collect())) for found in (pages.cards(raw), pages.fields(raw)))
     assert by_card == by_field and len(by_card) == 100
+
+
+def test_rows_stay_where_few_values_are_looked_up(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "id long, k string")
+    known = spark.createDataFrame([("a", 10), ("z", 20)], "key string, n long")
+    ask = lambda: resolve.looked_up(rows, known, F.col("k") == F.col("key"), F.col("k").isNotNull()).select("id", "n")
+    few = ask()
+    assert "BroadcastHashJoin" in planned(few) and "Exchange hashpartitioning" not in planned(few)
+    monkeypatch.setattr(resolve, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, ask().collect()), key=str) == sorted(map(tuple, few.collect()), key=str) == [(1, 10), (2, None), (3, None), (4, 10)]
+
+
+def test_lookups_of_queries_leave_rows_where_they_are(spark):
+    for name in ("str_team_info", "res_players", "str_market_texts", "prj_sheet_rows", "agg_queue_items", "jn_entity_members", "prj_stripes", "agg_by_team", "res_import_issues", "flt_indexed_search", "n_group_result", "agg_contract_messages"):
+        assert "SortMergeJoin" not in planned(wagers.QUERIES[name](spark, SF)), name
+
+
+def test_all_terms_are_searched_at_once(spark):
+    rows = spark.createDataFrame([(1, "Red Hawks", None), (2, None, "hawk eye"), (3, "Owls", "red"), (4, None, None)], "id long, a string, b string")
+    indexes = {c: search.trigram_index(rows, c) for c in ("a", "b")}
+    assert sorted((r.id, r.term) for r in search.searched(rows, ["hawk", "RED", "x"], indexes).collect()) == [(1, "RED"), (1, "hawk"), (2, "hawk"), (3, "RED")]
+
+
+def test_keys_of_aliases_are_made_once(spark):
+    # Twice: the planned expression and its name. It was 6.
+    made = planned(spark.createDataFrame([(["A", "a ", "", "b"],)], "x array<string>").select(dims.deduped_aliases(F.col("x"), lambda c: F.lower(F.trim(c)))))
+    assert made.count("lower(trim(") == 2
