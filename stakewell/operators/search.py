@@ -7,10 +7,13 @@ of fewer than three letters match by the start of a piece (every value's end is
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .resolve import looked_up
 
 #: Closes a value, so that its last letters begin pieces too.
 END = "\x00\x00"
@@ -40,10 +43,20 @@ def found_values(index: DataFrame, term: str) -> DataFrame:
     return hits.where((F.col("n") == len(asked)) & F.contains("value", F.lit(q))).select("value")
 
 
+def searched(rows: DataFrame, terms: list[str], indexes: dict[str, DataFrame]) -> DataFrame:
+    """rows with term: one for each of the terms that one of the indexed columns holds. indexes: {column: its trigram index}.
+
+    All terms are looked up in a column's values at once, so that rows meet each column's values one time, however many terms there are.
+    """
+    out, hits = rows, []
+    for n, (column, index) in enumerate(indexes.items()):
+        found = functools.reduce(DataFrame.unionByName, [found_values(index, t).select(F.col("value").alias(f"value_{n}"), F.lit(t).alias("t")) for t in terms])
+        found = found.groupBy(f"value_{n}").agg(F.collect_set("t").alias(f"terms_{n}"))
+        out = looked_up(out, found, F.lower(column) == F.col(f"value_{n}"), F.col(column).isNotNull()).drop(f"value_{n}")
+        hits.append(F.coalesce(f"terms_{n}", F.array().cast("array<string>")))
+    return out.select(*rows.columns, F.explode(F.array_distinct(F.flatten(F.array(*hits)))).alias("term"))
+
+
 def search(rows: DataFrame, term: str, indexes: dict[str, DataFrame]) -> DataFrame:
     """Rows of which one of the indexed columns holds the term. indexes: {column: its trigram index}."""
-    out = rows.withColumn("hit_", F.lit(False))
-    for n, (column, index) in enumerate(indexes.items()):
-        values = found_values(index, term).select(F.col("value").alias(f"value_{n}"))
-        out = out.join(values, F.lower(column) == F.col(f"value_{n}"), "left").withColumn("hit_", F.col("hit_") | F.col(f"value_{n}").isNotNull()).drop(f"value_{n}")
-    return out.where("hit_").drop("hit_")
+    return searched(rows, [term], indexes).select(*rows.columns)

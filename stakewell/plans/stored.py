@@ -189,11 +189,7 @@ def flt_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets that hold a term in a name, a tail or a description, by trigrams of the distinct values."""
     bets = tickets(spark, sf_dir).select("id", "name", "tail", "description")
     indexes = {c: search.trigram_index(bets, c) for c in ("name", "tail", "description")}
-    out = None
-    for term in ("HAWKS", "rs", "c", "a odd", "zebra"):
-        rows = search.search(bets, term, indexes).select("id", F.lit(term).alias("term"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return search.searched(bets, ["HAWKS", "rs", "c", "a odd", "zebra"], indexes).select("id", "term")
 
 
 @query("WITH p AS (SELECT DISTINCT CASE WHEN length(p_name) % 3 = 0 THEN replace(p_name, 'e', 'é') WHEN length(p_name) % 3 = 1 THEN upper(left(p_name, 1)) || substr(p_name, 2) ELSE p_name END AS name FROM part UNION SELECT p_name FROM part) SELECT name, (row_number() OVER (ORDER BY lower(strip_accents(name)), strip_accents(name) <> name, name = lower(name) DESC))::INTEGER AS position FROM p")
