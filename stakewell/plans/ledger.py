@@ -34,9 +34,9 @@ def agg_parlay_by_sport(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agg_by_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the team that a ticket's name resolves to; all that resolve to no one team are one row."""
-    bets = tickets(spark, sf_dir)
-    named = resolve.resolve_teams(bets.filter("name IS NOT NULL").select("id", "name"), seed.teams(spark))
-    return rounded(aggregate.entity_stats(bets, named, resolve.aggregation_key(F.col("canonical"), F.col("status"))), "roi")
+    bets = tickets(spark, sf_dir).filter(F.col("name").isNotNull() & ~money.is_parlay()).select("name", "bet_type", "result", "stake", "payout")
+    named = resolve.resolve_teams(bets, seed.teams(spark))
+    return rounded(aggregate.named_stats(named, resolve.aggregation_key(F.col("canonical"), F.col("status"))), "roi")
 
 
 @query("SELECT DISTINCT entity FROM legs WHERE contains(lower(entity), 'red') ORDER BY entity LIMIT 10", True)
