@@ -19,11 +19,12 @@ def over_under_flags(ou: Column, target: Column) -> tuple[Column, Column]:
     return flag(over, under), flag(under, over)
 
 
-def final_rows(bets: DataFrame) -> DataFrame:
+def final_rows(bets: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the spreadsheet: a parlay has a header with the money and rows for its legs without; other tickets one row a leg.
 
     bets: nested tickets; groups of legs are opened. row 0 is a parlay's header, or a ticket that has no legs; other rows
     are numbered from 1 in the order of legs. A ticket all of whose legs are placeholders has no rows.
+    kept: columns of the ticket that its rows keep.
     """
     some = ~leg_ops.none_of(F.col("legs"))
     bets = bets.withColumn("opened", F.when(some, leg_ops.expanded_legs(bets)))
@@ -43,7 +44,7 @@ def final_rows(bets: DataFrame) -> DataFrame:
         F.when(header, "Parlays").otherwise(classify.leg_category(F.coalesce("r.market", "type"))).alias("category"),
         F.when(header, "").otherwise(over).alias("over_flag"), F.when(header, "").otherwise(under).alias("under_flag"), F.when(header, F.lit("")).otherwise(F.coalesce("r.target", F.lit(""))).alias("line"),
         F.when(child, F.col("r.leg_odds")).otherwise(F.nullif("odds", F.lit(0))).alias("row_odds"), F.when(paid, F.col("stake")).alias("row_stake"),
-        F.initcap(said).alias("row_result"), F.when(paid, F.round(money.row_net(said), 4)).alias("row_net"), header.alias("is_header"), child.alias("is_child"),
+        F.initcap(said).alias("row_result"), F.when(paid, F.round(money.row_net(said), 4)).alias("row_net"), header.alias("is_header"), child.alias("is_child"), *kept,
     )
 
 

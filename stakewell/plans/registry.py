@@ -20,11 +20,11 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("canonical").alias("seq"), "canonical", F.when(F.length("canonical") % 2 == 0, "NBA").otherwise("NFL").alias("sport"), F.array(F.concat(first, F.lit(" jr"))).alias("aliases"), F.when(first == "red", "Boston Celtics").when(first == "blue", "Atlanta Hawks").alias("team"), (first == "small").alias("disabled"))
 
 
-def asked_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked_players(spark: SparkSession, sf_dir: str, *of_ticket: str) -> DataFrame:
     """Legs with their entity written in several ways and a sport, or none."""
     n = F.col("id") % 4
     name = F.when(n == 0, F.col("entity")).when(n == 1, F.upper("entity")).when(n == 2, F.concat(F.split("entity", " ")[0], F.lit(" Jr"))).otherwise(F.concat(F.lit("  "), F.replace("entity", F.lit(" "), F.lit("   "))))
-    return legs(spark, sf_dir).select("id", "leg_no", "entity_type", name.alias("name"), F.when(F.col("id") % 3 == 0, "NBA").when(F.col("id") % 3 == 1, "NFL").alias("sport"))
+    return legs(spark, sf_dir, *of_ticket).select("id", "leg_no", "entity_type", name.alias("name"), F.when(F.col("id") % 3 == 0, "NBA").when(F.col("id") % 3 == 1, "NFL").alias("sport"), *of_ticket)
 
 
 PLAYERS_SQL = """
@@ -243,8 +243,8 @@ def jn_queue_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH s AS (SELECT entity AS name, count(*)::BIGINT AS legs FROM legs JOIN bets USING (id) WHERE sport = 'ASIA' GROUP BY 1) SELECT name, legs FROM s WHERE name IN (SELECT entity FROM legs WHERE entity_type = 'team')", True)
 def jn_entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the entities of filtered tickets those that any ticket at all has as a team."""
-    all_legs = legs(spark, sf_dir)
-    mine = all_legs.join(tickets(spark, sf_dir).filter("sport = 'ASIA'").select("id"), "id", "left_semi").groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("legs"))
+    all_legs = legs(spark, sf_dir, "sport")
+    mine = all_legs.filter("sport = 'ASIA'").groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("legs"))
     return mine.join(all_legs.filter("entity_type = 'team'").select(F.col("entity").alias("name")).distinct(), "name", "left_semi")
 
 
@@ -253,7 +253,7 @@ def jn_entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     True,
 )
 def res_import_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = asked_players(spark, sf_dir).join(tickets(spark, sf_dir).select("id", "market_category", "type"), "id")
+    rows = asked_players(spark, sf_dir, "market_category", "type")
     of_player = dims.resolve_players(rows.filter("entity_type = 'player'"), players(spark, sf_dir))
     of_team = resolve.resolve_teams(rows.filter("entity_type = 'team'"), seed.teams(spark)).drop("candidates")
     return dims.import_issues(of_player.unionByName(of_team), ["NBA"]).select("id", "leg_no", F.concat_ws(",", "issues").alias("issues"))
@@ -261,7 +261,7 @@ def res_import_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT entity AS name, entity_type FROM legs JOIN bets USING (id) WHERE book = 'MACHINERY' AND (entity_type <> 'player' OR length(entity) % 5 = 0)", True)
 def res_added_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = legs(spark, sf_dir).join(tickets(spark, sf_dir).filter("book = 'MACHINERY'").select("id"), "id", "left_semi").select(F.col("entity").alias("name"), "entity_type")
+    new = legs(spark, sf_dir, "book").filter("book = 'MACHINERY'").select(F.col("entity").alias("name"), "entity_type")
     return dims.added_entities(new, players(spark, sf_dir).select(F.col("canonical").alias("name"), F.lit("player").alias("entity_type")))
 
 

@@ -98,7 +98,7 @@ def res_leg_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .registry import players
 
     n = F.col("id")
-    rows = legs(spark, sf_dir).join(tickets(spark, sf_dir).select("id", "name"), "id").select("id", "leg_no", F.when(n % 7 != 0, F.col("market")).alias("market"), F.when(F.col("leg_no") % 2 == 0, F.col("name")).otherwise(F.col("entity")).alias("who"), F.when(n % 4 == 0, "NBA").when(n % 4 == 1, "NFL").when(n % 4 == 2, "Chess").alias("league"))
+    rows = legs(spark, sf_dir, "name").select("id", "leg_no", F.when(n % 7 != 0, F.col("market")).alias("market"), F.when(F.col("leg_no") % 2 == 0, F.col("name")).otherwise(F.col("entity")).alias("who"), F.when(n % 4 == 0, "NBA").when(n % 4 == 1, "NFL").when(n % 4 == 2, "Chess").alias("league"))
     out = dims.leg_issues(rows, ["NBA", "NFL", "MLB", "NHL"], seed.teams(spark), players(spark, sf_dir).select("canonical", "sport"), name="who", sport="league")
     return out.select("id", "leg_no", F.concat_ws(",", "issues").alias("issues"))
 
@@ -131,7 +131,9 @@ def agg_by_short_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By market in short: what stands in brackets, else the bet type that the market is a name of."""
     rows = nested(spark, sf_dir)
     short = resolve.short_markets(rows.select(F.explode("legs.market").alias("market"), "sport"), seed.bet_types(spark))
-    pairs = rows.select("id", "result", "stake", "payout", "sport", F.explode("legs.market").alias("market")).join(short, ["market", "sport"], "left")
+    short = short.toDF("m_", "s_", "short")
+    pairs = rows.select("id", "result", "stake", "payout", "sport", F.explode("legs.market").alias("market"))
+    pairs = resolve.looked_up(pairs, short, (F.col("market") == F.col("m_")) & (F.col("sport") == F.col("s_")), F.col("market").isNotNull())
     return rounded(aggregate.stats_by(pairs, F.col("short")), "roi")
 
 
@@ -142,9 +144,8 @@ def agg_by_short_market(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def agg_queue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of each entity of the queue, which a decision about the entity settles."""
-    bets = tickets(spark, sf_dir).select("id", "book", "sport", F.col("placed_at").alias("encountered_at"))
-    queue = legs(spark, sf_dir).where("leg_result = 'PENDING'").join(bets, "id").select(
-        "entity_type", "sport", text.lookup_key("entity").alias("lookup_key"), F.col("entity").alias("raw_value"), "book", "market", "encountered_at", F.struct("id", "leg_no").alias("seq"), text.queue_id(F.col("entity"), F.col("id"), F.col("leg_no")).alias("item_id"),
+    queue = legs(spark, sf_dir, "book", "sport", "placed_at").where("leg_result = 'PENDING'").select(
+        "entity_type", "sport", text.lookup_key("entity").alias("lookup_key"), F.col("entity").alias("raw_value"), "book", "market", F.col("placed_at").alias("encountered_at"), F.struct("id", "leg_no").alias("seq"), text.queue_id(F.col("entity"), F.col("id"), F.col("leg_no")).alias("item_id"),
     )
     items = aggregate.queue_items(queue)
     return items.groupBy("group_key").agg(F.count("*").alias("count"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("item_ids"))

@@ -196,7 +196,7 @@ def agg_leg_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     True,
 )
 def agg_unresolved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = legs(spark, sf_dir).filter("leg_result = 'PENDING'").join(tickets(spark, sf_dir).select("id", "sport", "book", "placed_at"), "id")
+    queue = legs(spark, sf_dir, "sport", "book", "placed_at").filter("leg_result = 'PENDING'")
     queue = queue.select(text.lookup_key("entity").alias("lookup_key"), F.col("entity").alias("raw_value"), "entity_type", "sport", "book", "market", F.col("placed_at").alias("encountered_at"), (F.col("id") * 100 + F.col("leg_no")).alias("seq"))
     return aggregate.unresolved_groups(queue).withColumn("contexts", F.concat_ws(";", F.transform("contexts", lambda c: F.concat_ws("|", c["book"], c["market"]))))
 
@@ -361,7 +361,7 @@ def prj_final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT id, book, 0 AS row_no, false AS is_child FROM bets WHERE n_legs <> 1 UNION ALL SELECT id, book, leg_no + 1, n_legs > 1 FROM bets JOIN legs USING (id) WHERE leg_no < 10) SELECT id, row_no::INTEGER AS row_no, (sum((NOT is_child)::INTEGER) OVER (PARTITION BY book ORDER BY id, row_no ROWS UNBOUNDED PRECEDING) - 1)::BIGINT AS stripe FROM r", True)
 def prj_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = rows.final_rows(nested(spark, sf_dir)).join(tickets(spark, sf_dir).select("id", "book"), "id")
+    flat = rows.final_rows(nested(spark, sf_dir), ("book",)).select("id", "row_no", "is_child", "book")
     return rows.stripes(flat, "book").select("id", "row_no", "stripe")
 
 
